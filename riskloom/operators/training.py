@@ -18,13 +18,27 @@ class TrainingDataError(RuntimeError):
     """Offline data is missing, unreadable, empty or too small to train on."""
 
 
+# Stands for a missing label time; later than any real one.
+_UNDATED = 1 << 61
+
+
 def first_labels(labels: DataFrame) -> DataFrame:
-    """One label per transaction: the earliest, ties by value, undated ones last."""
-    age = F.struct(F.col("label_time").isNull(), F.col("label_time"), F.col("is_fraud"))
+    """One label per transaction: the earliest, ties by value, undated ones last.
+
+    Time and value are packed into one number, whose minimum is a hash
+    aggregation that combines copies of a label before the shuffle.
+    """
+    micros = F.coalesce(F.unix_micros("label_time"), F.lit(_UNDATED))
+    packed = micros * 2 + F.col("is_fraud").cast("bigint")
+    first = F.shiftright("_first", 1)
     return (
         labels.groupBy("transaction_id")
-        .agg(F.min(age).alias("_first"))
-        .select("transaction_id", F.col("_first.is_fraud"), F.col("_first.label_time"))
+        .agg(F.min(packed).alias("_first"))
+        .select(
+            "transaction_id",
+            (F.col("_first").bitwiseAND(F.lit(1)) == 1).alias("is_fraud"),
+            F.when(first != _UNDATED, F.timestamp_micros(first)).alias("label_time"),
+        )
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.schemas import SLIDING, WINDOW_FEATURES, SlidingSpec
+from riskloom.schemas import SLIDING, SlidingSpec
 
 
 def _seconds(n: int) -> str:
@@ -18,10 +18,11 @@ def _money(cents: bool) -> Column:
     return amount.try_cast("decimal(18,2)") if cents else amount
 
 
-def _output(user: Column, start: Column, end: Column) -> list[Column]:
+def _output(end: Column, spec: SlidingSpec) -> list[Column]:
+    size = F.expr(f"interval {spec.size} seconds")
     return [
-        user.alias("user_id"),
-        start.alias("window_start"),
+        F.col("user_id"),
+        (end - size).alias("window_start"),
         end.alias("window_end"),
         F.col("n").alias("txn_count_5min"),
         F.col("total").cast("double").alias("total_amount_5min"),
@@ -40,26 +41,33 @@ def _measures(cents: bool) -> list[Column]:
     ]
 
 
-def _merged(prefix: str = "") -> list[Column]:
+def _merged() -> list[Column]:
     return [
-        F.sum(prefix + "n").alias("n"),
-        F.sum(prefix + "n_amounts").alias("n_amounts"),
-        F.sum(prefix + "total").alias("total"),
-        F.max(prefix + "largest").alias("largest"),
+        F.sum("n").alias("n"),
+        F.sum("n_amounts").alias("n_amounts"),
+        F.sum("total").alias("total"),
+        F.max("largest").alias("largest"),
     ]
 
 
 def _panes(transactions: DataFrame, spec: SlidingSpec, cents: bool) -> DataFrame:
-    """One row per user and slide interval. Rows without event time have no interval."""
+    """One row per user and slide interval, numbered from the epoch.
+
+    Rows without event time belong to no interval.
+    """
+    pane = F.floor(F.unix_seconds("event_time") / spec.slide)
     return (
         transactions
         .where(F.col("event_time").isNotNull())
-        .groupBy("user_id", F.window("event_time", _seconds(spec.slide)))
+        .groupBy("user_id", pane.alias("pane"))
         .agg(*_measures(cents))
-        .select("user_id", F.col("window.start").alias("pane"), "n", "n_amounts", "total", "largest")
     )
 
 
+def _pane_end(pane: Column, spec: SlidingSpec) -> Column:
+    return F.timestamp_seconds((pane + 1) * spec.slide)
+
+
 def watermarked(transactions: DataFrame, spec: SlidingSpec = SLIDING) -> DataFrame:
     return transactions.withWatermark("event_time", _seconds(spec.watermark))
 
@@ -84,26 +92,28 @@ def windowed_features(
             .groupBy(F.window("event_time", _seconds(spec.size), _seconds(spec.slide)), "user_id")
             .agg(*_measures(cents))
         )
-    else:
-        # Distribution by user also serves the aggregation by (user, window)
-        # and whatever is grouped by user next.
-        windows = (
-            _panes(transactions, spec, cents)
-            .repartition("user_id")
-            .groupBy("user_id", F.window("pane", _seconds(spec.size), _seconds(spec.slide)))
-            .agg(*_merged())
-        )
-    return windows.select(*_output(F.col("user_id"), F.col("window.start"), F.col("window.end")))
+        return windows.select(*_output(F.col("window.end"), spec))
+    # An interval belongs to the windows that end with it or up to size - slide
+    # later. Distribution by user is kept by explode, so it also serves the
+    # aggregation and whatever is grouped by user next.
+    last_panes = F.sequence("pane", F.col("pane") + spec.panes - 1)
+    return (
+        _panes(transactions, spec, cents)
+        .repartition("user_id")
+        .withColumn("last_pane", F.explode(last_panes))
+        .groupBy("user_id", "last_pane")
+        .agg(*_merged())
+        .select(*_output(_pane_end(F.col("last_pane"), spec), spec))
+    )
 
 
-def _newest_by_phase(df: DataFrame, time: str, spec: SlidingSpec) -> DataFrame:
+def _newest_by_phase(df: DataFrame, time: str, phase: Column) -> DataFrame:
     """Per user, the newest row of each residue of time modulo the window length.
 
     Rows at most one window length behind a user's newest time all have
-    different residues, so they are all kept, in at most ``spec.panes`` rows per
-    user, and the aggregation combines before it shuffles.
+    different residues, so they are all kept, in one row per residue and user,
+    and the aggregation combines before it shuffles.
     """
-    phase = F.pmod(F.floor(F.unix_seconds(time) / spec.slide), F.lit(spec.panes))
     rest = [c for c in df.columns if c not in ("user_id", time)]
     return (
         df.groupBy("user_id", phase.alias("_phase"))
@@ -120,8 +130,9 @@ def select_trailing_window(windows: DataFrame, spec: SlidingSpec = SLIDING) -> D
     row per user and window start.
     """
     by_user = Window.partitionBy("user_id")
+    phase = F.pmod(F.floor(F.unix_seconds("window_start") / spec.slide), F.lit(spec.panes))
     return (
-        _newest_by_phase(windows, "window_start", spec)
+        _newest_by_phase(windows, "window_start", phase)
         .withColumn("_newest", F.max("window_start").over(by_user))
         .where(F.col("window_end") > F.col("_newest"))
         .withColumn("_rank", F.row_number().over(by_user.orderBy("window_start")))
@@ -138,18 +149,16 @@ def trailing_features(
     Same rows as ``select_trailing_window(windowed_features(..))`` without
     building the other windows: the newest intervals of a user are added up.
     """
-    size = F.expr(f"interval {spec.size} seconds")
-    slide = F.expr(f"interval {spec.slide} seconds")
+    phase = F.pmod(F.col("pane"), F.lit(spec.panes))
     recent = (
-        _newest_by_phase(_panes(transactions, spec, cents), "pane", spec)
-        .withColumn("_newest", F.max("pane").over(Window.partitionBy("user_id")))
-        .where(F.col("pane") > F.col("_newest") - size)
+        _newest_by_phase(_panes(transactions, spec, cents), "pane", phase)
+        .withColumn("newest", F.max("pane").over(Window.partitionBy("user_id")))
+        .where(F.col("pane") > F.col("newest") - spec.panes)
     )
-    end = F.col("_newest") + slide
     return (
-        recent.groupBy("user_id", "_newest")
+        recent.groupBy("user_id", "newest")
         .agg(*_merged())
-        .select(*_output(F.col("user_id"), end - size, end))
+        .select(*_output(_pane_end(F.col("newest"), spec), spec))
     )
 
 
@@ -174,5 +183,3 @@ def closed_windows(windows: DataFrame, watermark: Column) -> DataFrame:
     """The windows an append-mode stream has emitted once it reached ``watermark``."""
     return windows.where(F.col("window_end") <= watermark)
 
-
-WINDOW_COLUMNS = ["user_id", "window_start", "window_end", *WINDOW_FEATURES]

@@ -76,7 +76,7 @@ CTES = {
         SELECT * FROM online_rows
         WHERE expires_at > (SELECT max(event_time) FROM txns)""",
     "pit": """
-        SELECT e.*,
+        SELECT transaction_id, user_id, amount, merchant_country, event_timestamp, fraud,
                CASE WHEN fresh THEN window_end END AS window_end,
                CASE WHEN fresh THEN txn_count_5min END AS txn_count_5min,
                CASE WHEN fresh THEN total_amount_5min END AS total_amount_5min,

@@ -203,7 +203,7 @@ def _layers(spark, name):
 def windowed_append_stream(spark, sf):
     layers = _layers(spark, "silver")
     wait_for_all({"silver": layers.start_silver(txn_stream(spark, sf), cents=True)})
-    return offline.read_silver(spark, layers.silver)
+    return offline.read_silver(spark, layers.silver).drop("event_date")
 
 
 def trailing_update_stream(spark, sf):
