@@ -54,10 +54,11 @@ def _user_id() -> Column:
     return _error(_fails(F.col("user_id").rlike(USER_ID_REGEX)), "Invalid user_id format: ", "user_id")
 
 
-def transaction_errors(countries: list[str] | None = None) -> Column:
+def transaction_checks(countries: list[str] | None = None) -> list[Column]:
+    """One message or null per rule, in the order they are reported."""
     amount = F.col("amount")
     positive = _finite("amount") & (amount > 0)
-    return _errors([
+    return [
         _error(_fails(F.col("transaction_id").rlike(TRANSACTION_ID_REGEX)),
                "Invalid transaction_id format: ", "transaction_id"),
         _user_id(),
@@ -69,10 +70,10 @@ def transaction_errors(countries: list[str] | None = None) -> Column:
         _error(_fails(F.col("merchant_country").isin(countries or COUNTRIES)),
                "Invalid merchant_country: ", "merchant_country"),
         _error(_fails(F.length("timestamp") > 0), "Invalid timestamp: ", "timestamp"),
-    ])
+    ]
 
 
-def user_feature_errors() -> Column:
+def user_feature_checks() -> list[Column]:
     checks = [_user_id()]
     for name in WINDOW_FEATURES:
         value = F.col(name)
@@ -80,10 +81,10 @@ def user_feature_errors() -> Column:
             F.when(value.isNull(), F.lit(f"{name} is required"))
             .when(value < 0, F.concat(F.lit(f"{name} must be non-negative: "), _shown(name)))
         )
-    return _errors(checks)
+    return checks
 
 
-def flag_errors() -> Column:
+def flag_checks() -> list[Column]:
     """Flags may be booleans or the integers 0 and 1."""
     positive = _finite("amount") & (F.col("amount") > 0)
     checks = [_user_id(), _error(_fails(positive), "amount must be positive: ", "amount")]
@@ -91,13 +92,13 @@ def flag_errors() -> Column:
         text = F.col(name).cast("string")
         checks.append(_error(_fails(text.isin("0", "1", "true", "false")),
                              f"{name} must be boolean: ", name))
-    return _errors(checks)
+    return checks
 
 
 RULES = {
-    "transaction": transaction_errors,
-    "user_features": user_feature_errors,
-    "transaction_flags": flag_errors,
+    "transaction": transaction_checks,
+    "user_features": user_feature_checks,
+    "transaction_flags": flag_checks,
 }
 
 
@@ -111,22 +112,28 @@ def require_columns(df: DataFrame, kind: str) -> None:
 def with_errors(df: DataFrame, kind: str) -> DataFrame:
     """Add the array column ``errors``, empty for a valid row."""
     require_columns(df, kind)
-    return df.withColumn("errors", RULES[kind]())
+    return df.withColumn("errors", _errors(RULES[kind]()))
 
 
 def is_valid() -> Column:
     return F.size("errors") == 0
 
 
-def split_valid(df: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Valid rows without, and invalid rows with, their errors."""
-    checked = with_errors(df, kind)
-    return checked.where(is_valid()).drop("errors"), checked.where(~is_valid())
+def valid_rows(df: DataFrame, kind: str) -> DataFrame:
+    """Rows that break no rule. Looks for a first error only and builds no array."""
+    require_columns(df, kind)
+    return df.where(F.coalesce(*RULES[kind]()).isNull())
+
+
+def invalid_rows(df: DataFrame, kind: str) -> DataFrame:
+    """Rows that break a rule, with their ``errors``."""
+    require_columns(df, kind)
+    return with_errors(df.where(F.coalesce(*RULES[kind]()).isNotNull()), kind)
 
 
 def require_valid(df: DataFrame, kind: str) -> DataFrame:
     """Fail-fast mode: raise when any row is invalid, else return the frame."""
-    bad = with_errors(df, kind).where(~is_valid())
+    bad = invalid_rows(df, kind)
     # Only the distinct kinds of error come to the driver; the rules bound them.
     found = error_counts(bad).orderBy("error_type").collect()
     if found:

@@ -80,11 +80,20 @@ def windows(spark, sf):
 
 
 def entities(spark, sf):
-    return tr.labeled_transactions(txns(spark, sf), labels(spark, sf))
+    t = txns(spark, sf)
+    return tr.labeled_transactions(t, tables.labels(t))
 
 
 def training(spark, sf):
-    return tr.training_set(txns(spark, sf), labels(spark, sf), windows(spark, sf))
+    t = txns(spark, sf)
+    return tr.training_set(t, tables.labels(t), windowed_features(t, cents=True))
+
+
+def stored(df, name):
+    """Write a costly intermediate to the shared folder and continue from there."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def newest_time(spark, sf):
@@ -273,8 +282,8 @@ def request_cleaning(spark, sf):
 def _quarantined(spark, sf):
     """Invalid rows of both kinds, written to the quarantine and read back."""
     path = work_dir(configure(spark), "quarantine")
-    _, bad_flags = val.split_valid(flag_rows(dirty(spark, sf)), "transaction_flags")
-    _, bad_users = val.split_valid(select_trailing_window(windowed_dirty(spark, sf)), "user_features")
+    bad_flags = val.invalid_rows(flag_rows(dirty(spark, sf)), "transaction_flags")
+    bad_users = val.invalid_rows(select_trailing_window(windowed_dirty(spark, sf)), "user_features")
     for batch_id, (kind, rows) in enumerate(
         {"transaction_flags": bad_flags, "user_features": bad_users}.items()
     ):
@@ -377,7 +386,8 @@ def training_guard(spark, sf):
 
 
 def stratified_split(spark, sf):
-    return tr.stratified_split(entities(spark, sf)).select("transaction_id", "fraud", "is_test")
+    rows = entities(spark, sf).select("transaction_id", "fraud")
+    return tr.stratified_split(stored(rows, "entities"))
 
 
 def view_schema(spark, sf):
@@ -533,12 +543,24 @@ def exact_trailing_5m(spark, sf):
 # With a trained model (no SQL counterpart) ---------------------------------------------------------
 
 
+# Saved models of this process, by application and input folder.
+_MODELS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
 def _fitted(spark, sf):
-    """Train on the training part; returns the model and the rows with ``is_test``."""
-    shared = work_dir(configure(spark), "training")
-    tr.model_input(training(spark, sf)).write.parquet(shared)
-    rows = tr.stratified_split(spark.read.parquet(shared))
-    return ml.train(rows.where(~F.col("is_test"))), rows
+    """A model trained on the training part, and the rows with ``is_test``.
+
+    Training runs once; later calls load the saved model and the stored rows.
+    """
+    key = (configure(spark).sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        rows_path, model_path = work_dir(spark, "training"), work_dir(spark, "model")
+        tr.model_input(training(spark, sf)).write.parquet(rows_path)
+        rows = tr.stratified_split(spark.read.parquet(rows_path))
+        ml.save(ml.train(rows.where(~F.col("is_test"))), model_path)
+        _MODELS[key] = rows_path, model_path
+    rows_path, model_path = _MODELS[key]
+    return ml.load(model_path), tr.stratified_split(spark.read.parquet(rows_path))
 
 
 def gbt_scores(spark, sf):

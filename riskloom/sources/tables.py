@@ -31,7 +31,7 @@ HOME_SHARE = 85
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from riskloom.functions.flags import flag_rows
-from riskloom.operators.validation import is_valid, split_valid, with_errors
+from riskloom.operators.validation import invalid_rows, valid_rows
 from riskloom.operators.windows import select_trailing_window, watermarked, windowed_features
 from riskloom.schemas import BRONZE, SLIDING, SlidingSpec
 from riskloom.streaming.online import flag_table, user_feature_table
@@ -106,10 +106,9 @@ class Layers:
 
         def write(batch: DataFrame, batch_id: int) -> None:
             def store(rows):
-                valid, _ = split_valid(rows, "user_features")
-                table.write_batch(valid, batch_id)
-                _, invalid = split_valid(select_trailing_window(rows, self.spec), "user_features")
-                self._quarantine(invalid, "user_features", batch_id)
+                table.write_batch(valid_rows(rows, "user_features"), batch_id)
+                chosen = select_trailing_window(rows, self.spec)
+                self._quarantine(invalid_rows(chosen, "user_features"), "user_features", batch_id)
                 if self.compact_every and batch_id and batch_id % self.compact_every == 0:
                     table.compact(rows.sparkSession, batch_id)
 
@@ -128,9 +127,10 @@ class Layers:
 
         def write(batch: DataFrame, batch_id: int) -> None:
             def store(rows):
-                valid, invalid = split_valid(rows, "transaction_flags")
-                table.write_batch(valid, batch_id)
-                self._quarantine(invalid, "transaction_flags", batch_id)
+                table.write_batch(valid_rows(rows, "transaction_flags"), batch_id)
+                self._quarantine(
+                    invalid_rows(rows, "transaction_flags"), "transaction_flags", batch_id
+                )
                 if self.compact_every and batch_id and batch_id % self.compact_every == 0:
                     table.compact(rows.sparkSession, batch_id)
 
@@ -157,7 +157,7 @@ class Layers:
         def write(batch: DataFrame, batch_id: int) -> None:
             self._quarantine(batch, "transaction", batch_id)
 
-        bad = with_errors(transactions, "transaction").where(~is_valid())
+        bad = invalid_rows(transactions, "transaction")
         return self._start(bad.writeStream.outputMode("append").foreachBatch(write), "rejected")
 
     def _quarantine(self, invalid: DataFrame, kind: str, batch_id: int) -> None:
@@ -177,9 +177,7 @@ class Layers:
         ``deduplicate`` repeated deliveries inside the watermark count once in the
         closed windows (update mode allows no second stateful step).
         """
-        clean = transactions
-        if validate:
-            clean = with_errors(transactions, "transaction").where(is_valid()).drop("errors")
+        clean = valid_rows(transactions, "transaction") if validate else transactions
         queries = {
             "bronze": self.start_bronze(transactions),
             "user_features": self.start_user_features(clean),
