@@ -1,0 +1,155 @@
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.operators import explain as ex
+from riskloom.operators import monitoring as mon
+from riskloom.operators.scoring import lookup, rule_probability, score
+from riskloom.operators.velocity import flag_over_limit
+from riskloom.schemas import AMOUNT_BOUNDS, FEATURE_ORDER
+
+NOON = datetime(2024, 1, 1, 12)
+ONLINE = ("user_id string, txn_count_5min long, total_amount_5min double, avg_amount_5min double, "
+          "max_amount_5min double")
+REQUEST = "id int, user_id string, amount double, merchant_country string"
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    online = spark.createDataFrame([("a", 12, 6000.0, 500.0, 1500.0)], ONLINE)
+    requests = spark.createDataFrame(
+        [(1, "a", 900.0, "NG"), (2, "b", 25.0, "US"), (3, "a", 25.0, "CN"), (4, None, 1.0, "US")], REQUEST)
+    return score(requests, online, rule_probability)
+
+
+def test_score(scored):
+    got = {r.id: r for r in scored.collect()}
+    assert (got[1].risk_level, got[1].features_found, got[1].txn_count_5min) == ("HIGH", True, 12.0)
+    assert (got[2].risk_level, got[2].features_found, got[2].max_amount_5min) == ("LOW", False, 0.0)
+    assert (got[3].is_foreign, got[3].is_high_amount, got[3].is_suspicious) == (1.0, 0.0, 0.0)
+    assert not got[4].features_found and got[2].fraud_probability == 0.05
+
+
+def test_lookup_serves_text_rows_too(spark):
+    online = spark.createDataFrame([("a", "3", "10.5", "3.5", "x")], ONLINE.replace("long", "string").replace("double", "string"))
+    found = lookup(spark.createDataFrame([(1, "a", 1.0, "US")], REQUEST), online)
+    assert found.first().features_found
+
+
+def test_reasons(scored):
+    got = {r.id: r.r for r in scored.select("id", ex.reasons().alias("r")).collect()}
+    assert got[1] == [
+        "Foreign transaction exceeds suspicious threshold ($200) — country=NG",
+        "High-value transaction ($900.00 > $500 threshold)",
+        "High velocity: 12 transactions in last 5 minutes",
+        "Peak amount in window is high ($1500.00)",
+        "Large total volume in window ($6000.00 in 5 min)",
+    ]
+    assert got[2] == ["No strong fraud indicators in this transaction"]
+    assert got[3][0] == "Foreign merchant country (CN)"
+
+
+def vector(spark, **values):
+    row = {**dict.fromkeys(FEATURE_ORDER, 0.0), "probability": 0.5, "merchant_country": None, "amount": None, **values}
+    kinds = {"merchant_country": "string"}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in row))
+
+
+@pytest.mark.parametrize("values, reasons", [
+    ({}, ["Model flagged transaction — pattern matches historical fraud"]),
+    ({"probability": 0.4}, ["No strong fraud indicators in this transaction"]),
+    ({"is_foreign": 1.0}, ["Foreign merchant country (non-US)"]),
+    ({"is_suspicious": 1.0, "merchant_country": ""},
+     ["Foreign transaction exceeds suspicious threshold ($200) — country=foreign"]),
+    ({"is_high_amount": 1.0, "max_amount_5min": 700.0}, ["High-value transaction ($700.00 > $500 threshold)"]),
+    ({"is_high_amount": 1.0, "avg_amount_5min": 600.0}, ["High-value transaction ($600.00 > $500 threshold)"]),
+    ({"txn_count_5min": 10.0}, ["Elevated velocity: 10 transactions in last 5 minutes"]),
+    ({"txn_count_5min": 5.0, "probability": 0.1}, ["No strong fraud indicators in this transaction"]),
+])
+def test_reason_rules(spark, values, reasons):
+    assert vector(spark, **values).select(ex.reasons()).first()[0] == reasons
+
+
+def test_contributions(spark):
+    df = vector(spark, txn_count_5min=40.0, total_amount_5min=2500.0, avg_amount_5min=-2500.0, is_foreign=1.0)
+    weights = [2.0, 2.0, 2.0, 1.0, 1.0, 1.0, 1.0]
+    got = df.select(*[c.alias(n) for n, c in ex.contributions(weights).items()]).first()
+    assert list(got) == pytest.approx([0.2, 0.1, -0.2, 0.0, 0.06, -0.06, -0.06])
+
+
+@pytest.mark.parametrize("importances", [None, [1.0, 2.0]])
+def test_contributions_are_uniform_without_importances(spark, importances):
+    assert ex.normalised(importances) == [1 / 7] * 7
+
+
+def test_top_contributors_break_ties_in_feature_order(spark):
+    df = vector(spark, is_foreign=1.0)
+    got = df.select(ex.top_contributors(ex.contributions(None)).alias("t")).first().t
+    assert [(e.feature, e.direction) for e in got] == [
+        ("is_foreign", "increases risk"), ("is_high_amount", "decreases risk"), ("is_suspicious", "decreases risk")]
+    assert got[0].contribution == round(0.6 / 7, 4)
+
+
+def test_explanation_record(scored):
+    got = ex.explain(scored).where("id = 1").first().explanation
+    assert set(got.contributions) == set(FEATURE_ORDER)
+    assert len(got.top_contributors) == 3 and got.method == "importance_fallback"
+
+
+def quantile(q, counts, bounds=AMOUNT_BOUNDS):
+    """Linear interpolation over cumulative bucket counts, written out once more."""
+    rank = q * counts[-1]
+    for i, bound in enumerate(bounds):
+        if counts[i] >= rank:
+            low, before = (bounds[i - 1], counts[i - 1]) if i else (0, 0)
+            return bound if counts[i] == before else low + (bound - low) * (rank - before) / (counts[i] - before)
+    return bounds[-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_histogram_and_quantiles(spark, seed):
+    rng = random.Random(seed)
+    amounts = [round(rng.expovariate(1 / rng.choice([30, 400, 9000])), 2) for _ in range(200)] + [None, 10.0]
+    df = spark.createDataFrame([(a,) for a in amounts], "amount double")
+    present = [a for a in amounts if a is not None]
+    counts = [sum(a <= b for a in present) for b in AMOUNT_BOUNDS] + [len(present)]
+    hist = mon.amount_histogram(df)
+    row = hist.first()
+    assert [row[f"le_{b}"] for b in AMOUNT_BOUNDS] + [row.le_inf] == counts
+    for q in (0.01, 0.5, 0.95, 0.999):
+        assert hist.select(mon.histogram_quantile(q)).first()[0] == pytest.approx(quantile(q, counts))
+
+
+def test_quantile_of_nothing(spark):
+    empty = spark.createDataFrame([], "amount double")
+    assert mon.amount_histogram(empty).select(mon.histogram_quantile(0.5)).first()[0] is None
+
+
+def test_rate_and_last_value(spark):
+    rows = [("t1", NOON, "LOW", 0.1), ("t2", NOON + timedelta(minutes=4), "LOW", 0.2),
+            ("t3", NOON + timedelta(minutes=5), "HIGH", 0.9), ("t0", NOON + timedelta(minutes=5), "LOW", 0.3)]
+    df = spark.createDataFrame(rows, "transaction_id string, event_time timestamp, risk_level string, p double")
+    got = {(r.s, r.risk_level): r.per_second for r in mon.rate(df, "risk_level").selectExpr(
+        "date_format(interval_start, 'HH:mm') s", "risk_level", "per_second").collect()}
+    assert got == {("12:00", "LOW"): 2 / 300, ("12:05", "HIGH"): 1 / 300, ("12:05", "LOW"): 1 / 300}
+    assert mon.last_value(df, "p").first().p == 0.9
+
+
+@pytest.mark.parametrize("seconds", [60, 300])
+def test_velocity_against_brute_force(spark, seconds):
+    rng = random.Random(seconds)
+    rows = []
+    for i in range(500):
+        user = "hot" if i % 3 == 0 else f"u{rng.randrange(3)}"
+        rows.append((i, user, NOON + timedelta(seconds=rng.randrange(900), microseconds=rng.choice([0, 0, 1]))))
+    rows += [(1000 + i, "hot", NOON) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, user_id string, event_time timestamp")
+    span = timedelta(seconds=seconds)
+    expected = {i: sum(u2 == u and t - span < t2 <= t for _, u2, t2 in rows) for i, u, t in rows}
+    got = flag_over_limit(df, limit=20, seconds=seconds).collect()
+    assert {r.id: r.n_trailing for r in got} == expected
+    assert all(r.over_limit == (r.n_trailing > 20) for r in got)
