@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -200,14 +201,21 @@ def _with_batch(batch: DataFrame, store: Callable[[DataFrame], None]) -> None:
         batch.unpersist()
 
 
-def wait_for_any(spark: SparkSession, queries: dict[str, StreamingQuery], timeout: int | None = None) -> None:
-    """Block until one of the queries ends, then stop the others."""
+def wait_for_any(spark: SparkSession, queries: dict[str, StreamingQuery], timeout: float = float("inf")) -> None:
+    """Block until one of the queries ends, stop the others, and raise what ended it."""
+    deadline = time.monotonic() + timeout
     try:
-        spark.streams.awaitAnyTermination(timeout)
+        while all(q.isActive for q in queries.values()) and time.monotonic() < deadline:
+            # Other queries of the session may have ended before; forget those.
+            spark.streams.resetTerminated()
+            spark.streams.awaitAnyTermination(1)
     finally:
         for query in queries.values():
             if query.isActive:
                 query.stop()
+    for query in queries.values():
+        if query.exception() is not None:
+            raise query.exception()
 
 
 def wait_for_all(queries: dict[str, StreamingQuery], timeout: int = 600) -> None:
