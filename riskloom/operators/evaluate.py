@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import shared_dir
+
 
 def _ratio(part: Column, whole: Column) -> Column:
     """The quotient, 0.0 when there is nothing to divide by."""
@@ -39,12 +41,14 @@ def roc_auc(
 
     Rows are combined per distinct score first. The running count of negatives
     is then built inside score ranges and over the range totals, so no task
-    sorts all scores. Null when one class is absent.
+    sorts all scores. The counts per score are checkpointed, so the predictions
+    are computed once. Null when one class is absent.
     """
+    shared_dir(predictions.sparkSession)
     by_score = predictions.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"),
-    )
+    ).checkpoint()
     # Range limits only balance the work; any limits give the same result.
     steps = [i / ranges for i in range(1, ranges)]
     limits = sorted(set(by_score.approxQuantile("score", steps, 1 / (2 * ranges))))

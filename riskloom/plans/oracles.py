@@ -134,6 +134,9 @@ CTES["looked_up"] = """
     SELECT r.*, o.txn_count_5min, o.total_amount_5min, o.avg_amount_5min, o.max_amount_5min,
            o.user_id IS NOT NULL AS features_found
     FROM good_requests r LEFT JOIN online_live o USING (user_id)"""
+CTES["looked_up_any"] = CTES["looked_up"].replace("online_live", "trailing_rows")
+CTES["request_vectors_any"] = _vector(
+    "looked_up_any", "event_id, user_id, features_found, amount, merchant_country")
 CTES["request_vectors"] = _vector("looked_up", "event_id, user_id, features_found, amount, merchant_country")
 _SCORE = """
     SELECT *, CASE WHEN probability > 0.7 THEN 'HIGH' WHEN probability > 0.4 THEN 'MEDIUM'
@@ -143,12 +146,14 @@ _SCORE = """
           FROM {source})"""
 CTES["scored"] = _SCORE.format(source="vectors")
 CTES["scored_requests"] = _SCORE.format(source="request_vectors")
+CTES["scored_requests_any"] = _SCORE.format(source="request_vectors_any")
 
 # What each relation is built from, in an order that can be written down.
 ORDER = [
     "txns", "labels", "first_labels", "entities", "dirty", "requests", "good_requests", "windows",
     "dirty_windows", "trailing_rows", "online_rows", "online_live", "pit", "vectors", "looked_up",
-    "request_vectors", "scored", "scored_requests",
+    "request_vectors", "scored", "scored_requests", "looked_up_any", "request_vectors_any",
+    "scored_requests_any",
 ]
 
 
@@ -311,6 +316,8 @@ SELECTS = {
         strftime(label_time, '%Y-%m-%dT%H:%M:%S.%f') AS label_timestamp, {t('label_time')} FROM labels""",
     "rejected_stream": f"""SELECT 'transaction' AS kind, event_id, errors
         FROM (SELECT event_id, {_TXN_ERRORS} AS errors FROM dirty) WHERE errors <> ''""",
+    "scores_stream": f"""SELECT event_id, user_id, features_found, {NUMBERS}, is_foreign, is_high_amount,
+        is_suspicious, probability, risk_level FROM scored_requests_any""",
     "validate_transactions": f"SELECT {_MESSAGES} FROM (SELECT event_id, {_TXN_ERRORS} AS errors FROM dirty)",
     "validate_user_features": f"""SELECT user_id, {t('window_start')}, errors = '' AS valid, errors
         FROM (SELECT *, {_FEATURE_ERRORS} AS errors FROM dirty_windows)""",

@@ -255,6 +255,18 @@ def rejected_stream(spark, sf):
     )
 
 
+def scores_stream(spark, sf):
+    """Requests scored on a stream against the online table another stream filled."""
+    layers = _layers(spark, "scores")
+    wait_for_all({"q": layers.start_user_features(txn_stream(spark, sf), cents=True)})
+    table = user_feature_table(f"{layers.online}/user_features")
+    requests = tables.requests(txn_stream(spark, sf))
+    wait_for_all({"q": layers.start_scores(requests, lambda: table.merged(spark), rule_probability)})
+    return spark.read.parquet(layers.scores).select(
+        "event_id", "user_id", "features_found", *FEATURE_ORDER, "probability", "risk_level"
+    )
+
+
 # Validation -----------------------------------------------------------------------------
 
 
@@ -604,6 +616,7 @@ QUERIES: dict[str, Query] = {
     "bronze_replay": bronze_replay,
     "labels_stream": labels_stream,
     "rejected_stream": rejected_stream,
+    "scores_stream": scores_stream,
     "validate_transactions": validate_transactions,
     "validate_user_features": validate_user_features,
     "validate_flags": validate_flags,

@@ -58,7 +58,9 @@ def _category(kind: Column) -> Column:
 
 def transactions(events: DataFrame) -> DataFrame:
     """One transaction per event, with ``event_id`` kept as the row's number."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    # A projection of its own, so the JSON is read once per row.
+    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     abroad = F.element_at(F.array(*[F.lit(c) for c in ABROAD]), (k - HOME_SHARE) % len(ABROAD) + 1)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return events.select(

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from riskloom.functions.flags import flag_rows
-from riskloom.operators.validation import invalid_rows, valid_rows
+from riskloom.operators.scoring import score
+from riskloom.operators.validation import clean_requests, invalid_rows, is_valid, valid_rows
 from riskloom.operators.windows import select_trailing_window, watermarked, windowed_features
 from riskloom.schemas import BRONZE, SLIDING, SlidingSpec
 from riskloom.streaming.online import flag_table, user_feature_table
@@ -21,7 +22,8 @@ from riskloom.streaming.quarantine import write_quarantine
 logger = logging.getLogger(__name__)
 
 # Seconds between micro-batches.
-TRIGGERS = {"bronze": 30, "user_features": 30, "flags": 10, "silver": 30, "labels": 30, "rejected": 30}
+TRIGGERS = {"bronze": 30, "user_features": 30, "flags": 10, "silver": 30, "labels": 30,
+            "rejected": 30, "scores": 10}
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,10 @@ class Layers:
     def quarantine(self) -> str:
         return f"{self.root}/quarantine/invalid_records"
 
+    @property
+    def scores(self) -> str:
+        return f"{self.root}/scores"
+
     @property
     def online(self) -> str:
         return f"{self.root}/online"
@@ -141,6 +147,31 @@ class Layers:
             flag_rows(transactions).writeStream.outputMode("append").foreachBatch(write), "flags"
         )
 
+    # Scores -----------------------------------------------------------------------
+
+    def start_scores(
+        self,
+        requests: DataFrame,
+        online: Callable[[], DataFrame],
+        probability: Callable[[DataFrame], DataFrame],
+    ) -> StreamingQuery:
+        """Score a stream of requests against the online table as it is at each batch.
+
+        ``online`` is asked for the live rows in every batch. Requests that break
+        a rule go to the quarantine. A replayed batch replaces its scores.
+        """
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            def store(rows):
+                checked = clean_requests(rows)
+                scored = score(checked.where(is_valid()).drop("errors"), online(), probability)
+                scored.write.mode("overwrite").parquet(f"{self.scores}/batch_id={batch_id}")
+                self._quarantine(checked.where(~is_valid()), "request", batch_id)
+
+            _with_batch(batch, store)
+
+        return self._start(requests.writeStream.outputMode("append").foreachBatch(write), "scores")
+
     # Labels -----------------------------------------------------------------------
 
     def start_labels(self, labels: DataFrame) -> StreamingQuery:
