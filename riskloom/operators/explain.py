@@ -99,14 +99,15 @@ def reasons(
 
 
 def explain(scored: DataFrame, importances: list[float] | None = None) -> DataFrame:
-    """Add ``explanation``: contributions, top contributors, reasons and method."""
+    """Add ``explanation``: contributions (as ``shap_values``), top contributors,
+    reasons and method."""
     parts = contributions(importances)
     by_name = F.map_from_arrays(
         F.array(*[F.lit(name) for name in parts]),
         F.array(*[F.round(part, 4) for part in parts.values()]),
     )
     return scored.withColumn("explanation", F.struct(
-        by_name.alias("contributions"),
+        by_name.alias("shap_values"),
         top_contributors(parts).alias("top_contributors"),
         reasons().alias("reasons"),
         F.lit(METHOD).alias("method"),

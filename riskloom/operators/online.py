@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.windows import latest_window, select_trailing_window
+from riskloom.operators.windows import latest_window, newest, select_trailing_window
 from riskloom.schemas import FLAG_FEATURES, FLAGS_TTL, SLIDING, USER_FEATURES_TTL, SlidingSpec
 
 
 def newest_per_key(rows: DataFrame, keys: list[str], version: str = "batch_id") -> DataFrame:
-    """The row with the greatest version of each key."""
+    """The row with the greatest version of each key, whole, also among copies."""
     rest = [c for c in rows.columns if c not in keys]
     return (
         rows.groupBy(*keys)
@@ -19,22 +19,24 @@ def newest_per_key(rows: DataFrame, keys: list[str], version: str = "batch_id")
     )
 
 
+def current_windows(deltas: DataFrame) -> DataFrame:
+    """Each window as the newest batch that touched it left it.
+
+    ``updated_at`` becomes the time any window of the user was last touched.
+    """
+    touched = F.max("updated_at").over(Window.partitionBy("user_id"))
+    return newest(deltas, ["user_id", "window_start"], "batch_id").withColumn("updated_at", touched)
+
+
 def merge_user_windows(deltas: DataFrame, spec: SlidingSpec = SLIDING) -> DataFrame:
     """One row per user out of all windows the batches touched.
 
     A batch carries complete aggregates, so the newest batch of a window wins;
     then the trailing window is chosen per user. Choosing first and letting the
     last batch win would put an older or stale window in place after a late event.
-    The row was updated when any window of the user last was.
     """
-    windows = newest_per_key(deltas, ["user_id", "window_start"])
-    touched = deltas.groupBy("user_id").agg(F.max("updated_at").alias("_touched"))
-    chosen = select_trailing_window(windows.drop("batch_id"), spec)
-    return (
-        chosen.join(touched, "user_id")
-        .withColumn("updated_at", F.col("_touched"))
-        .drop("_touched")
-    )
+    rows = [c for c in deltas.columns if c != "batch_id"]
+    return select_trailing_window(current_windows(deltas).select(*rows), spec)
 
 
 def with_expiry(rows: DataFrame, ttl: int) -> DataFrame:

@@ -107,6 +107,18 @@ def windowed_features(
     )
 
 
+def newest(df: DataFrame, keys: list[str | Column], order: str) -> DataFrame:
+    """The row with the greatest ``order`` per key, where no key has that value twice.
+
+    Column by column, which for numbers and times is a hash aggregation.
+    """
+    names = [k for k in keys if isinstance(k, str)]
+    rest = [c for c in df.columns if c not in (*names, order)]
+    return df.groupBy(*keys).agg(
+        F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest]
+    )
+
+
 def _newest_by_phase(df: DataFrame, time: str, phase: Column) -> DataFrame:
     """Per user, the newest row of each residue of time modulo the window length.
 
@@ -114,12 +126,7 @@ def _newest_by_phase(df: DataFrame, time: str, phase: Column) -> DataFrame:
     different residues, so they are all kept, in one row per residue and user,
     and the aggregation combines before it shuffles.
     """
-    rest = [c for c in df.columns if c not in ("user_id", time)]
-    return (
-        df.groupBy("user_id", phase.alias("_phase"))
-        .agg(F.max(time).alias(time), *[F.max_by(c, time).alias(c) for c in rest])
-        .drop("_phase")
-    )
+    return newest(df, ["user_id", phase.alias("_phase")], time).drop("_phase")
 
 
 def select_trailing_window(windows: DataFrame, spec: SlidingSpec = SLIDING) -> DataFrame:
@@ -168,15 +175,7 @@ def latest_window(windows: DataFrame) -> DataFrame:
     Covers only about the last minute; kept to show that the trailing choice
     differs, and used to materialise closed windows.
     """
-    rest = [c for c in windows.columns if c not in ("user_id", "window_start")]
-    return (
-        windows.groupBy("user_id")
-        .agg(
-            F.max("window_start").alias("window_start"),
-            *[F.max_by(c, "window_start").alias(c) for c in rest],
-        )
-        .select(*windows.columns)
-    )
+    return newest(windows, ["user_id"], "window_start").select(*windows.columns)
 
 
 def closed_windows(windows: DataFrame, watermark: Column) -> DataFrame:

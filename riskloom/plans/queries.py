@@ -591,13 +591,27 @@ def explanations(spark, sf):
     scored = scored.join(facts, "transaction_id")
     return ex.explain(scored, ml.importances(model)).select(
         "transaction_id", "probability",
-        F.to_json("explanation.contributions").alias("contributions"),
+        F.to_json("explanation.shap_values").alias("shap_values"),
         F.to_json("explanation.top_contributors").alias("top_contributors"),
         F.array_join("explanation.reasons", "; ").alias("reasons"),
         "explanation.method",
     )
 
 
+def gbt_importances(spark, sf):
+    model, _ = _fitted(spark, sf)
+    return ml.importance_table(spark, model)
+
+
+def gbt_run_metrics(spark, sf):
+    """Metrics on the test part, logged to a run table and read back."""
+    model, rows = _fitted(spark, sf)
+    metrics = ml.evaluate(ml.predict(model, rows.where("is_test")))
+    path = work_dir(spark, "runs")
+    ml.log_run(spark, path, "gbt", {"trees": ml.TREES, "depth": ml.TREE_DEPTH, "rate": ml.LEARNING_RATE}, metrics)
+    return spark.read.parquet(path).select("run_id", *ml.METRICS)
+
+
 QUERIES: dict[str, Query] = {
     "flags": flags,
     "sql_flags": sql_flags,
@@ -662,8 +676,13 @@ QUERIES: dict[str, Query] = {
     "exact_trailing_5m": exact_trailing_5m,
     "gbt_scores": gbt_scores,
     "explanations": explanations,
+    "gbt_importances": gbt_importances,
+    "gbt_run_metrics": gbt_run_metrics,
 }
 
+# These depend on a trained model and have no SQL counterpart.
+MODEL_QUERIES = {"gbt_scores", "explanations", "gbt_importances", "gbt_run_metrics"}
+
 
 def _registered(build: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

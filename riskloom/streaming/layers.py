@@ -16,7 +16,7 @@ from riskloom.operators.scoring import score
 from riskloom.operators.validation import clean_requests, invalid_rows, is_valid, valid_rows
 from riskloom.operators.windows import select_trailing_window, watermarked, windowed_features
 from riskloom.schemas import BRONZE, SLIDING, SlidingSpec
-from riskloom.streaming.online import flag_table, user_feature_table
+from riskloom.streaming.online import OnlineTable, flag_table, user_feature_table
 from riskloom.streaming.quarantine import write_quarantine
 
 logger = logging.getLogger(__name__)
@@ -116,8 +116,7 @@ class Layers:
                 table.write_batch(valid_rows(rows, "user_features"), batch_id)
                 chosen = select_trailing_window(rows, self.spec)
                 self._quarantine(invalid_rows(chosen, "user_features"), "user_features", batch_id)
-                if self.compact_every and batch_id and batch_id % self.compact_every == 0:
-                    table.compact(rows.sparkSession, batch_id)
+                self._maintain(table, rows.sparkSession, batch_id)
 
             _with_batch(batch, store)
 
@@ -138,8 +137,7 @@ class Layers:
                 self._quarantine(
                     invalid_rows(rows, "transaction_flags"), "transaction_flags", batch_id
                 )
-                if self.compact_every and batch_id and batch_id % self.compact_every == 0:
-                    table.compact(rows.sparkSession, batch_id)
+                self._maintain(table, rows.sparkSession, batch_id)
 
             _with_batch(batch, store)
 
@@ -192,6 +190,11 @@ class Layers:
         bad = invalid_rows(transactions, "transaction")
         return self._start(bad.writeStream.outputMode("append").foreachBatch(write), "rejected")
 
+    def _maintain(self, table: OnlineTable, spark: SparkSession, batch_id: int) -> None:
+        if self.compact_every and batch_id and batch_id % self.compact_every == 0:
+            table.compact(spark, batch_id)
+            table.vacuum(spark)
+
     def _quarantine(self, invalid: DataFrame, kind: str, batch_id: int) -> None:
         write_quarantine(invalid, self.quarantine, kind, batch_id, self.quarantine_fallback)
 

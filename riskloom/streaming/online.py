@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.operators.online import live, merge_user_windows, newest_per_key, with_expiry
+from riskloom.operators.online import (
+    current_windows, live, merge_user_windows, newest_per_key, with_expiry,
+)
 from riskloom.schemas import FLAGS_TTL, SLIDING, USER_FEATURES_TTL, WINDOWED, SlidingSpec
 
 USER_ROWS = T.StructType(WINDOWED.fields + [T.StructField("updated_at", T.TimestampType())])
@@ -89,12 +91,29 @@ class OnlineTable:
                 raise
             return spark.createDataFrame([], schema)
 
+    def vacuum(self, spark: SparkSession, keep_bases: int = 2) -> None:
+        """Delete batches and bases that no reader of the newest ``keep_bases`` bases needs."""
+        bases = self._batches(spark, "base")
+        if len(bases) < keep_bases:
+            return
+        oldest = bases[-keep_bases]
+        spent = [("base", b) for b in bases if b < oldest]
+        spent += [("deltas", b) for b in self._batches(spark, "deltas") if b <= oldest]
+        for part, batch_id in spent:
+            folder = self._hadoop_path(spark, f"{part}/batch_id={batch_id}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def _newest_base(self, spark: SparkSession) -> int | None:
-        """The base with the greatest batch whose write was completed."""
-        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/base/batch_id=*/_SUCCESS")
+        return max(self._batches(spark, "base"), default=None)
+
+    def _batches(self, spark: SparkSession, part: str) -> list[int]:
+        """Batches of ``part`` whose write was completed, oldest first."""
+        pattern = self._hadoop_path(spark, f"{part}/batch_id=*/_SUCCESS")
         found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-        ids = [int(s.getPath().getParent().getName().split("=")[1]) for s in found or []]
-        return max(ids, default=None)
+        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
+
+    def _hadoop_path(self, spark: SparkSession, below: str):
+        return spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{below}")
 
 
 @dataclass(frozen=True)
@@ -107,20 +126,19 @@ class UserFeatureTable(OnlineTable):
         return with_expiry(merge_user_windows(self.stored(spark), self.spec), self.ttl)
 
     def _still_needed(self, rows: DataFrame, as_of: Column) -> DataFrame:
-        # A late event may still touch any window younger than the watermark, and
-        # a user's expiry follows the newest of the user's windows.
-        by_user = Window.partitionBy("user_id")
-        horizon = F.expr(f"interval {self.spec.watermark + self.spec.size} seconds")
+        # A late event may still touch any window younger than the watermark.
+        newest_start = F.max("window_start").over(Window.partitionBy("user_id"))
         return (
-            newest_per_key(rows, ["user_id", "window_start"])
-            .withColumns({
-                "_newest": F.max("window_start").over(by_user),
-                "_touched": F.max("updated_at").over(by_user),
-            })
-            .where(F.col("window_end") > F.col("_newest") - horizon)
-            .where(F.col("_touched") + F.expr(f"interval {self.ttl + self.spec.watermark} seconds") > as_of)
+            current_windows(rows)
+            .withColumn("_newest", newest_start)
+            .where(F.col("window_end") > F.col("_newest") - self._seconds(self.spec.watermark + self.spec.size))
+            .where(F.col("updated_at") + self._seconds(self.ttl + self.spec.watermark) > as_of)
         )
 
+    @staticmethod
+    def _seconds(n: int) -> Column:
+        return F.expr(f"interval {n} seconds")
+
 
 def user_feature_table(path: str, spec: SlidingSpec = SLIDING) -> UserFeatureTable:
     return UserFeatureTable(path, USER_ROWS, USER_FEATURES_TTL, ("user_id",), spec)

@@ -105,6 +105,22 @@ def test_an_unfinished_base_is_ignored(spark, tmp_path):
     assert table.read(spark).count() == 1
 
 
+def test_vacuum_keeps_what_readers_need(spark, tmp_path):
+    table = user_feature_table(str(tmp_path / "t"))
+    batches, seen = micro_batches(5), []
+    for i, new in enumerate(batches):
+        table.write_batch(touched(spark, seen, new), i)
+        seen += new
+        if i in (1, 3, 5):
+            table.compact(spark, i)
+            table.vacuum(spark)
+    kept = {part: sorted(p.name for p in (tmp_path / "t" / part).glob("batch_id=*")) for part in ("base", "deltas")}
+    assert kept == {"base": ["batch_id=3", "batch_id=5"],
+                    "deltas": ["batch_id=4", "batch_id=5", "batch_id=6", "batch_id=7"]}
+    whole = select_trailing_window(windowed_features(spark.createDataFrame(seen, TXN), cents=True))
+    assert shown(table.merged(spark).select(whole.columns)) == shown(whole)
+
+
 def test_hashes(spark):
     rows = spark.createDataFrame(
         [("user_0042", 3, 123.456789, 41.1523, 99.999, NOON, NOON, NOON),

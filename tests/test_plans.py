@@ -18,7 +18,7 @@ from riskloom.plans import queries
 from riskloom.streaming.online import user_feature_table
 
 STREAMS = {n for n in queries.QUERIES if n.endswith("_stream")} | {"bronze_replay"}
-MODELS = {"gbt_scores", "explanations"}
+MODELS = queries.MODEL_QUERIES
 
 
 def plan(df):

@@ -96,7 +96,7 @@ def test_top_contributors_break_ties_in_feature_order(spark):
 
 def test_explanation_record(scored):
     got = ex.explain(scored).where("id = 1").first().explanation
-    assert set(got.contributions) == set(FEATURE_ORDER)
+    assert set(got.shap_values) == set(FEATURE_ORDER)
     assert len(got.top_contributors) == 3 and got.method == "importance_fallback"
 
 
