@@ -14,26 +14,39 @@ def trailing_counts(
 ) -> DataFrame:
     """Per key and instant, the events in ``(t - seconds, t]``.
 
-    Events of one instant are counted first. Each instant then stands in its own
-    interval of ``seconds`` and, as history, in the next one, so a busy key is
-    spread over intervals instead of being sorted in one task.
+    Events of one instant are counted first. An instant adds its events when it
+    comes and takes them back ``seconds`` later, so the count at any time is a
+    running sum; a sliding frame would be added up anew for every row. Time is
+    cut into intervals of ``seconds``, which start with what the interval before
+    holds, so a busy key is spread over intervals instead of one task.
     """
     span = seconds * 1_000_000
-    instants = (
-        events.where(F.col(time).isNotNull())
-        .groupBy(key, time)
-        .agg(F.count(F.lit(1)).alias("n_events"))
-        .withColumn("_micros", F.unix_micros(time))
-        .withColumn("_own", F.floor(F.col("_micros") / span))
-        .withColumn("_part", F.explode(F.array("_own", F.col("_own") + 1)))
+    own, at, n = F.col("_own"), F.col("_at"), F.col("n_events")
+
+    def change(part, when, by, comes):
+        return F.struct(
+            part.alias("part"), when.alias("at"), by.alias("by"), F.lit(comes).alias("comes")
+        )
+
+    changes = F.array(
+        change(own, at, n, True),
+        change(own + 1, (own + 1) * span, n, False),
+        change(own + 1, at + span, -n, False),
     )
-    trailing = (
-        Window.partitionBy(key, "_part").orderBy("_micros").rangeBetween(-(span - 1), 0)
+    running = (
+        Window.partitionBy(key, "part").orderBy("at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        instants.withColumn("n_trailing", F.sum("n_events").over(trailing))
-        .where(F.col("_part") == F.col("_own"))
-        .drop("_micros", "_own", "_part")
+        events.where(F.col(time).isNotNull())
+        .groupBy(key, time)
+        .agg(F.count(F.lit(1)).alias("n_events"))
+        .withColumn("_at", F.unix_micros(time))
+        .withColumn("_own", F.floor(F.col("_at") / span))
+        .select(key, time, "n_events", F.inline(changes))
+        .withColumn("n_trailing", F.sum("by").over(running))
+        .where("comes")
+        .select(key, time, "n_events", "n_trailing")
     )
 
 
