@@ -154,3 +154,9 @@ def test_hot_user_reaches_no_window_as_raw_rows(spark):
         df = windowed_features(hot_rows(spark))
         assert df.where("user_id = 'user_0000'").count() == 5
         assert df.agg(F.max("txn_count_5min")).first()[0] == 20000
+
+
+def test_trailing_counts_use_a_running_sum(spark, txns):
+    """A frame that slides at its lower end is added up anew for every row."""
+    frames = re.findall(r"specifiedwindowframe\(([^)]*)", plan(flag_over_limit(txns)))
+    assert frames and all("unboundedpreceding" in f.lower() for f in frames)
