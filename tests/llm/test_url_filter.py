@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+import xxhash
+
+from riskloom.llm import url_filter as uf
+from riskloom.llm.queries import QUERIES, URL_RULES
+
+
+def brute(url, rules=URL_RULES, words=uf.BLOCKED_WORDS):
+    import re
+
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]) if m else ""
+    path = m[2] if m else ""
+    best = None
+    for rule, verdict in rules.items():
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+            if best is None or (len(rule), len(h)) > (len(best[0]), len(best[1])):
+                best = (rule, h, verdict)
+    if best:
+        return host, path, best[0], best[2]
+    return host, path, None, "block" if set(re.findall("[a-z0-9]+", host)) & set(words) else "allow"
+
+
+URLS = [
+    None, "", "no scheme.org/x", "http://EXAMPLE.org/es/a?b#c", "http://a.example.org/es", "http://notexample.org/es/",
+    "x://y://org/z", "http://org", "http://org/", "https://a.b.com/fr/?q", "https://com/de/", "http://example.org/en/12",
+    "http://example.org/en/2", "http://casino-win.net/a", "http://casino.example.org/q", "http://.com/fr/", "http://..com/fr/",
+    "http://É.com/de/x", "http://a.com:80/fr/", "http://h\n.org/a\nb", "://", "http://my-bets.net", "http://xcasino.net/",
+    "http://user@x.org/p", "http://x.org?/p", "http://x.org#/p", "HTTP://X.ORG/EN/",
+]
+
+
+def test_cases_and_repeated_rows(spark):
+    rows = [(i, u, "x", "y") for i, u in enumerate([*URLS, *URLS])] + [(None, "http://a.org/b", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, Verdict string").repartition(3)
+    got = uf.filter_urls(pages, URL_RULES).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["page_id"] is not None:
+            assert tuple(r)[1:] == brute(rows[r["page_id"]][1]), rows[r["page_id"]]
+    assert uf.filter_urls(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_longest_rule_and_ties(spark):
+    rules = {"org/aaaa": "allow", "b.org/aa": "block", "b.org/aaa": "allow", "c.b.org/": "block"}
+    pages = spark.createDataFrame([(1, "http://b.org/aaaa"), (2, "http://b.org/aab"), (3, "http://c.b.org/aa")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in uf.filter_urls(pages, rules).collect()}
+    for i, url in ((1, "http://b.org/aaaa"), (2, "http://b.org/aab"), (3, "http://c.b.org/aa")):
+        assert got[i] == brute(url, rules)[2:]
+
+
+def test_query_matches_brute_force(spark, small_dir):
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{small_dir}/pages.parquet").collect()}
+    rows = QUERIES["op5_url_digests"](spark, small_dir).collect()
+    assert len(rows) == len(urls)
+    assert all(tuple(r)[1:] == brute(urls[r["page_id"]]) for r in rows)
+
+
+def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
+    # Every string hashes to one of two keys, so nearly all lookups collide.
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda b: len(b) % 2)
+    entries = {f"h{i}.org/p{i}": "allow" if i % 2 else "block" for i in range(40)}
+    (tmp_path / "x.idx").write_bytes(uf.pack_index(entries))
+    index = uf.DigestIndex(str(tmp_path / "x.idx"))
+    assert isinstance(index.keys.base, np.memmap) or isinstance(index.keys, np.memmap)
+    assert index.find([*entries, "h1.org/p2", ""]) == [*entries.values(), None, None]
+
+
+def test_wrong_rules_and_empty_index(spark, tmp_path, monkeypatch):
+    for bad in ({"org": "allow"}, {"/x": "block"}, {"org/": "maybe"}):
+        with pytest.raises(ValueError):
+            uf.filter_urls(spark.createDataFrame([(1, "u")], "page_id long, url string"), bad)
+    (tmp_path / "none.idx").write_bytes(uf.pack_index({}))
+    assert uf.DigestIndex(str(tmp_path / "none.idx")).find(["a"]) == [None]
+    monkeypatch.setattr(uf, "MAX_BYTES", 10)
+    with pytest.raises(ValueError):
+        uf.pack_index({"org/": "allow"})
