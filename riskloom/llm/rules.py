@@ -229,9 +229,9 @@ def estimate(patterns: DataFrame, steps: int = STEPS) -> Accuracies:
     return now
 
 
-def _judged(docs: DataFrame, name: str) -> DataFrame:
-    """The documents with their figures, the posterior and the verdict, all below ``name``."""
-    rows = stored(with_figures(docs, name), "rule-figures")
+def _judged(figures: DataFrame, name: str) -> DataFrame:
+    """The rows with the posterior and the verdict beside their figures in column ``name``."""
+    rows = stored(figures, "rule-figures")
     f = F.col(name)
     vote = votes(f)
     patterns = stored(
@@ -247,7 +247,7 @@ def _judged(docs: DataFrame, name: str) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the figures, base_failed, posterior and kept of every document."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    f = _judged(rows, "f")
+    f = _judged(with_figures(rows, "f").select("doc_id", "f"), "f")
     return f.select(
         "doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words",
         "f.base_failed", "f.kept", "f.posterior",
@@ -257,4 +257,4 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is to keep them, columns unchanged."""
     name = unused(docs, "figures")
-    return _judged(docs, name).where(F.col(f"{name}.kept")).select(*docs.columns)
+    return _judged(with_figures(docs, name), name).where(F.col(f"{name}.kept")).select(*docs.columns)
