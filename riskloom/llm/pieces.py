@@ -31,10 +31,12 @@ from riskloom.llm.common import whole_text
 
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
-# Characters of text that are matched together.
-BATCH = 12_000_000
+# Characters of text that are cut into parts together, and of new parts that are
+# matched together: the first bounds a batch, the second the arrays of its edges.
+BATCH = 4_000_000
+MATCHED = 500_000
 # Encoded parts a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 # Longer parts are relaxed one by one.
 LONG = 200
 _NONE = np.int64(1) << 30
@@ -125,12 +127,15 @@ class _Edges:
         order = suffix_array(codes, model.width)
         low, high = occurrences(model, codes, order)
         count = np.maximum(high - low, 0)
-        piece = np.repeat(np.arange(len(count)), count)
-        ahead = np.cumsum(count) - count
-        start = order[np.arange(len(piece)) - np.repeat(ahead - low, count)]
-        key = start * 64 + model.lengths[piece]
+        at = np.arange(count.sum())
+        at -= np.repeat(np.cumsum(count) - count - low, count)
+        key = order[at] * 64
+        del at
+        key += np.repeat(model.lengths, count)
         by_place = np.argsort(key)
-        self.keys, self.piece_ids = key[by_place], model.ids[piece[by_place]]
+        self.keys = key[by_place]
+        del key
+        self.piece_ids = np.repeat(model.ids.astype(np.int32), count)[by_place]
 
     def find(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The piece over each stretch, or -1."""
@@ -263,22 +268,27 @@ def encode_texts(model: Model, texts: list[str]) -> list[bytes]:
     rows, sizes = [], []
     for text in texts:
         found = _PARTS.findall(SPACE + text.replace(" ", SPACE)) if text else []
-        rows += [number.setdefault(u, len(number)) for u in found]
+        rows.append(np.array([number.setdefault(u, len(number)) for u in found], np.int32))
         sizes.append(len(found))
-    if not rows:
+    if not number:
         return [b""] * len(texts)
     units = list(number)
     coded = [model.remembered.get(u) for u in units]
-    new = [i for i, c in enumerate(coded) if c is None]
-    if new:
-        for i, ids in zip(new, encode_units(model, [units[i] for i in new])):
-            coded[i] = ids
-            if len(model.remembered) < REMEMBERED and len(units[i]) <= LONG:
-                model.remembered[units[i]] = ids
+    new, size = [], 0
+    for i, unit in enumerate(units):
+        if coded[i] is None:
+            new.append(i)
+            size += len(unit)
+        if new and (size >= MATCHED or i == len(units) - 1):
+            for k, ids in zip(new, encode_units(model, [units[k] for k in new])):
+                coded[k] = ids
+                if len(model.remembered) < REMEMBERED and len(units[k]) <= LONG:
+                    model.remembered[units[k]] = ids
+            new, size = [], 0
     flat = np.frombuffer(b"".join(coded), "<u4")
     count = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     begin = np.cumsum(count) - count
-    row = np.array(rows)
+    row = np.concatenate(rows)
     per_row = count[row]
     out = flat[np.repeat(begin[row] - (np.cumsum(per_row) - per_row), per_row) + np.arange(per_row.sum())]
     ends = np.concatenate([[0], np.cumsum(per_row)])[np.cumsum(sizes)] * 4
@@ -303,13 +313,15 @@ def load(path: str) -> Model:
     return _MODELS[path]
 
 
-def encode(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, text (null as empty) and ids of every document."""
+def encode(docs: DataFrame, model_file: str, decoded: bool = False) -> DataFrame:
+    """doc_id, text (null as empty) and ids of every document; with ``decoded`` also the ids' text."""
 
     def flush(model, ids, texts):
+        coded = encode_texts(model, texts)
+        back = {"decoded": pa.array([decode_ids(model, c) for c in coded], pa.string())} if decoded else {}
         return pa.RecordBatch.from_pydict({
             "doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()),
-            "ids": pa.array(encode_texts(model, texts), pa.binary()),
+            "ids": pa.array(coded, pa.binary()), **back,
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +338,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
             yield flush(model, ids, texts)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text string, ids binary")
+    return rows.mapInArrow(run, "doc_id bigint, text string, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(ids: Column, model_file: str) -> Column:
