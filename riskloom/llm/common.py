@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators.joins import many_to_one
 from riskloom.session import configure, work_dir
 
 # Rows and bytes of one Arrow batch: long texts must not fill a Python worker.
@@ -39,6 +40,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows of a few whole numbers that may go to every task.
+FEW = 500_000
+
+
+def look_up(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a stored table that has at most one row per key.
+
+    The table is counted: up to ``FEW`` rows it is broadcast and ``many`` stays
+    where it is, beyond that both are shuffled and hot keys split.
+    """
+    if one.count() <= FEW:
+        return many.join(F.broadcast(one), keys, how)
+    return many_to_one(many, one, keys, how)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` starts with it in any letter case."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

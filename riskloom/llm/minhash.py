@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import stored, unused, whole_text, words_of
+from riskloom.llm.common import look_up, stored, unused, whole_text, words_of
 from riskloom.llm.components import connected_components
 from riskloom.operators.joins import many_to_one
 
@@ -67,13 +67,17 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each universal hash (the upper 32 bits)."""
+    """The least value of each universal hash, 16 of its middle bits.
+
+    Different least values agree in these bits once in 65,536 times, which only
+    adds a few pairs to confirm.
+    """
     least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 512):
         values = np.multiply.outer(_A, hashes[i:i + 512])
         values += _B[:, None]
         np.minimum(least, values.min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+    return ((least >> np.uint64(24)) & np.uint64(0xFFFF)).astype("<u2")
 
 
 def _sketch_udf():
@@ -97,7 +101,7 @@ def _band_keys(sigs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = len(batch["sig"])
-            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u4").reshape(m, BANDS, ROWS).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u2").reshape(m, BANDS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _P2, (m, BANDS)).copy()
             for r in range(ROWS):
                 key = (key ^ sig[:, :, r]) * _P1
@@ -111,8 +115,9 @@ def _band_keys(sigs: DataFrame) -> DataFrame:
 
 def _ties(bands: DataFrame) -> DataFrame:
     """Every node of a band that several share, tied to the band's smallest node."""
-    shared = bands.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v != w")
-    tied = many_to_one(bands, shared.select("key", "v"), ["key"], "inner")
+    least = bands.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w"))
+    shared = stored(least.where("v != w").select("key", "v"), "shared-bands")
+    tied = look_up(bands, shared, ["key"])
     return tied.where("node != v").select(F.col("node").alias("u"), "v").distinct()
 
 
@@ -171,7 +176,7 @@ def _link_units(units: DataFrame, percent: int) -> DataFrame:
     def run(batch: pa.Table) -> pa.Table:
         nodes, groups = batch["node"].to_numpy(), batch["grp"].to_numpy()
         labels, outside = batch["label"].to_numpy(), np.array(batch["outside"].to_pylist(), bool)
-        sigs = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u4").reshape(len(nodes), HASHES)
+        sigs = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u2").reshape(len(nodes), HASHES)
         sets = [np.frombuffer(s, "<u8") for s in batch["hashes"].to_pylist()]
         sizes = np.array([len(s) for s in sets])
         order = np.lexsort((outside, nodes, groups))
@@ -240,17 +245,18 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 def _links(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between representatives that join whatever is alike."""
-    sigs = rows.select("node", "sig").join(reps.select("node"), "node", "left_semi")
+    # Nearly every row stands for a class, so both sides are shuffled at any size.
+    sigs = rows.select("node", "sig").join(reps.select("node").hint("merge"), "node", "left_semi")
     bands = stored(_band_keys(sigs), "bands")
     groups = stored(connected_components(_ties(bands)).withColumnRenamed("root", "grp"), "candidate-groups")
     sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
-    groups = many_to_one(groups, sizes, ["grp"], "inner")
+    groups = stored(many_to_one(groups, sizes, ["grp"], "inner"), "sized-groups")
 
     @F.arrow_udf("binary")
     def hashes(texts: pa.Array) -> pa.Array:
         return pa.array([shingles(t).astype("<u8").tobytes() for t in texts.to_pylist()], pa.binary())
 
-    chosen = rows.select("node", "sig", "text_").join(groups, "node")
+    chosen = look_up(rows.select("node", "sig", "text_"), groups, ["node"])
     members = stored(chosen.select("grp", "members", "node", "sig", hashes("text_").alias("hashes")), "members")
     links = stored(_within(members, percent), "links-within")
     large = members.where(F.col("members") > BLOCK)
@@ -300,7 +306,7 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     least = joined.groupBy("grp").agg(F.min("first_id").alias("component_id"))
     by_digest = many_to_one(joined, least, ["grp"], "inner").select("digest", "grp", "component_id")
     alone = rows.select("node", "doc_id", "n", "digest")
-    out = many_to_one(alone, by_digest, ["digest"], "left").select(
+    out = look_up(alone, stored(by_digest, "by-digest"), ["digest"], "left").select(
         "node", "doc_id", "n",
         F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.coalesce("grp", "node")).otherwise(F.col("node")).alias("grp"),

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from odd import no_documents, odd_documents
 
-from riskloom.llm import minhash
+from riskloom.llm import common, minhash
 from riskloom.llm.common import words_of
 from riskloom.llm.queries import QUERIES
 
@@ -84,6 +84,7 @@ def test_chains_of_many_outsiders(spark, monkeypatch):
 
 def test_few_outsiders_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(common, "FEW", 3)  # no table is small enough to broadcast
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
     docs = [(i, edited(base, rng.choice([0, 0, 0, 1, 5]), rng)) for i in range(160)]
