@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +33,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+# Folders to remove at the end of each open ``scratch``, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``stored`` writes in here, but for tables written with ``leave``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _open.pop():
+            target = files.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(df: DataFrame, name: str, leave: bool = False) -> DataFrame:
     """Write to the shared folder and go on from there: cuts the lineage.
 
-    Any executor can read the files again, so losing one costs a re-read.
+    Any executor can read the files again, so losing one costs a re-read. With
+    ``leave`` the table outlives the innermost ``scratch``.
     """
     path = work_dir(df.sparkSession, name)
+    outer = _open[:-1] if leave else _open
+    if outer:
+        outer[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

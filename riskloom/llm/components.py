@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import stored
+from riskloom.llm.common import scratch, stored
 from riskloom.operators.joins import many_to_one
 
 
@@ -36,16 +36,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has whole-number columns ``u`` and ``v``; direction, repetition and
     links of a node with itself don't matter. No edges give an empty result.
     """
-    now = stored(
-        edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        "links",
-    )
-    mark = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if not state["n"] or tuple(state) == mark:
-            break
-        mark = tuple(state)
-        now = stored(_small_star(_large_star(now)), "links")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    with scratch(edges.sparkSession):
+        now = stored(
+            edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
+            "links",
+        )
+        mark = None
+        while True:
+            state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+            if not state["n"] or tuple(state) == mark:
+                break
+            mark = tuple(state)
+            now = stored(_small_star(_large_star(now)), "links")
+        roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        return stored(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "roots", leave=True)

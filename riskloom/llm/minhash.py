@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import look_up, stored, unused, whole_text, words_of
+from riskloom.llm.common import look_up, scratch, stored, unused, whole_text, words_of
 from riskloom.llm.components import connected_components
 from riskloom.operators.joins import many_to_one
 
@@ -248,7 +248,7 @@ def _links(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     # Nearly every row stands for a class, so both sides are shuffled at any size.
     sigs = rows.select("node", "sig").join(reps.select("node").hint("merge"), "node", "left_semi")
     bands = stored(_band_keys(sigs), "bands")
-    groups = stored(connected_components(_ties(bands)).withColumnRenamed("root", "grp"), "candidate-groups")
+    groups = connected_components(_ties(bands)).withColumnRenamed("root", "grp")
     sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
     groups = stored(many_to_one(groups, sizes, ["grp"], "inner"), "sized-groups")
 
@@ -292,21 +292,23 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         F.col(f"{name}node").alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"),
         whole_text().alias("text_"), f"{name}s.*",
     )
-    classes = stored(
-        rows.where("n > 0").groupBy("digest").agg(
-            F.min("node").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")),
-        "classes",
-    )
-    roots = stored(connected_components(_links(rows, classes.select(F.col("rep").alias("node")), percent)), "roots")
-    joined = classes.join(roots, classes["rep"] == roots["node"], "left").select(
-        "digest", "first_id", "copies", "rep", F.coalesce("root", "rep").alias("grp"),
-        F.col("root").isNotNull().alias("linked"))
-    # Only groups of several rows need looking up.
-    joined = stored(joined.where("linked or copies > 1"), "groups")
-    least = joined.groupBy("grp").agg(F.min("first_id").alias("component_id"))
-    by_digest = many_to_one(joined, least, ["grp"], "inner").select("digest", "grp", "component_id")
+    with scratch(docs.sparkSession):
+        classes = stored(
+            rows.where("n > 0").groupBy("digest").agg(
+                F.min("node").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")),
+            "classes",
+        )
+        roots = connected_components(_links(rows, classes.select(F.col("rep").alias("node")), percent))
+        joined = classes.join(roots, classes["rep"] == roots["node"], "left").select(
+            "digest", "first_id", "copies", "rep", F.coalesce("root", "rep").alias("grp"),
+            F.col("root").isNotNull().alias("linked"))
+        # Only groups of several rows need looking up.
+        joined = stored(joined.where("linked or copies > 1"), "groups")
+        least = joined.groupBy("grp").agg(F.min("first_id").alias("component_id"))
+        by_digest = many_to_one(joined, least, ["grp"], "inner").select("digest", "grp", "component_id")
+        by_digest = stored(by_digest, "by-digest", leave=True)
     alone = rows.select("node", "doc_id", "n", "digest")
-    out = look_up(alone, stored(by_digest, "by-digest"), ["digest"], "left").select(
+    out = look_up(alone, by_digest, ["digest"], "left").select(
         "node", "doc_id", "n",
         F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.coalesce("grp", "node")).otherwise(F.col("node")).alias("grp"),
@@ -329,7 +331,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group: the first row with the group's smallest id."""
     rows, groups = _grouped(docs, percent)
-    groups = stored(groups, "grouped")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("grp").agg(F.min("node").alias("node"))
     number = rows.columns[-1]
-    return rows.join(first.select(F.col("node").alias(number)), number, "left_semi").select(*docs.columns)
+    with scratch(docs.sparkSession):
+        groups = stored(groups, "grouped")
+        is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+        several = groups.groupBy("grp").agg(
+            F.count("*").alias("rows"), F.min(F.when(is_first, F.col("node"))).alias("first")).where("rows > 1")
+        # Those that go are fewer than those that stay.
+        gone = many_to_one(groups.select("grp", "node"), several, ["grp"], "inner").where("node != first")
+        gone = stored(gone.select(F.col("node").alias(number)), "gone", leave=True)
+    return look_up(rows, gone, [number], "left_anti").select(*docs.columns)
