@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.windows import exact_sum
 from riskloom.schemas import AMOUNT_BOUNDS
 
 
@@ -20,13 +21,16 @@ def bucket_name(bound: float) -> str:
 def amount_histogram(
     df: DataFrame, *groups: str | Column, value: str = "amount", bounds: list[float] = AMOUNT_BOUNDS
 ) -> DataFrame:
-    """Cumulative bucket counts, ``le_inf``, the count and the sum, in one pass."""
+    """Cumulative bucket counts, ``le_inf``, the count and the sum, in one pass.
+
+    The sum is exact, and null where a value cannot be summed exactly.
+    """
     x = F.col(value)
     observed = df.where(x.isNotNull())
     return observed.groupBy(*groups).agg(
         *[F.count_if(x <= b).alias(bucket_name(b)) for b in bounds],
         F.count(F.lit(1)).alias("le_inf"),
-        F.sum(x.try_cast("decimal(18,2)")).cast("double").alias("total"),
+        exact_sum(x).cast("double").alias("total"),
     )
 
 

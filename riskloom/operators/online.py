@@ -64,6 +64,15 @@ def _decimal_text(value: Column) -> Column:
     )
 
 
+def _plain_text(value: Column) -> Column:
+    """A double with all its digits, written without an exponent where it has at most 18 on either side."""
+    digits = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), r"0+\z", "")
+    whole = F.abs(value) < F.lit(1e17)
+    # Below a thousandth the text of the double may have more digits than fit.
+    fits = whole & ((value == 0) | (F.abs(value) >= F.lit(1e-3)))
+    return F.when(fits, F.regexp_replace(digits, r"\.\z", ".0")).otherwise(value.cast("string"))
+
+
 def _instant(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
 
@@ -98,7 +107,7 @@ def flag_hashes(rows: DataFrame) -> DataFrame:
     fields = {
         "transaction_id": F.col("transaction_id"),
         "user_id": F.col("user_id"),
-        "amount": F.col("amount").cast("string"),
+        "amount": _plain_text(F.col("amount")),
         **{name: F.col(name).cast("string") for name in FLAG_FEATURES},
         "scored_at": _now_text(F.col("updated_at")),
     }

@@ -54,10 +54,14 @@ def _user_id() -> Column:
     return _error(_fails(F.col("user_id").rlike(USER_ID_REGEX)), "Invalid user_id format: ", "user_id")
 
 
+# The message texts below must equal the reference's.
+
+
 def transaction_checks(countries: list[str] | None = None) -> list[Column]:
     """One message or null per rule, in the order they are reported."""
     amount = F.col("amount")
-    positive = _finite("amount") & (amount > 0)
+    # NaN is not positive; an infinity is, and exceeds the maximum.
+    positive = ~F.isnan(amount.cast("double")) & (amount > 0)
     return [
         _error(_fails(F.col("transaction_id").rlike(TRANSACTION_ID_REGEX)),
                "Invalid transaction_id format: ", "transaction_id"),
@@ -167,8 +171,9 @@ def clean_requests(requests: DataFrame) -> DataFrame:
     amount = F.col("amount")
     amount_error = (
         F.when(amount <= 0, F.lit("amount must be positive"))
+        .when((amount > AMOUNT_LIMIT) & ~F.isnan(amount.cast("double")),
+              F.lit("amount exceeds maximum allowed value"))
         .when(_fails(_finite("amount")), F.lit("amount must be a finite number"))
-        .when(amount > AMOUNT_LIMIT, F.lit("amount exceeds maximum allowed value"))
     )
     blank = [_error(_fails(F.length(c) > 0), f"{c} cannot be empty") for c in texts]
     return trimmed.withColumn("errors", _errors([blank[0], amount_error, *blank[1:]]))

@@ -57,8 +57,13 @@ def flag_over_limit(
     limit: int = REQUESTS_PER_MINUTE,
     seconds: int = 60,
 ) -> DataFrame:
-    """Every event with its trailing count and whether that exceeds the limit."""
+    """Every event with its trailing count and whether that exceeds the limit.
+
+    Events without a key count together as one key, as in SQL. An event without a
+    time has no trailing minute: its count is 0 and it exceeds nothing.
+    """
     counts = trailing_counts(events, key, time, seconds).drop("n_events")
-    return many_to_one(events, counts, [key, time]).withColumn(
+    counted = many_to_one(events, counts, [key, time], null_safe=True)
+    return counted.withColumn("n_trailing", F.coalesce("n_trailing", F.lit(0))).withColumn(
         "over_limit", F.col("n_trailing") > limit
     )

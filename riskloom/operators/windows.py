@@ -12,21 +12,36 @@ def _seconds(n: int) -> str:
     return f"{n} seconds"
 
 
-def _money(cents: bool) -> Column:
-    """The amount to sum. Doubles add up differently in every order, cents do not."""
+def exact_sum(amount: Column) -> Column:
+    """A sum that is the same in every order: 18 digits on either side of the point.
+
+    An amount that this cannot hold (NaN, an infinity, 1e20 or more) makes the
+    sum null instead of being left out.
+    """
+    exact = amount.try_cast("decimal(38,18)")
+    lost = F.count_if(amount.isNotNull() & exact.isNull())
+    return F.when(lost == 0, F.try_sum(exact))
+
+
+def _total(cents: bool) -> list[Column]:
+    """The sum, and how many amounts it could not hold."""
     amount = F.col("amount")
-    return amount.try_cast("decimal(18,2)") if cents else amount
+    if not cents:
+        return [F.sum(amount).alias("total"), F.lit(0).cast("bigint").alias("lost")]
+    exact = amount.try_cast("decimal(38,18)")
+    return [F.try_sum(exact).alias("total"), F.count_if(amount.isNotNull() & exact.isNull()).alias("lost")]
 
 
 def _output(end: Column, spec: SlidingSpec) -> list[Column]:
     size = F.expr(f"interval {spec.size} seconds")
+    total = F.when(F.col("lost") == 0, F.col("total").cast("double"))
     return [
         F.col("user_id"),
         (end - size).alias("window_start"),
         end.alias("window_end"),
         F.col("n").alias("txn_count_5min"),
-        F.col("total").cast("double").alias("total_amount_5min"),
-        F.try_divide(F.col("total").cast("double"), F.col("n_amounts").cast("double"))
+        total.alias("total_amount_5min"),
+        F.try_divide(total, F.col("n_amounts").cast("double"))
         .alias("avg_amount_5min"),
         F.col("largest").alias("max_amount_5min"),
     ]
@@ -36,7 +51,7 @@ def _measures(cents: bool) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n"),
         F.count("amount").alias("n_amounts"),
-        F.sum(_money(cents)).alias("total"),
+        *_total(cents),
         F.max("amount").alias("largest"),
     ]
 
@@ -45,7 +60,8 @@ def _merged() -> list[Column]:
     return [
         F.sum("n").alias("n"),
         F.sum("n_amounts").alias("n_amounts"),
-        F.sum("total").alias("total"),
+        F.try_sum("total").alias("total"),
+        F.sum("lost").alias("lost"),
         F.max("largest").alias("largest"),
     ]
 
@@ -75,7 +91,7 @@ def watermarked(transactions: DataFrame, spec: SlidingSpec = SLIDING) -> DataFra
 def windowed_features(
     transactions: DataFrame,
     spec: SlidingSpec = SLIDING,
-    cents: bool = False,
+    cents: bool = True,
     has_watermark: bool = False,
 ) -> DataFrame:
     """Count, sum, average and maximum per user and sliding window.
@@ -136,20 +152,23 @@ def select_trailing_window(windows: DataFrame, spec: SlidingSpec = SLIDING) -> D
     reaches back furthest among those that end after that start. Expects one
     row per user and window start.
     """
-    by_user = Window.partitionBy("user_id")
     phase = F.pmod(F.floor(F.unix_seconds("window_start") / spec.slide), F.lit(spec.panes))
-    return (
+    opened = F.max("window_start").over(Window.partitionBy("user_id"))
+    reach = F.expr(f"interval {spec.size} seconds")
+    recent = (
         _newest_by_phase(windows, "window_start", phase)
-        .withColumn("_newest", F.max("window_start").over(by_user))
-        .where(F.col("window_end") > F.col("_newest"))
-        .withColumn("_rank", F.row_number().over(by_user.orderBy("window_start")))
-        .where(F.col("_rank") == 1)
-        .select(*windows.columns)
+        .withColumn("_opened", opened)
+        .where(F.col("window_start") > F.col("_opened") - reach)
     )
+    # At most one row a phase is left; the user's oldest is taken column by column.
+    rest = [c for c in windows.columns if c not in ("user_id", "window_start")]
+    return recent.groupBy("user_id").agg(
+        F.min("window_start").alias("window_start"), *[F.min_by(c, "window_start").alias(c) for c in rest]
+    ).select(*windows.columns)
 
 
 def trailing_features(
-    transactions: DataFrame, spec: SlidingSpec = SLIDING, cents: bool = False
+    transactions: DataFrame, spec: SlidingSpec = SLIDING, cents: bool = True
 ) -> DataFrame:
     """The trailing window of each user straight from transactions.
 

@@ -148,12 +148,17 @@ CTES["scored"] = _SCORE.format(source="vectors")
 CTES["scored_requests"] = _SCORE.format(source="request_vectors")
 CTES["scored_requests_any"] = _SCORE.format(source="request_vectors_any")
 
+CTES["closed"] = """
+    SELECT * FROM windows WHERE window_end <= (SELECT max(event_time) FROM txns) - INTERVAL 10 MINUTE"""
+CTES["pit_closed"] = CTES["pit"].replace("JOIN windows w", "JOIN closed w")
+CTES["vectors_closed"] = _vector("pit_closed", "transaction_id, fraud")
+
 # What each relation is built from, in an order that can be written down.
 ORDER = [
     "txns", "labels", "first_labels", "entities", "dirty", "requests", "good_requests", "windows",
     "dirty_windows", "trailing_rows", "online_rows", "online_live", "pit", "vectors", "looked_up",
     "request_vectors", "scored", "scored_requests", "looked_up_any", "request_vectors_any",
-    "scored_requests_any",
+    "scored_requests_any", "closed", "pit_closed", "vectors_closed",
 ]
 
 
@@ -172,6 +177,7 @@ WINDOW = f"user_id, {t('window_start')}, {t('window_end')}, {NUMBERS}"
 TEXT_TIME = "strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f')"
 
 _MESSAGES = "event_id, errors = '' AS valid, errors"
+# The message texts below must equal the reference's.
 _USER_ERROR = (
     "CASE WHEN user_id IS NULL OR NOT regexp_full_match(user_id, 'user_[0-9]{4}') "
     "THEN 'Invalid user_id format: ' || coalesce(user_id, 'None') END"
@@ -202,8 +208,7 @@ _QUARANTINE = f"""
     UNION ALL
     SELECT 'user_features', 1::BIGINT, * FROM ({_BAD_USERS}) WHERE errors <> ''"""
 
-_EARLY = """(SELECT user_id FROM windows
-    WHERE window_end <= (SELECT min(event_time) FROM txns) + INTERVAL 10 MINUTE)"""
+_SEEN = "(SELECT user_id FROM windows WHERE CAST(substr(user_id, 6) AS INT) % 5 <> 0)"
 
 _IMPORTANCES = [0.22, 0.16, 0.12, 0.14, 0.10, 0.08, 0.18]
 _MAXIMA = [20, 5000, 2500, 5000]
@@ -311,7 +316,14 @@ SELECTS = {
     "latest_window_baseline": f"""SELECT {WINDOW} FROM (SELECT * FROM windows
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY windows.window_start DESC) = 1)""",
     "flags_stream": f"SELECT transaction_id, user_id, amount, {FLAGS} FROM txns WHERE amount > 0",
+    "trailing_update_multibatch": f"SELECT {WINDOW} FROM trailing_rows",
+    "flags_multibatch": f"""SELECT transaction_id, user_id, amount, {FLAGS}
+        FROM (SELECT * REPLACE (CASE WHEN event_id % 20 = 0 THEN 1000.0::DOUBLE ELSE amount END AS amount) FROM txns)
+        WHERE amount > 0""",
     "bronze_replay": _VALID_WINDOWS,
+    "bronze_exact": f"SELECT transaction_id, {t('event_time')} FROM txns",
+    "training_set_from_layers": f"""SELECT transaction_id, fraud, {NUMBERS}, is_foreign, is_high_amount,
+        is_suspicious FROM vectors_closed""",
     "labels_stream": f"""SELECT transaction_id, user_id, is_fraud,
         strftime(label_time, '%Y-%m-%dT%H:%M:%S.%f') AS label_timestamp, {t('label_time')} FROM labels""",
     "rejected_stream": f"""SELECT 'transaction' AS kind, event_id, errors
@@ -331,8 +343,8 @@ SELECTS = {
     "labels_first_seen": f"SELECT transaction_id, is_fraud, {t('label_time')} FROM first_labels",
     "labeled_transactions": f"""SELECT transaction_id, user_id, amount, merchant_country,
         {t('event_timestamp')}, fraud FROM entities""",
-    "cold_start_users": f"SELECT transaction_id, user_id FROM entities WHERE user_id NOT IN {_EARLY}",
-    "known_user_entities": f"SELECT transaction_id, user_id FROM entities WHERE user_id IN {_EARLY}",
+    "cold_start_users": f"SELECT transaction_id, user_id FROM entities WHERE user_id NOT IN {_SEEN}",
+    "known_user_entities": f"SELECT transaction_id, user_id FROM entities WHERE user_id IN {_SEEN}",
     "pit_join": f"""SELECT transaction_id, user_id, {t('event_timestamp')}, fraud, {t('window_end')},
         {NUMBERS} FROM pit""",
     "pit_join_any_age": f"""SELECT transaction_id, e.user_id, {t('e.event_timestamp')}, fraud,
@@ -418,6 +430,11 @@ SELECTS = {
     "last_probability": """SELECT probability FROM scored
         ORDER BY event_timestamp DESC, transaction_id DESC LIMIT 1""",
     "velocity_60s": _velocity(60, 2),
+    "velocity_of_dirty": f"""SELECT event_id, user_id, n_trailing, n_trailing > 2 AS over_limit
+        FROM (SELECT event_id, user_id, CASE WHEN event_time IS NULL THEN 0 ELSE count(*) OVER (
+                PARTITION BY user_id, event_time IS NULL ORDER BY epoch_us(event_time)
+                RANGE BETWEEN {60 * 1_000_000 - 1} PRECEDING AND CURRENT ROW) END AS n_trailing
+              FROM dirty)""",
     "exact_trailing_5m": _velocity(300, 10),
 }
 

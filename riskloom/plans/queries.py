@@ -229,6 +229,55 @@ def flags_stream(spark, sf):
     return table.merged(spark).drop("updated_at", "expires_at")
 
 
+# Micro-batches, and how late every tenth event is in them.
+BATCHES, LATE_SECONDS = 16, 240
+
+
+def trailing_update_multibatch(spark, sf, compact_every=4):
+    """The online table after many batches with late events, merged on the way."""
+    root = work_dir(configure(spark), "multibatch")
+    layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True, compact_every=compact_every)
+    stream = tables.batched_events(spark, sf, f"{root}/events", BATCHES, LATE_SECONDS)
+    wait_for_all({"q": layers.start_user_features(tables.with_time_text(tables.transactions(stream)))})
+    table = user_feature_table(f"{layers.online}/user_features")
+    return table.merged(spark).drop("updated_at", "expires_at")
+
+
+def flags_multibatch(spark, sf):
+    """Flags of transactions some of which come again, with another amount, in the last batch."""
+    root = work_dir(configure(spark), "flags-multibatch")
+    layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True, compact_every=2)
+    tables.batched_events(spark, sf, f"{root}/events", 4, LATE_SECONDS)
+    again = tables.read_events(spark, sf).where("event_id % 20 = 0").withColumn("value", F.lit(100.0))
+    again.coalesce(1).write.mode("append").parquet(f"{root}/events")
+    stream = spark.readStream.schema(tables.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    wait_for_all({"q": layers.start_flags(tables.with_time_text(tables.transactions(stream)))})
+    table = flag_table(f"{layers.online}/transaction_flags")
+    return table.merged(spark).drop("updated_at", "expires_at")
+
+
+def bronze_exact(spark, sf):
+    layers = _layers(spark, "bronze_exact")
+    wait_for_all({"q": layers.start_bronze(txn_stream(spark, sf))})
+    return offline.read_bronze(spark, layers.bronze).select("transaction_id", "event_time")
+
+
+def training_set_from_layers(spark, sf):
+    """The training set out of what the streams stored: raw log, labels and closed windows."""
+    layers = _layers(spark, "training_layers")
+    label_stream = tables.labels(txn_stream(spark, sf)).withColumn(
+        "label_timestamp", tables.iso_text(F.col("label_time")))
+    wait_for_all({
+        "bronze": layers.start_bronze(txn_stream(spark, sf)),
+        "labels": layers.start_labels(label_stream),
+        "silver": layers.start_silver(txn_stream(spark, sf)),
+    })
+    rows = tr.training_set(
+        offline.read_bronze(spark, layers.bronze), offline.read_labels(spark, layers.labels),
+        offline.read_silver(spark, layers.silver))
+    return tr.model_input(rows)
+
+
 def bronze_replay(spark, sf):
     layers = _layers(spark, "bronze")
     wait_for_all({"q": layers.start_bronze(txn_stream(spark, sf))})
@@ -261,7 +310,7 @@ def scores_stream(spark, sf):
     wait_for_all({"q": layers.start_user_features(txn_stream(spark, sf), cents=True)})
     table = user_feature_table(f"{layers.online}/user_features")
     requests = tables.requests(txn_stream(spark, sf))
-    wait_for_all({"q": layers.start_scores(requests, lambda: table.merged(spark), rule_probability)})
+    wait_for_all({"q": layers.start_scores(requests, lambda users: table.merged(spark, users), rule_probability)})
     return spark.read.parquet(layers.scores).select(
         "event_id", "user_id", "features_found", *FEATURE_ORDER, "probability", "risk_level"
     )
@@ -329,19 +378,19 @@ def labels_first_seen(spark, sf):
 
 
 def cold_start_users(spark, sf):
-    return tr.cold_start(entities(spark, sf), _closed_early(spark, sf)).select("transaction_id", "user_id")
+    return tr.cold_start(entities(spark, sf), _seen_before(spark, sf)).select("transaction_id", "user_id")
 
 
 def known_user_entities(spark, sf):
-    return tr.with_known_user(entities(spark, sf), _closed_early(spark, sf)).select(
+    return tr.with_known_user(entities(spark, sf), _seen_before(spark, sf)).select(
         "transaction_id", "user_id"
     )
 
 
-def _closed_early(spark, sf):
-    """Windows of the first ten minutes, so that some users have none."""
-    start = txns(spark, sf).agg(F.min("event_time")).scalar()
-    return windows(spark, sf).where(F.col("window_end") <= start + F.expr("interval 10 minutes"))
+def _seen_before(spark, sf):
+    """Windows of the users seen before: here all but those whose number is a multiple of five."""
+    number = F.substring("user_id", 6, 10).cast("int")
+    return windows(spark, sf).where(number % 5 != 0)
 
 
 def pit(spark, sf):
@@ -546,6 +595,11 @@ def velocity_60s(spark, sf):
     )
 
 
+def velocity_of_dirty(spark, sf):
+    """Events without a user count as one key; those without a time have no trailing minute."""
+    return flag_over_limit(dirty(spark, sf), limit=2).select("event_id", "user_id", "n_trailing", "over_limit")
+
+
 def exact_trailing_5m(spark, sf):
     return flag_over_limit(txns(spark, sf), limit=10, seconds=SLIDING.size).select(
         "transaction_id", "user_id", "n_trailing", "over_limit"
@@ -627,7 +681,11 @@ QUERIES: dict[str, Query] = {
     "trailing_update_stream": trailing_update_stream,
     "latest_window_baseline": latest_window_baseline,
     "flags_stream": flags_stream,
+    "trailing_update_multibatch": trailing_update_multibatch,
+    "flags_multibatch": flags_multibatch,
     "bronze_replay": bronze_replay,
+    "bronze_exact": bronze_exact,
+    "training_set_from_layers": training_set_from_layers,
     "labels_stream": labels_stream,
     "rejected_stream": rejected_stream,
     "scores_stream": scores_stream,
@@ -673,6 +731,7 @@ QUERIES: dict[str, Query] = {
     "prediction_rate_5m": prediction_rate_5m,
     "last_probability": last_probability,
     "velocity_60s": velocity_60s,
+    "velocity_of_dirty": velocity_of_dirty,
     "exact_trailing_5m": exact_trailing_5m,
     "gbt_scores": gbt_scores,
     "explanations": explanations,

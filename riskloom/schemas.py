@@ -52,6 +52,8 @@ def _nullable(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
+# The field names below must equal those of the messages and layers.
+
 # Message body of the transaction topic.
 TRANSACTION = _nullable(
     ("transaction_id", T.StringType()),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -50,6 +53,8 @@ def build_session(
     settings = dict(RUNTIME_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # Files of a checkpoint go when nothing refers to it any more.
+    settings["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     settings.update(conf or {})
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -59,15 +64,16 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a missing setting is an error, not a reason to use a local disk.
+    Only a local session (one JVM) without that setting gets a folder of its own,
+    which goes when the process ends; on a cluster a missing setting is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="riskloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

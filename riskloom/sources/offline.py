@@ -22,6 +22,9 @@ class EmptyDataError(TrainingDataError):
     """The path was read and holds no row."""
 
 
+# Without a format the JSON writer keeps milliseconds only.
+BRONZE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 LABEL_TABLE = T.StructType(LABEL.fields + [T.StructField("label_time", T.TimestampType(), True)])
 
 
@@ -46,7 +49,8 @@ def read_bronze(spark: SparkSession, path: str, required: bool = True) -> DataFr
     """All part files of the raw log; files without rows add nothing."""
     return _read(
         spark, path,
-        lambda: spark.read.schema(BRONZE).option("pathGlobFilter", "part-*.json").json(path),
+        lambda: spark.read.schema(BRONZE).option("pathGlobFilter", "part-*.json")
+        .option("timestampFormat", BRONZE_TIME).json(path),
         required,
     )
 

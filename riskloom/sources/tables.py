@@ -40,6 +40,24 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.parquet(sf_dir)
 
 
+def batched_events(spark: SparkSession, sf_dir: str, folder: str, batches: int, late_seconds: int) -> DataFrame:
+    """The table as a stream of ``batches`` files, one a micro-batch, written to ``folder``.
+
+    Every tenth event arrives ``late_seconds`` of transaction time after its own
+    time, so windows are touched again by later batches.
+    """
+    events = read_events(spark, sf_dir)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    late = F.when(F.col("event_id") % 10 == 0, late_seconds * 1_000_000 * SPEED).otherwise(0)
+    span = events.agg(F.min(micros).alias("first"), F.max(micros).alias("last")).first()
+    step = max(1, -(-(span["last"] - span["first"] + 1) // batches))
+    place = F.least(F.floor((micros + late - F.lit(span["first"])) / step), F.lit(batches - 1))
+    for i in range(batches):
+        # The file source goes by age, so files are written one after the other.
+        events.where(place == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def _uuid(number: Column) -> Column:
     digest = F.md5(number.cast("string"))
     parts, start = [], 1

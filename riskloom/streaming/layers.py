@@ -16,6 +16,7 @@ from riskloom.operators.scoring import score
 from riskloom.operators.validation import clean_requests, invalid_rows, is_valid, valid_rows
 from riskloom.operators.windows import select_trailing_window, watermarked, windowed_features
 from riskloom.schemas import BRONZE, SLIDING, SlidingSpec
+from riskloom.sources.offline import BRONZE_TIME
 from riskloom.streaming.online import OnlineTable, flag_table, user_feature_table
 from riskloom.streaming.quarantine import write_quarantine
 
@@ -84,14 +85,14 @@ class Layers:
         )
         return self._start(
             rows.writeStream.outputMode("append").format("json")
-            .partitionBy("event_date").option("path", self.bronze),
+            .option("timestampFormat", BRONZE_TIME).partitionBy("event_date").option("path", self.bronze),
             "bronze",
         )
 
     # Windowed features --------------------------------------------------------
 
     def start_silver(
-        self, transactions: DataFrame, cents: bool = False, deduplicate: bool = False
+        self, transactions: DataFrame, cents: bool = True, deduplicate: bool = False
     ) -> StreamingQuery:
         """Each window once, after the watermark has passed its end."""
         if deduplicate:
@@ -107,13 +108,17 @@ class Layers:
             "silver",
         )
 
-    def start_user_features(self, transactions: DataFrame, cents: bool = False) -> StreamingQuery:
-        """Every window a batch touched goes to the online table."""
+    def start_user_features(self, transactions: DataFrame, cents: bool = True) -> StreamingQuery:
+        """Every window a batch touched goes to the online table, valid or not.
+
+        Which of them is served is chosen on reading, and only then validated: an
+        invalid trailing window is not replaced by an older one.
+        """
         table = user_feature_table(f"{self.online}/user_features", self.spec)
 
         def write(batch: DataFrame, batch_id: int) -> None:
             def store(rows):
-                table.write_batch(valid_rows(rows, "user_features"), batch_id)
+                table.write_batch(rows, batch_id)
                 chosen = select_trailing_window(rows, self.spec)
                 self._quarantine(invalid_rows(chosen, "user_features"), "user_features", batch_id)
                 self._maintain(table, rows.sparkSession, batch_id)
@@ -150,19 +155,21 @@ class Layers:
     def start_scores(
         self,
         requests: DataFrame,
-        online: Callable[[], DataFrame],
+        online: Callable[[DataFrame], DataFrame],
         probability: Callable[[DataFrame], DataFrame],
     ) -> StreamingQuery:
         """Score a stream of requests against the online table as it is at each batch.
 
-        ``online`` is asked for the live rows in every batch. Requests that break
+        ``online`` is asked in every batch for the live rows of the users in it (a
+        frame with ``user_id``). Requests that break
         a rule go to the quarantine. A replayed batch replaces its scores.
         """
 
         def write(batch: DataFrame, batch_id: int) -> None:
             def store(rows):
                 checked = clean_requests(rows)
-                scored = score(checked.where(is_valid()).drop("errors"), online(), probability)
+                users = checked.where(is_valid()).select("user_id").distinct()
+                scored = score(checked.where(is_valid()).drop("errors"), online(users), probability)
                 scored.write.mode("overwrite").parquet(f"{self.scores}/batch_id={batch_id}")
                 self._quarantine(checked.where(~is_valid()), "request", batch_id)
 

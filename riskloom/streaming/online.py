@@ -6,13 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.online import (
     current_windows, live, merge_user_windows, newest_per_key, with_expiry,
 )
+from riskloom.operators.validation import valid_rows
 from riskloom.schemas import FLAGS_TTL, SLIDING, USER_FEATURES_TTL, WINDOWED, SlidingSpec
 
 USER_ROWS = T.StructType(WINDOWED.fields + [T.StructField("updated_at", T.TimestampType())])
@@ -57,12 +58,17 @@ class OnlineTable:
             )
         return rows
 
-    def merged(self, spark: SparkSession) -> DataFrame:
-        """One current row per key, expired or not."""
+    def merged(self, spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
+        """One current row per key, expired or not; with ``keys`` (a frame of them) of those only."""
         return with_expiry(
-            newest_per_key(self.stored(spark), list(self.keys)).drop("batch_id"), self.ttl
+            newest_per_key(self._of(spark, keys), list(self.keys)).drop("batch_id"), self.ttl
         )
 
+    def _of(self, spark: SparkSession, keys: DataFrame | None) -> DataFrame:
+        """The stored rows of some keys, before anything is merged."""
+        rows = self.stored(spark)
+        return rows if keys is None else rows.join(keys, list(self.keys), "left_semi")
+
     def read(self, spark: SparkSession, as_of: Column | None = None) -> DataFrame:
         """The rows that are live at ``as_of`` (default: now)."""
         return live(self.merged(spark), F.current_timestamp() if as_of is None else as_of)
@@ -118,21 +124,27 @@ class OnlineTable:
 
 @dataclass(frozen=True)
 class UserFeatureTable(OnlineTable):
-    """Stores every window a batch touched; the trailing one is chosen on reading."""
+    """Stores every window a batch touched; the trailing one is chosen on reading.
+
+    The chosen row must be valid to be served.
+    """
 
     spec: SlidingSpec = SLIDING
 
-    def merged(self, spark: SparkSession) -> DataFrame:
-        return with_expiry(merge_user_windows(self.stored(spark), self.spec), self.ttl)
+    def merged(self, spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
+        chosen = merge_user_windows(self._of(spark, keys), self.spec)
+        return with_expiry(valid_rows(chosen, "user_features"), self.ttl)
 
     def _still_needed(self, rows: DataFrame, as_of: Column) -> DataFrame:
-        # A late event may still touch any window younger than the watermark.
-        newest_start = F.max("window_start").over(Window.partitionBy("user_id"))
-        return (
-            current_windows(rows)
-            .withColumn("_newest", newest_start)
-            .where(F.col("window_end") > F.col("_newest") - self._seconds(self.spec.watermark + self.spec.size))
-            .where(F.col("updated_at") + self._seconds(self.ttl + self.spec.watermark) > as_of)
+        # By event time: an event that is not late lies after the newest event less
+        # the watermark, and neither it nor the choice it leads to needs a window
+        # that ended before. Wall-clock time only says what readers still see.
+        newest_end = rows.agg(F.max("window_end")).scalar()
+        reach = self.spec.size + self.spec.watermark + self.spec.slide
+        kept = current_windows(rows)
+        return kept.where(
+            (F.col("window_end") > newest_end - self._seconds(reach))
+            | (F.col("updated_at") + self._seconds(self.ttl) > as_of)
         )
 
     @staticmethod

@@ -17,7 +17,8 @@ from riskloom.operators.windows import select_trailing_window, trailing_features
 from riskloom.plans import queries
 from riskloom.streaming.online import user_feature_table
 
-STREAMS = {n for n in queries.QUERIES if n.endswith("_stream")} | {"bronze_replay"}
+STREAMS = {n for n in queries.QUERIES if n.endswith(("_stream", "_multibatch", "_layers"))} | {
+    "bronze_replay", "bronze_exact"}
 MODELS = queries.MODEL_QUERIES
 
 

@@ -23,7 +23,7 @@ NOON = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 def message(i, user="user_0001", minute=0.0, **changes):
     at = NOON + timedelta(minutes=minute)
     row = {
-        "transaction_id": f"a1b2c3d4-e5f6-7890-abcd-{i:012d}", "user_id": user, "amount": 100.0,
+        "transaction_id": f"0f1e2d3c-4b5a-6978-8796-{i:012d}", "user_id": user, "amount": 100.0,
         "merchant_category": "travel", "merchant_country": "US", "merchant_name": "shop",
         "card_last4": "1234", "timestamp": at.replace(tzinfo=None).isoformat(), **changes,
     }
