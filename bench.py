@@ -24,6 +24,8 @@ HEADLINE = [
     "stratified_split", "online_user_features", "score_features", "confusion_metrics", "roc_auc",
     "top3_contributors", "reasons", "amount_histogram", "histogram_quantile", "prediction_rate_5m",
     "velocity_60s", "windowed_append_stream", "trailing_update_stream",
+    "pit_join_any_age", "exact_trailing_5m", "bronze_replay", "flags_stream", "scores_stream",
+    "training_set_from_layers",
 ]
 RUNS = 3
 

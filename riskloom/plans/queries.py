@@ -666,6 +666,41 @@ def gbt_run_metrics(spark, sf):
     return spark.read.parquet(path).select("run_id", *ml.METRICS)
 
 
+# What a model's rows must satisfy whatever its probabilities are -----------------------------------
+
+
+def _agrees():
+    """Band and probability fit each other."""
+    p = F.col("probability")
+    band = F.when(p > 0.7, "HIGH").when(p > 0.4, "MEDIUM").otherwise("LOW")
+    return (p.between(0, 1) & (F.col("risk_level") == band)).alias("band_agrees")
+
+
+def score_with_model(spark, sf):
+    """Requests scored by a trained model on the live rows of the online table."""
+    model, _ = _fitted(spark, sf)
+    scored = score(good_requests(spark, sf), online_live(spark, sf), ml.scorer(model))
+    return scored.select("event_id", "user_id", "features_found", *FEATURE_ORDER, _agrees())
+
+
+def gbt_test_rows(spark, sf):
+    """The rows a model is tested on, and whether class and band follow from the probability."""
+    return gbt_scores(spark, sf).select(
+        "transaction_id", "fraud", _agrees(),
+        ((F.col("probability") > DECISION) == (F.col("prediction") == 1)).alias("class_agrees"))
+
+
+def gbt_metrics_agree(spark, sf):
+    """The logged metrics against counts over the emitted predictions; importances add up to 1."""
+    names = ml.METRICS[:-1]
+    stacked = F.stack(F.lit(len(names)), *[x for m in names for x in (F.lit(m), F.col(m))]).alias("metric", "value")
+    again = confusion_metrics(gbt_scores(spark, sf)).select(stacked)
+    logged = gbt_run_metrics(spark, sf).select(stacked).withColumnRenamed("value", "logged")
+    compared = again.join(logged, "metric").select("metric", (F.abs(F.col("value") - F.col("logged")) < 1e-12).alias("agrees"))
+    added = gbt_importances(spark, sf).agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("agrees"))
+    return compared.unionByName(added.select(F.lit("importances").alias("metric"), "agrees"))
+
+
 QUERIES: dict[str, Query] = {
     "flags": flags,
     "sql_flags": sql_flags,
@@ -737,6 +772,9 @@ QUERIES: dict[str, Query] = {
     "explanations": explanations,
     "gbt_importances": gbt_importances,
     "gbt_run_metrics": gbt_run_metrics,
+    "score_with_model": score_with_model,
+    "gbt_test_rows": gbt_test_rows,
+    "gbt_metrics_agree": gbt_metrics_agree,
 }
 
 # These depend on a trained model and have no SQL counterpart.

@@ -18,7 +18,7 @@ from riskloom.operators.windows import select_trailing_window, watermarked, wind
 from riskloom.schemas import BRONZE, SLIDING, SlidingSpec
 from riskloom.sources.offline import BRONZE_TIME
 from riskloom.streaming.online import OnlineTable, flag_table, user_feature_table
-from riskloom.streaming.quarantine import write_quarantine
+from riskloom.streaming.quarantine import QuarantineCounter, write_quarantine
 
 logger = logging.getLogger(__name__)
 
@@ -40,6 +40,8 @@ class Layers:
     once: bool = False
     # Merge the online batches into a base every so many batches; 0 means never.
     compact_every: int = 100
+    # Invalid rows met by these streams, also where the quarantine can't be written.
+    rejected: QuarantineCounter = field(default_factory=QuarantineCounter, hash=False, compare=False)
 
     @property
     def bronze(self) -> str:
@@ -203,7 +205,8 @@ class Layers:
             table.vacuum(spark)
 
     def _quarantine(self, invalid: DataFrame, kind: str, batch_id: int) -> None:
-        write_quarantine(invalid, self.quarantine, kind, batch_id, self.quarantine_fallback)
+        write_quarantine(
+            invalid, self.quarantine, kind, batch_id, self.quarantine_fallback, self.rejected)
 
     def start_all(
         self,

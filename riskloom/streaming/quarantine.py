@@ -12,6 +12,28 @@ from riskloom.schemas import QUARANTINE
 logger = logging.getLogger(__name__)
 
 
+class QuarantineCounter:
+    """Invalid rows by kind as they are met, and those that could not be written anywhere.
+
+    Lives with the driver of the streams. A replayed batch replaces its own number.
+    """
+
+    def __init__(self) -> None:
+        self._met: dict[str, dict[int | None, int]] = {}
+        self._lost: dict[str, dict[int | None, int]] = {}
+
+    def add(self, kind: str, batch_id: int | None, n: int, written: bool) -> None:
+        for counts, number in ((self._met, n), (self._lost, 0 if written else n)):
+            own = counts.setdefault(kind, {})
+            own[batch_id] = number + (own.get(batch_id, 0) if batch_id is None else 0)
+
+    def met(self, kind: str) -> int:
+        return sum(self._met.get(kind, {}).values())
+
+    def lost(self, kind: str) -> int:
+        return sum(self._lost.get(kind, {}).values())
+
+
 def quarantine_records(invalid: DataFrame, kind: str, batch_id: int | None = None) -> DataFrame:
     """Invalid rows as quarantine records: the whole row as JSON, nulls included."""
     fields = [c for c in invalid.columns if c != "errors"]
@@ -30,12 +52,24 @@ def write_quarantine(
     kind: str,
     batch_id: int | None = None,
     fallback: str | None = None,
+    counter: QuarantineCounter | None = None,
 ) -> bool:
     """Write a batch of invalid rows below ``path``, else below ``fallback``.
 
     A numbered batch has its own folder and replaces it when replayed. Failing to
-    quarantine is logged and reported as False; it never raises.
+    quarantine is logged and reported as False; it never raises. ``counter`` counts
+    the rows whether or not they could be written.
     """
+    written = _written(invalid, path, kind, batch_id, fallback)
+    if counter is not None:
+        try:
+            counter.add(kind, batch_id, invalid.count(), written)
+        except Exception as exc:
+            logger.warning("counting of %s batch %s failed: %s", kind, batch_id, exc)
+    return written
+
+
+def _written(invalid, path, kind, batch_id, fallback) -> bool:
     for root in filter(None, (path, fallback)):
         try:
             records = quarantine_records(invalid, kind, batch_id)

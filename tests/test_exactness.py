@@ -18,7 +18,7 @@ from riskloom.sources import offline
 from riskloom.sources.messages import file_messages, parse_transactions
 from riskloom.streaming.layers import Layers, wait_for_all
 from riskloom.streaming.online import user_feature_table
-from riskloom.streaming.quarantine import read_quarantine
+from riskloom.streaming.quarantine import QuarantineCounter, read_quarantine, write_quarantine
 
 NOON = datetime(2024, 1, 1, 12)
 TXN = "user_id string, amount double, event_time timestamp"
@@ -160,3 +160,14 @@ def test_some_users_have_no_windows(spark, small_dir):
     rows = queries.entities(spark, small_dir).count()
     unknown = queries.cold_start_users(spark, small_dir).count()
     assert 0.05 * rows < unknown < 0.5 * rows
+
+
+def test_rejected_rows_are_counted_also_when_nothing_can_be_written(spark, tmp_path):
+    bad = spark.createDataFrame([("u", ["e"]), ("v", ["e"])], "user_id string, errors array<string>")
+    counter = QuarantineCounter()
+    assert write_quarantine(bad, str(tmp_path / "q"), "user_features", 0, counter=counter)
+    blocked = tmp_path / "file"
+    blocked.write_text("x")
+    for _ in range(2):  # a replayed batch counts once
+        assert not write_quarantine(bad, str(blocked / "q"), "user_features", 1, counter=counter)
+    assert (counter.met("user_features"), counter.lost("user_features"), counter.met("other")) == (4, 2, 0)

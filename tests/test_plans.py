@@ -19,7 +19,7 @@ from riskloom.streaming.online import user_feature_table
 
 STREAMS = {n for n in queries.QUERIES if n.endswith(("_stream", "_multibatch", "_layers"))} | {
     "bronze_replay", "bronze_exact"}
-MODELS = queries.MODEL_QUERIES
+MODELS = queries.MODEL_QUERIES | {"score_with_model", "gbt_test_rows", "gbt_metrics_agree"}
 
 
 def plan(df):
