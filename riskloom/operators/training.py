@@ -146,7 +146,7 @@ def stratified_split(
     )
     inside = (
         hashed.withColumn("_prefix", prefix)
-        .join(F.broadcast(cut), [label, "_prefix"])
+        .join(cut, [label, "_prefix"])
         .groupBy(label, "_below", "_wanted", "_hash")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_rank", F.col("_below") + F.sum("_n").over(by_class.orderBy("_hash")))
@@ -160,7 +160,7 @@ def stratified_split(
     )
     return (
         rows.withColumn("_hash", _split_hash(key, seed))
-        .join(F.broadcast(limits), label, "left")
+        .join(limits, label, "left")
         .withColumn("is_test", F.coalesce(F.col("_hash") <= F.col("_last"), F.lit(False)))
         .drop("_hash", "_last")
     )

@@ -144,13 +144,13 @@ def flags(spark, sf):
 
 def sql_flags(spark, sf):
     register_sql(configure(spark))
-    txns(spark, sf).createOrReplaceTempView("riskloom_transactions")
     return spark.sql(
         """SELECT transaction_id,
                   risk_is_foreign(merchant_country) AS is_foreign,
                   risk_is_high_amount(amount) AS is_high_amount,
                   risk_is_suspicious(merchant_country, amount) AS is_suspicious
-           FROM riskloom_transactions"""
+           FROM {rows}""",
+        rows=txns(spark, sf),
     )
 
 
