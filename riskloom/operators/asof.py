@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.joins import many_to_one
+from riskloom.operators.ranges import earlier_ranges, in_ranges, with_start
 from riskloom.schemas import USER_VIEW, FeatureView
 
 
@@ -27,7 +27,7 @@ def pit_join(
     if view.step and view.ttl:
         joined = _join_on_grid(entities, features, view, time)
     else:
-        joined = _join_by_blocks(entities, features, view, time)
+        joined = _join_in_ranges(entities, features, view, time)
     if view.ttl:
         fresh = F.unix_micros(time) - F.unix_micros(view.timestamp) <= view.ttl * 1_000_000
         joined = joined.withColumns(
@@ -65,47 +65,45 @@ def _join_on_grid(entities, features, view, time):
     return asked.join(answers, [view.entity, "_step"], "left").drop("_step")
 
 
-def _join_by_blocks(entities, features, view, time, block: int = 86400):
-    """Any timestamps and any age: a running last value, cut into time blocks.
+def _join_in_ranges(entities, features, view, time):
+    """Any timestamps and any age: a running last feature row, cut into ranges.
 
-    Inside a block of one key a window carries the last feature row forward.
-    What earlier blocks hand over is found on one row per key and block. So no
-    task sees the whole history of a key, and copies of an instant are collapsed
-    before they are sorted.
+    Entity and feature rows are laid out together by key and time, whole, so
+    both are computed once and nothing is joined back. Inside a range a window
+    carries the last feature row forward; where a limit cuts a key, the ranges
+    before hand over theirs. Features at the instant of an entity row come first.
     """
-    key = view.entity
-    payload = F.struct(*[c for c in features.columns if c != key])
-    instants = entities.where(F.col(time).isNotNull()).select(key, F.col(time).alias("_t")).distinct()
-    rows = (
-        features.where(F.col(view.timestamp).isNotNull())
-        .select(key, F.col(view.timestamp).alias("_t"), F.lit(0).alias("_side"), payload.alias("_row"))
-        .unionByName(
-            instants.withColumns({"_side": F.lit(1), "_row": F.lit(None)}), allowMissingColumns=False
-        )
-        .withColumn("_block", F.floor(F.unix_seconds("_t") / block))
+    columns = [c for c in features.columns if c != view.entity]
+    held = features.where(F.col(view.timestamp).isNotNull() & F.col(view.entity).isNotNull()).select(
+        F.col(view.entity).alias("_key"), F.col(view.timestamp).alias("_t"), F.lit(0).alias("_side"),
+        F.struct(*columns).alias("_row"), F.lit(None).cast(entities.schema).alias("_asked"),
     )
-    earlier = (
-        Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    asked = entities.select(
+        F.col(view.entity).alias("_key"), F.col(time).alias("_t"), F.lit(1).alias("_side"),
+        F.lit(None).cast(features.select(*columns).schema).alias("_row"), F.struct(*entities.columns).alias("_asked"),
     )
-    handed_over = (
-        rows.groupBy(key, "_block")
-        .agg(F.max_by("_row", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
-        .select(key, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    # Rows of one instant may be many; their contents tell them apart.
+    ranged = in_ranges(held.unionByName(asked), "_key", "_t", "_side", F.xxhash64("_asked"))
+
+    is_feature = F.col("_side") == 0
+    row = F.col("_row")
+    newest = ranged.groupBy("_key", "_range").agg(
+        F.max(F.when(is_feature, F.col("_t"))).alias("_newest"),
+        *[F.max_by(row[c], F.when(is_feature, F.col("_t"))).alias(f"_newest_{c}") for c in columns],
     )
+    last = F.when(F.col("_newest").isNotNull(), F.struct(*[F.col(f"_newest_{c}").alias(c) for c in columns]))
+    starts = newest.select(
+        "_key", "_range", F.last(last, ignorenulls=True).over(earlier_ranges("_key")).alias("_before")
+    ).where(F.col("_before").isNotNull())
+
     so_far = (
-        Window.partitionBy(key, "_block").orderBy("_t", "_side")
+        Window.partitionBy("_range", "_key").orderBy("_t", "_side")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    inside = (
-        rows.withColumn("_in", F.last("_row", ignorenulls=True).over(so_far))
-        .where(F.col("_side") == 1)
-        .select(key, "_t", "_block", "_in")
-    )
-    found = (
-        inside.join(handed_over, [key, "_block"], "left")
-        .select(key, F.col("_t").alias(time), F.coalesce("_in", "_before").alias("_hit"))
-    )
-    columns = [c for c in features.columns if c != key]
-    return many_to_one(entities, found, [key, time]).select(
-        *entities.columns, *[F.col("_hit")[c].alias(c) for c in columns]
+    answered = ranged.withColumn("_in", F.last("_row", ignorenulls=True).over(so_far)).where(~is_feature)
+    # An entity row without a time is before everything.
+    hit = F.when(F.col("_t").isNotNull(), F.coalesce("_in", "_before"))
+    return with_start(answered, starts, "_key").withColumn("_hit", hit).select(
+        *[F.col("_asked")[c].alias(c) for c in entities.columns],
+        *[F.col("_hit")[c].alias(c) for c in columns],
     )

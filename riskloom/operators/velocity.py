@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.joins import many_to_one
+from riskloom.operators.ranges import earlier_ranges, in_ranges, with_start
 from riskloom.schemas import REQUESTS_PER_MINUTE
 
 
@@ -16,37 +17,35 @@ def trailing_counts(
 
     Events of one instant are counted first. An instant adds its events when it
     comes and takes them back ``seconds`` later, so the count at any time is a
-    running sum; a sliding frame would be added up anew for every row. Time is
-    cut into intervals of ``seconds``, which start with what the interval before
-    holds, so a busy key is spread over intervals instead of one task.
+    running sum; a sliding frame would be added up anew for every row. The sum
+    is built inside ranges of about equal size and starts with what the ranges
+    before add up to, so a key that is busy even within a minute is spread.
     """
-    span = seconds * 1_000_000
-    own, at, n = F.col("_own"), F.col("_at"), F.col("n_events")
+    at, n = F.col("_at"), F.col("n_events")
 
-    def change(part, when, by, comes):
-        return F.struct(
-            part.alias("part"), when.alias("at"), by.alias("by"), F.lit(comes).alias("comes")
-        )
+    def change(when, by, comes):
+        return F.struct(when.alias("at"), by.alias("by"), F.lit(comes).alias("comes"))
 
-    changes = F.array(
-        change(own, at, n, True),
-        change(own + 1, (own + 1) * span, n, False),
-        change(own + 1, at + span, -n, False),
-    )
-    running = (
-        Window.partitionBy(key, "part").orderBy("at")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
+    changes = F.array(change(at, n, True), change(at + seconds * 1_000_000, -n, False))
+    ranged = in_ranges(
         events.where(F.col(time).isNotNull())
         .groupBy(key, time)
         .agg(F.count(F.lit(1)).alias("n_events"))
         .withColumn("_at", F.unix_micros(time))
-        .withColumn("_own", F.floor(F.col("_at") / span))
-        .select(key, time, "n_events", F.inline(changes))
-        .withColumn("n_trailing", F.sum("by").over(running))
-        .where("comes")
-        .select(key, time, "n_events", "n_trailing")
+        .select(key, time, "n_events", F.inline(changes)),
+        key, "at",
+    )
+    totals = ranged.groupBy(key, "_range").agg(F.sum("by").alias("_total"))
+    starts = totals.select(
+        key, "_range", F.sum("_total").over(earlier_ranges(key)).alias("_before")
+    ).where(F.col("_before") != 0)
+    running = (
+        Window.partitionBy("_range", key).orderBy("at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    summed = ranged.withColumn("_sum", F.sum("by").over(running)).where("comes")
+    return with_start(summed, starts, key).select(
+        key, time, "n_events", (F.col("_sum") + F.coalesce("_before", F.lit(0))).alias("n_trailing")
     )
 
 

@@ -9,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.flags import with_flags
+from riskloom.operators import asof, velocity
 from riskloom.operators.asof import pit_join
 from riskloom.operators.scoring import lookup
 from riskloom.operators.training import first_labels, labeled_transactions, with_known_user
 from riskloom.operators.velocity import flag_over_limit
 from riskloom.operators.windows import select_trailing_window, trailing_features, windowed_features
 from riskloom.plans import queries
+from riskloom.schemas import FeatureView
 from riskloom.streaming.online import user_feature_table
 
 STREAMS = {n for n in queries.QUERIES if n.endswith(("_stream", "_multibatch", "_layers"))} | {
@@ -161,3 +163,55 @@ def test_trailing_counts_use_a_running_sum(spark, txns):
     """A frame that slides at its lower end is added up anew for every row."""
     frames = re.findall(r"specifiedwindowframe\(([^)]*)", plan(flag_over_limit(txns)))
     assert frames and all("unboundedpreceding" in f.lower() for f in frames)
+
+
+# Small tables keep all their shuffle partitions.
+MANY = SKEW | {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+def busy_minute(spark, n=60000):
+    """One user, one minute, all instants distinct."""
+    return spark.range(0, n, 1, 16).select(
+        F.concat(F.lit("t"), "id").alias("transaction_id"), F.lit("user_0001").alias("user_id"),
+        F.col("id").alias("i"),
+        F.timestamp_micros(F.lit(1704110400000000) + F.col("id") * 1000).alias("event_time"),
+    )
+
+
+@contextmanager
+def limits_seen(monkeypatch, module):
+    """The frames that get cut into ranges while this is open."""
+    seen = []
+    real = module.in_ranges
+    monkeypatch.setattr(module, "in_ranges", lambda *a: seen.append(real(*a)) or seen[-1])
+    yield seen
+
+
+def test_busy_minute_is_split_in_the_as_of_join(spark, monkeypatch):
+    with conf(spark, **MANY), limits_seen(monkeypatch, asof) as ranged:
+        rows = busy_minute(spark)
+        entities = rows.withColumnRenamed("event_time", "event_timestamp")
+        # A feature row every 7 seconds and a half, half a millisecond after an entity row.
+        features = rows.where("i % 7500 = 0").select(
+            "user_id", (F.col("event_time") + F.expr("interval 500 microseconds")).alias("at"),
+            F.when(F.col("i") != 7500, F.col("i")).alias("seen"))
+        view = FeatureView(name="v", entity="user_id", timestamp="at", fields={"seen": "bigint"}, ttl=0, step=0)
+        got = pit_join(entities, features, view, keep_timestamp=True)
+        text = plan(got)
+        assert ranged[0].select("_range").distinct().count() > 4
+        assert "SortAggregate" not in text and shuffles(got) <= 8
+        found = {r["i"]: (r["seen"], r["at"] is not None) for r in got.collect()}
+        assert len(found) == 60000
+        for i, (seen, matched) in found.items():
+            last = (i - 1) // 7500 * 7500
+            assert matched == (i > 0) and seen == (last if i > 0 and last != 7500 else None)
+
+
+def test_busy_minute_is_split_in_the_trailing_counts(spark, monkeypatch):
+    with conf(spark, **MANY), limits_seen(monkeypatch, velocity) as ranged:
+        rows = busy_minute(spark).withColumn(
+            "user_id", F.when(F.col("i") % 2 == 0, F.col("user_id")))
+        got = flag_over_limit(rows, seconds=20).select("user_id", "i", "n_trailing").collect()
+        assert ranged[0].select("_range").distinct().count() > 4
+        assert len(got) == 60000
+        assert all(r["n_trailing"] == min(r["i"] // 2 + 1, 10000) for r in got)
