@@ -73,7 +73,12 @@ def load(path: str) -> PipelineModel:
 
 
 def evaluate(predictions: DataFrame, label: str = "fraud") -> dict[str, float]:
-    """Accuracy, precision, recall, F1 and ROC-AUC of a prediction table."""
+    """Accuracy, precision, recall, F1 and ROC-AUC of a prediction table.
+
+    Class and score are checkpointed, so the predictions are computed once.
+    """
+    shared_dir(predictions.sparkSession)
+    predictions = predictions.select(label, "prediction", "probability").checkpoint()
     counts = confusion_metrics(predictions, label).first()
     found = {name: counts[name] for name in METRICS[:-1]}
     found["roc_auc"] = roc_auc(predictions, label).first()["roc_auc"]

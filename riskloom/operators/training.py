@@ -122,39 +122,28 @@ def stratified_split(
     """Add ``is_test``: per class, the ``fraction`` of rows with the smallest hash.
 
     Exact in size and the same on every run. The cut is found without sorting a
-    class: rows are counted per hash prefix, and only the one prefix in which
-    the cut falls is ranked. The rows themselves are never shuffled, and copies
-    of a key always land on the same side. The input is read three times, so
-    pass a written or persisted frame when it is costly.
+    class: rows are counted per hash prefix, then per longer prefix inside the
+    one in which the cut falls, and only the hashes of that (one in 2^36 of a
+    class) are ranked. The rows themselves are never shuffled, and copies of a
+    key always land on the same side. The input is read four times, so pass a
+    written or persisted frame when it is costly.
     """
     hashed = rows.select(F.col(label), _split_hash(key, seed).alias("_hash"))
-    prefix = F.substring("_hash", 1, 4)
-    counts = hashed.groupBy(label, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
-
-    # At most 65536 prefixes per class.
-    by_class = Window.partitionBy(label)
-    prefixes = counts.withColumns({
-        "_upto": F.sum("_n").over(by_class.orderBy("_prefix")),
-        "_size": F.sum("_n").over(by_class),
-    }).withColumn("_wanted", F.floor(F.col("_size") * fraction + 0.5))
-    cut = (
-        prefixes.where(F.col("_upto") >= F.col("_wanted"))
-        .groupBy(label)
-        .agg(F.min(F.struct("_prefix", (F.col("_upto") - F.col("_n")).alias("_below"), "_wanted"))
-             .alias("_cut"))
-        .select(label, "_cut.*")
+    sizes = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    wanted = sizes.select(
+        label, F.lit("").alias("_prefix"), F.lit(0).cast("bigint").alias("_below"),
+        F.floor(F.col("_size") * fraction + 0.5).alias("_wanted"),
     )
+    cut, known = wanted, 0
+    for digits in PREFIXES:
+        cut, known = _refined_cut(hashed, cut, label, known, digits), digits
+    # When no hash of the cut prefix fits, the test part ends before the prefix.
     inside = (
-        hashed.withColumn("_prefix", prefix)
-        .join(cut, [label, "_prefix"])
-        .groupBy(label, "_below", "_wanted", "_hash")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_rank", F.col("_below") + F.sum("_n").over(by_class.orderBy("_hash")))
-        .where(F.col("_rank") <= F.col("_wanted"))
+        _running_counts(hashed, cut, label, known, 32)
+        .where(F.col("_upto") <= F.col("_wanted"))
         .groupBy(label)
-        .agg(F.max("_hash").alias("_last"))
+        .agg(F.max("_next").alias("_last"))
     )
-    # When no hash of the cut prefix fits, the test part ends before the prefix.
     limits = cut.join(inside, label, "left").select(
         label, F.coalesce("_last", "_prefix").alias("_last")
     )
@@ -165,3 +154,29 @@ def stratified_split(
         .drop("_hash", "_last")
     )
 
+
+# Hexadecimal digits of the prefixes counted: at most 2^16, then 2^20 counts a class.
+PREFIXES = (4, 9)
+
+
+def _running_counts(hashed: DataFrame, cut: DataFrame, label: str, known: int, digits: int) -> DataFrame:
+    """Rows below and in each prefix of ``digits`` digits inside the cut prefix of its class."""
+    by_class = Window.partitionBy(label).orderBy("_next")
+    return (
+        hashed.withColumn("_prefix", F.substring("_hash", 1, known))
+        .join(cut, [label, "_prefix"])
+        .groupBy(label, "_below", "_wanted", F.substring("_hash", 1, digits).alias("_next"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", F.col("_below") + F.sum("_n").over(by_class))
+    )
+
+
+def _refined_cut(hashed: DataFrame, cut: DataFrame, label: str, known: int, digits: int) -> DataFrame:
+    """The prefix of ``digits`` digits in which the cut falls, and the rows below it."""
+    first = F.min(F.struct(F.col("_next").alias("_prefix"), (F.col("_upto") - F.col("_n")).alias("_below"), "_wanted"))
+    return (
+        _running_counts(hashed, cut, label, known, digits)
+        .where(F.col("_upto") >= F.col("_wanted"))
+        .groupBy(label).agg(first.alias("_cut"))
+        .select(label, "_cut.*")
+    )

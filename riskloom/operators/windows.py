@@ -66,17 +66,17 @@ def _merged() -> list[Column]:
     ]
 
 
-def _panes(transactions: DataFrame, spec: SlidingSpec, cents: bool) -> DataFrame:
+def _panes(transactions: DataFrame, spec: SlidingSpec, cents: bool, *more: Column) -> DataFrame:
     """One row per user and slide interval, numbered from the epoch.
 
-    Rows without event time belong to no interval.
+    Rows without event time belong to no interval. ``more`` are further measures.
     """
     pane = F.floor(F.unix_seconds("event_time") / spec.slide)
     return (
         transactions
         .where(F.col("event_time").isNotNull())
         .groupBy("user_id", pane.alias("pane"))
-        .agg(*_measures(cents))
+        .agg(*_measures(cents), *more)
     )
 
 
@@ -168,23 +168,29 @@ def select_trailing_window(windows: DataFrame, spec: SlidingSpec = SLIDING) -> D
 
 
 def trailing_features(
-    transactions: DataFrame, spec: SlidingSpec = SLIDING, cents: bool = True
+    transactions: DataFrame, spec: SlidingSpec = SLIDING, cents: bool = True, last_event: str | None = None
 ) -> DataFrame:
     """The trailing window of each user straight from transactions.
 
     Same rows as ``select_trailing_window(windowed_features(..))`` without
     building the other windows: the newest intervals of a user are added up.
+    ``last_event`` names a further column for the time of the user's last event.
     """
     phase = F.pmod(F.col("pane"), F.lit(spec.panes))
+    kept = [last_event] if last_event else []
+
+    def last(time):
+        return [F.max(time).alias(name) for name in kept]
+
     recent = (
-        _newest_by_phase(_panes(transactions, spec, cents), "pane", phase)
+        _newest_by_phase(_panes(transactions, spec, cents, *last("event_time")), "pane", phase)
         .withColumn("newest", F.max("pane").over(Window.partitionBy("user_id")))
         .where(F.col("pane") > F.col("newest") - spec.panes)
     )
     return (
         recent.groupBy("user_id", "newest")
-        .agg(*_merged())
-        .select(*_output(_pane_end(F.col("newest"), spec), spec))
+        .agg(*_merged(), *last(last_event))
+        .select(*_output(_pane_end(F.col("newest"), spec), spec), *kept)
     )
 
 

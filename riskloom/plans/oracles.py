@@ -394,6 +394,13 @@ SELECTS = {
         strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end,
         strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS updated_at,
         total_amount_5min, max_amount_5min FROM online_live""",
+    "store_rounded": "SELECT 'user_features:' || user_id AS key, " + ", ".join(
+        f"CAST(round(CAST(CAST({n} AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS {n}"
+        for n in ("total_amount_5min", "avg_amount_5min", "max_amount_5min")) + " FROM online_live",
+    "flag_keys": f"""SELECT 'txn_flags:' || transaction_id AS key, 3600 AS ttl, transaction_id, user_id,
+        CAST(amount AS VARCHAR) AS amount, CAST(is_foreign AS VARCHAR) AS is_foreign,
+        CAST(is_high_amount AS VARCHAR) AS is_high_amount, CAST(is_suspicious AS VARCHAR) AS is_suspicious
+        FROM (SELECT transaction_id, user_id, amount, {FLAGS} FROM txns)""",
     "materialize_latest": f"""SELECT {WINDOW}, {t('window_end')[:-len('window_end')]}updated_at,
         strftime(window_end + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S.%f') AS expires_at
         FROM (SELECT * FROM windows, (SELECT max(event_time) - INTERVAL 10 MINUTE AS stop FROM txns)

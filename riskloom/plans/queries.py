@@ -6,6 +6,7 @@ Times are shown as text in UTC so that any client prints the same.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,10 +104,7 @@ def newest_time(spark, sf):
 
 def online_rows(spark, sf):
     """Trailing windows that expire after the last event of their user."""
-    t = txns(spark, sf)
-    chosen = trailing_features(t, cents=True)
-    last = t.groupBy("user_id").agg(F.max("event_time").alias("updated_at"))
-    return on.with_expiry(chosen.join(last, "user_id"), on.USER_FEATURES_TTL)
+    return on.with_expiry(trailing_features(txns(spark, sf), last_event="updated_at"), on.USER_FEATURES_TTL)
 
 
 def online_live(spark, sf):
@@ -497,6 +495,20 @@ def store_keys(spark, sf):
     )
 
 
+def store_rounded(spark, sf):
+    """The amounts as the store's text has them: rounded to cents."""
+    fields = F.col("fields")
+    names = ("total_amount_5min", "avg_amount_5min", "max_amount_5min")
+    return on.user_hashes(online_live(spark, sf)).select("key", *[fields[n].cast("double").alias(n) for n in names])
+
+
+def flag_keys(spark, sf):
+    rows = flag_rows(txns(spark, sf)).withColumn("updated_at", F.col("event_time"))
+    fields = F.col("fields")
+    return on.flag_hashes(rows).select(
+        "key", "ttl", *[fields[n].alias(n) for n in ("transaction_id", "user_id", "amount", *FEATURE_ORDER[4:])])
+
+
 def materialize_latest(spark, sf):
     end = newest_time(spark, sf) - F.expr("interval 10 minutes")
     return on.materialize(windows(spark, sf), end - F.expr("interval 10 minutes"), end)
@@ -609,28 +621,15 @@ def exact_trailing_5m(spark, sf):
 # With a trained model (no SQL counterpart) ---------------------------------------------------------
 
 
-# Saved models of this process, by application and input folder.
-_MODELS: dict[tuple[str, str], tuple[str, str]] = {}
-
-
 def _fitted(spark, sf):
-    """A model trained on the training part, and the rows with ``is_test``.
-
-    Training runs once; later calls load the saved model and the stored rows.
-    """
-    key = (configure(spark).sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        rows_path, model_path = work_dir(spark, "training"), work_dir(spark, "model")
-        tr.model_input(training(spark, sf)).write.parquet(rows_path)
-        rows = tr.stratified_split(spark.read.parquet(rows_path))
-        ml.save(ml.train(rows.where(~F.col("is_test"))), model_path)
-        _MODELS[key] = rows_path, model_path
-    rows_path, model_path = _MODELS[key]
-    return ml.load(model_path), tr.stratified_split(spark.read.parquet(rows_path))
+    """A model trained on the training part, saved and loaded, and the stored rows with ``is_test``."""
+    rows = stored(tr.stratified_split(stored(tr.model_input(training(spark, sf)), "training")), "split")
+    path = work_dir(spark, "model")
+    ml.save(ml.train(rows.where(~F.col("is_test"))), path)
+    return ml.load(path), rows
 
 
-def gbt_scores(spark, sf):
-    model, rows = _fitted(spark, sf)
+def _test_scores(model, rows):
     scored = ml.predict(model, rows.where("is_test"))
     return scored.select(
         "transaction_id", "fraud", "probability", "prediction",
@@ -638,6 +637,18 @@ def gbt_scores(spark, sf):
     )
 
 
+def _run_metrics(spark, model, rows):
+    metrics = ml.evaluate(ml.predict(model, rows.where("is_test")))
+    path = work_dir(spark, "runs")
+    params = {"trees": ml.TREES, "depth": ml.TREE_DEPTH, "rate": ml.LEARNING_RATE}
+    ml.log_run(spark, path, f"gbt-{uuid.uuid4().hex}", params, metrics)
+    return spark.read.parquet(path).select("run_id", *ml.METRICS)
+
+
+def gbt_scores(spark, sf):
+    return _test_scores(*_fitted(spark, sf))
+
+
 def explanations(spark, sf):
     model, rows = _fitted(spark, sf)
     scored = ml.predict(model, rows)
@@ -659,11 +670,7 @@ def gbt_importances(spark, sf):
 
 def gbt_run_metrics(spark, sf):
     """Metrics on the test part, logged to a run table and read back."""
-    model, rows = _fitted(spark, sf)
-    metrics = ml.evaluate(ml.predict(model, rows.where("is_test")))
-    path = work_dir(spark, "runs")
-    ml.log_run(spark, path, "gbt", {"trees": ml.TREES, "depth": ml.TREE_DEPTH, "rate": ml.LEARNING_RATE}, metrics)
-    return spark.read.parquet(path).select("run_id", *ml.METRICS)
+    return _run_metrics(spark, *_fitted(spark, sf))
 
 
 # What a model's rows must satisfy whatever its probabilities are -----------------------------------
@@ -692,12 +699,13 @@ def gbt_test_rows(spark, sf):
 
 def gbt_metrics_agree(spark, sf):
     """The logged metrics against counts over the emitted predictions; importances add up to 1."""
+    model, rows = _fitted(spark, sf)
     names = ml.METRICS[:-1]
     stacked = F.stack(F.lit(len(names)), *[x for m in names for x in (F.lit(m), F.col(m))]).alias("metric", "value")
-    again = confusion_metrics(gbt_scores(spark, sf)).select(stacked)
-    logged = gbt_run_metrics(spark, sf).select(stacked).withColumnRenamed("value", "logged")
+    again = confusion_metrics(_test_scores(model, rows)).select(stacked)
+    logged = _run_metrics(spark, model, rows).select(stacked).withColumnRenamed("value", "logged")
     compared = again.join(logged, "metric").select("metric", (F.abs(F.col("value") - F.col("logged")) < 1e-12).alias("agrees"))
-    added = gbt_importances(spark, sf).agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("agrees"))
+    added = ml.importance_table(spark, model).agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("agrees"))
     return compared.unionByName(added.select(F.lit("importances").alias("metric"), "agrees"))
 
 
@@ -750,6 +758,8 @@ QUERIES: dict[str, Query] = {
     "online_flags": online_flags,
     "online_lookup": online_lookup,
     "store_keys": store_keys,
+    "store_rounded": store_rounded,
+    "flag_keys": flag_keys,
     "materialize_latest": materialize_latest,
     "score_features": score_features,
     "risk_bands": risk_bands,
