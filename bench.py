@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from riskloom.plans import queries as registry  # noqa: E402
-from riskloom.session import build_session  # noqa: E402
+from riskloom.session import build_session, remove_work  # noqa: E402
 
 HEADLINE = [
     "flags", "json_parse", "validate_transactions", "windowed_features", "trailing_window",
@@ -55,6 +55,7 @@ def main() -> None:
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         seconds[name] = round(min(runs), 3)
+        remove_work(spark)
     spark.stop()
     print(json.dumps({
         "metric": "total seconds of the headline queries, best of %d runs" % RUNS,

@@ -211,6 +211,7 @@ _QUARANTINE = f"""
 _SEEN = "(SELECT user_id FROM windows WHERE CAST(substr(user_id, 6) AS INT) % 5 <> 0)"
 
 _IMPORTANCES = [0.22, 0.16, 0.12, 0.14, 0.10, 0.08, 0.18]
+# The scales of the window features.
 _MAXIMA = [20, 5000, 2500, 5000]
 
 
@@ -234,6 +235,7 @@ _TOP3 = " UNION ALL ".join(
     for i, (name, part) in enumerate(_parts())
 )
 
+# Wording and limits of the reasons.
 _REASONS = """
     SELECT transaction_id, CASE WHEN r = '' THEN
         CASE WHEN probability > 0.4 THEN 'Model flagged transaction — pattern matches historical fraud'
@@ -254,6 +256,7 @@ _REASONS = """
             THEN printf('Large total volume in window ($%.2f in 5 min)', total_amount_5min) END) AS r
       FROM scored)"""
 
+# Bounds of the amount histogram.
 _BOUNDS = [10, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
 
 

@@ -79,6 +79,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+# Work folders handed out and not removed yet.
+_handed_out: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), "riskloom", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, for what this process needs for a while."""
+    path = os.path.join(shared_dir(spark), "riskloom", f"{name}-{uuid.uuid4().hex}")
+    _handed_out.append(path)
+    return path
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Remove the work folders of this process. Frames that read them end with that."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _handed_out:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        folder.getFileSystem(hadoop).delete(folder, True)
