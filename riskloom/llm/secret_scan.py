@@ -5,8 +5,9 @@ long strings of letters and digits that follow a sensitive word in the same line
 and measures how many bytes each adds when it is compressed after a dictionary of
 identifiers and the text around it. A name, a path or a word repeats something
 known and adds little; a random string adds nearly its own length and is reported
-as ``novel``. The identifiers are those that stand near sensitive words most often
-in the whole corpus, in as many documents as possible.
+as ``novel``. The identifiers are those that stand near sensitive words in most
+distinct texts of the whole corpus. The strings to be measured vouch neither for
+themselves nor, in their own text, for the dictionary.
 
 Offsets are code points, ends exclusive. A null or empty text has no spans; rows
 that repeat are scanned once each; other columns are not looked at.
@@ -16,10 +17,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,7 @@ _SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 _HINTS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "signature", "auth")
+_LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,39}", re.ASCII)
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
@@ -74,22 +78,38 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found if _DIGIT.search(text, a, b) and _LETTER.search(text, a, b)]
 
 
-def added_bytes(text: str, start: int, end: int, dictionary: bytes) -> int:
-    """Compressed bytes that text[start:end] adds after the dictionary and its surroundings."""
-    around = (text[max(0, start - AROUND):start] + text[end:end + AROUND]).encode("utf-8", "replace")
+def without(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> str:
+    """text[start:end] with a blank for each of the sorted spans."""
+    parts, at = [], start
+    for a, b in spans:
+        if b > at and a < end:
+            parts += [text[at:max(at, a)], " "]
+            at = b
+    return "".join([*parts, text[at:end]])
+
+
+def added_bytes(text: str, start: int, end: int, dictionary: bytes, others: list[tuple[int, int]] = ()) -> int:
+    """Compressed bytes that text[start:end] adds after the dictionary and its surroundings.
+
+    ``others`` are the text's candidates in order; where one repeats the string it is left out.
+    """
+    own, first, last = text[start:end], max(0, start - AROUND), end + AROUND
+    close = others[max(0, bisect_left(others, (first, 0)) - 1):bisect_left(others, (last, 0))]
+    same = [(a, b) for a, b in close if a != start and (own in text[a:b] or text[a:b] in own)]
+    around = (without(text, first, start, same) + without(text, end, last, same)).encode("utf-8", "replace")
     primed = zstandard.ZstdCompressionDict(dictionary + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_dict_id=False)
-    lead = text[max(0, start - 32):start].encode("utf-8", "replace")
+    lead = without(text, max(0, start - 32), start, same).encode("utf-8", "replace")
     return len(press.compress(lead + text[start:end].encode())) - len(press.compress(lead))
 
 
 def scan(text: str, dictionary: bytes) -> tuple[list, list]:
     """Spans of the patterns, and all spans."""
-    base = base_spans(text)
+    base, found = base_spans(text), candidates(text)
     novel = [
-        (a, b, "novel") for a, b in candidates(text)
+        (a, b, "novel") for a, b in found
         if not any(a < e and s < b for s, e, _ in base)
-        and added_bytes(text, a, b, dictionary) >= NOVELTY * (b - a)
+        and added_bytes(text, a, b, dictionary, found) >= NOVELTY * (b - a)
     ]
     return base, sorted(base + novel, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -108,25 +128,59 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+def near_words(text: str) -> tuple[set[str], set[str]]:
+    """Identifiers before the candidates of a text, and those inside candidates.
+
+    A candidate is no identifier of its text, wherever in the text it stands.
+    """
+    found = candidates(text)
+    if not found:
+        return set(), set()
+    strings = {text[a:b] for a, b in found}
+    hidden = sorted({*found, *(m.span() for m in _LONG.finditer(text) if m[0] in strings)})
+    inside = {w for t in strings for w in _IDENTIFIER.findall(t) if len(w) >= 8}
+    near: set[str] = set()
+    at = 0
+    for a, _ in found:
+        # What the last look has read is not read again.
+        start = max(0, a - AROUND, at)
+        close = hidden[max(0, bisect_left(hidden, (start, 0)) - 1):bisect_left(hidden, (a, 0))]
+        near.update(_IDENTIFIER.findall(without(text, start, a, close)))
+        at = a
+    return near - inside, inside
+
+
 def identifiers(docs: DataFrame, size: int = DICTIONARY) -> bytes:
-    """The identifiers near sensitive words, most frequent last (nearest for the compressor).
+    """The identifiers near sensitive words, those of most distinct texts last (nearest for the compressor).
 
     Counts are over all documents; only those that fit the dictionary are collected.
+    Copies of a text don't add to a word's rank, and they alone don't bring in a word
+    that is part of a candidate anywhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
+            rows: Counter = Counter()
+            measured: set[tuple[str, int]] = set()
             for text in batch["text"].to_pylist():
-                near: set[str] = set()
-                for a, b in candidates(text):
-                    near.update(_IDENTIFIER.findall(text[max(0, a - AROUND):a]))
-                counts.update(near)
-            yield pa.RecordBatch.from_pydict({"word": list(counts), "n": pa.array(list(counts.values()), pa.int64())},
-                                             schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
-
-    counted = docs.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(size // 5).collect()
+                near, inside = near_words(text)
+                if near or inside:
+                    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    rows.update((w, h) for w in near)
+                    measured.update((w, h) for w in inside)
+            keys = [*rows, *measured]
+            yield pa.RecordBatch.from_pydict({
+                "word": pa.array([w for w, _ in keys], pa.string()), "digest": pa.array([h for _, h in keys], pa.int64()),
+                "n": pa.array([*rows.values(), *([0] * len(measured))], pa.int64()),
+                "inside": pa.array([0] * len(rows) + [1] * len(measured), pa.int64()),
+            })
+
+    by_text = docs.mapInArrow(run, "word string, digest bigint, n bigint, inside bigint").groupBy("word", "digest").agg(
+        F.sum("n").alias("n"), F.max("inside").alias("inside"))
+    counted = by_text.groupBy("word").agg(
+        F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("texts"), F.sum("n").alias("n"), F.max("inside").alias("inside"))
+    several = (F.col("texts") > 1) | ((F.col("n") > 1) & (F.col("inside") == 0))
+    top = counted.where(several).orderBy(F.desc("texts"), "word").limit(size // 5).collect()
     words: list[str] = []
     for r in top:
         if sum(map(len, words)) + len(words) + len(r["word"]) >= size:

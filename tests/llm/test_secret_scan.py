@@ -72,3 +72,37 @@ def test_masking_and_odd_rows(spark):
     assert row["text"] == 'x [secret]" y' and row["n_chars"] == len(row["text"]) and row["masked"] == "m"
     assert ss.mask("abcdef", [(0, 3, "hex"), (2, 4, "hex")]) == "[secret]ef"[:8] + "ef"
     assert ss.find_secrets(no_documents(spark)).count() == 0 == ss.mask_secrets(no_documents(spark)).count()
+
+
+KEY, OTHER = "zQ8rT5vX1mNc7Lp0WkYd3HsA", "Hn4bVx9KqLr2Wz7TgPm5Yc8D"
+
+
+def found(text, row):
+    return [text[int(a):int(b)] for kind, a, b in (s.split(":") for s in row["spans"].split(",") if s) if kind == "novel"]
+
+
+def test_secrets_do_not_vouch_for_themselves():
+    line = f"the bearer is {KEY} here\n"
+    assert [s[2] for s in ss.scan(line * 2, b"")[1]] == ["novel"] * 2
+    assert [s[2] for s in ss.scan(line * 40, b"")[1]] == ["novel"] * 40
+    assert ss.mask(line * 2, ss.scan(line * 2, b"")[1]) == line.replace(KEY, ss.MASK) * 2
+
+
+def test_secrets_in_copies_and_shared_passages_are_reported(spark):
+    copied = f"user {KEY} has bearer {KEY} and then credential {OTHER} ."
+    shared = f"the bearer {KEY} and then the signature {OTHER} ."
+    texts = [copied] * 40 + [f"text {i} has a passage: {shared}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    words = ss.identifiers(docs.select("text")).decode().split()
+    assert "then" in words and not {KEY, OTHER} & set(words)
+    for r in ss.find_secrets(docs).collect():
+        # In the copies the first key stands in the open beside itself.
+        assert found(texts[r["doc_id"]], r) == ([OTHER] if r["doc_id"] < 40 else [KEY, OTHER])
+
+
+def test_copies_do_not_vote_for_measured_strings(spark):
+    texts = [f"{KEY} is near bearer {OTHER}"] * 40 + [f"the bearer is {KEY} now"] + [f"lasting_name token {OTHER} {i}" for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    words = ss.identifiers(docs.select("text")).decode().split()
+    assert KEY not in words and words.index("lasting_name") > words.index("near")
+    assert found(texts[40], ss.find_secrets(docs).where("doc_id = 40").first()) == [KEY]
