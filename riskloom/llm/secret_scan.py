@@ -1,8 +1,7 @@
 """Secret scans: patterns, and novelty under a primed zstandard dictionary.
 
 The patterns find assignments, access keys and hex strings. The method looks at
-long strings of letters and digits that follow a sensitive word in the same line,
-and measures how many bytes each adds when it is compressed after a dictionary of
+all long strings that follow a sensitive word closely in the same line, and measures how many bytes each adds when it is compressed after a dictionary of
 identifiers and the text around it. A name, a path or a word repeats something
 known and adds little; a random string adds nearly its own length and is reported
 as ``novel``. The identifiers are those that stand near sensitive words in most
@@ -17,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,14 +45,14 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _SENSITIVE = re.compile(
-    r"(?:passw|passphrase|secret|token|api_?key|access_?key|private_?key|credential|bearer|signature|auth)"
-    r"[^\n]{0,40}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})",
+    r"passw|passphrase|secret|token|api_?key|access_?key|private_?key|credential|bearer|signature|auth",
     re.IGNORECASE | re.ASCII,
 )
+# A candidate starts at most so many characters after a sensitive word.
+REACH, LEAST = 40, 16
 _HINTS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "signature", "auth")
-_LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
+_LONG = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % LEAST, re.ASCII)
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,39}", re.ASCII)
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -70,12 +69,44 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Long strings with letters and digits that follow a sensitive word."""
+    """All long strings that start within reach of a sensitive word in its line.
+
+    Full stops at either end are the sentence's. Where the word is part of a string,
+    what follows its equals sign is one more, up to the next such place.
+    """
     low = text.lower()
     if not any(k in low for k in _HINTS):
         return []
-    found = (m.span(1) for m in _SENSITIVE.finditer(text))
-    return [(a, b) for a, b in found if _DIGIT.search(text, a, b) and _LETTER.search(text, a, b)]
+    words = [m.end() for m in _SENSITIVE.finditer(text)]
+    found, at = set(), 0
+    for run in _LONG.finditer(text) if words else ():
+        a, b = run.span()
+        at = bisect_right(words, a, at)
+        parts = []
+        if at and a - words[at - 1] <= REACH and text.find("\n", words[at - 1], a) < 0:
+            parts.append((a, b))
+        signs = {text.find("=", w, min(b, w + REACH)) + 1 for w in words[at:bisect_right(words, b, at)]}
+        starts = sorted(signs - {0})
+        parts += zip(starts, [*starts[1:], b])
+        for start, stop in parts:
+            while start < stop and text[start] in ".=":
+                start += 1
+            while start < stop and text[stop - 1] == ".":
+                stop -= 1
+            if stop - start >= LEAST:
+                found.add((start, stop))
+    return sorted(found)
+
+
+def _bare(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether a long part of start to end lies outside the patterns' spans."""
+    at = start
+    for a, b, _ in base:
+        if b > at and a < end:
+            if a - at >= LEAST:
+                return True
+            at = b
+    return end - at >= LEAST
 
 
 def without(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> str:
@@ -94,7 +125,7 @@ def added_bytes(text: str, start: int, end: int, dictionary: bytes, others: list
     ``others`` are the text's candidates in order; where one repeats the string it is left out.
     """
     own, first, last = text[start:end], max(0, start - AROUND), end + AROUND
-    close = others[max(0, bisect_left(others, (first, 0)) - 1):bisect_left(others, (last, 0))]
+    close = others[max(0, bisect_left(others, (first, 0)) - 2):bisect_left(others, (last, 0))]
     same = [(a, b) for a, b in close if a != start and (own in text[a:b] or text[a:b] in own)]
     around = (without(text, first, start, same) + without(text, end, last, same)).encode("utf-8", "replace")
     primed = zstandard.ZstdCompressionDict(dictionary + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -108,8 +139,7 @@ def scan(text: str, dictionary: bytes) -> tuple[list, list]:
     base, found = base_spans(text), candidates(text)
     novel = [
         (a, b, "novel") for a, b in found
-        if not any(a < e and s < b for s, e, _ in base)
-        and added_bytes(text, a, b, dictionary, found) >= NOVELTY * (b - a)
+        if _bare(a, b, base) and added_bytes(text, a, b, dictionary, found) >= NOVELTY * (b - a)
     ]
     return base, sorted(base + novel, key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -106,3 +106,29 @@ def test_copies_do_not_vote_for_measured_strings(spark):
     words = ss.identifiers(docs.select("text")).decode().split()
     assert KEY not in words and words.index("lasting_name") > words.index("near")
     assert found(texts[40], ss.find_secrets(docs).where("doc_id = 40").first()) == [KEY]
+
+
+def novel(text):
+    return [text[a:b] for a, b, kind in ss.scan(text, b"")[1] if kind == "novel"]
+
+
+def test_every_long_string_in_reach_is_measured():
+    plain = "zQkrTwvXbmNcfLpqWkYdshsA"
+    payload, sign = "eyJzdWIiOiIxMjM0NTY3ODkwIn0", "dBjftJeZ4CVPmB92K27uhbUJU1p1rWW1gFWFOEjXk"
+    assert novel(f"the bearer is {plain} here") == [plain]
+    assert KEY in novel(f"auth some-long-correlation-name: {KEY}")
+    assert novel(f"Bearer {KEY}.{payload}.{sign}.") == [f"{KEY}.{payload}.{sign}"]
+    # A pattern inside hides neither what is before it nor what is after it.
+    mixed = f"{'0123456789abcdef' * 2}.{payload}.{sign}"
+    assert novel(f"Bearer {mixed}") == [mixed] and novel("Bearer " + "0123456789abcdef" * 2) == []
+    assert novel(f"access_key={KEY}") == [KEY]
+    # Out of reach, in another line, or too short.
+    assert novel(f"bearer{' ' * 41}{KEY} auth\n{KEY} token abcdefg1.hijkl2") == []
+    assert novel(f"bearer{' ' * 40}{KEY}") == [KEY]
+    assert novel("a bearer of ---------------------------- and ........................") == []
+
+
+def test_candidates_of_long_texts_take_linear_time():
+    text = "auth=" * 100_000
+    assert len(ss.candidates(text)) <= 1
+    assert len(ss.candidates(f"auth={KEY}." * 20_000)) == 20_000
