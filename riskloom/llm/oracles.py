@@ -59,7 +59,82 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM t WHERE rank
 """
 
 
+OP11 = """
+WITH e AS (
+  SELECT vec_id, row_number() OVER () AS k, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT q.vec_id AS anchor_id, q.k, c.vec_id, q.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS place FROM s WHERE same
+  QUALIFY place <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.k, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.k = s.k AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op12_sql(rounds: int, parts: int, entries: int, scale: int) -> str:
+    """Lloyd rounds written out, each with its assignment and its moved codebooks."""
+    assigned = """a{i} AS MATERIALIZED (
+  SELECT k, part, any_value(x) AS x, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+    SELECT p.k, p.part, p.x, b.entry,
+           CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS BIGINT) AS d
+    FROM p JOIN b{i} b ON p.part = b.part) GROUP BY k, part)"""
+    moved = """b{j} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (
+    SELECT part, entry, list(mean ORDER BY pos) AS x FROM (
+      SELECT part, entry, pos, (s - ((s % n) + n) % n) // n AS mean FROM (
+        SELECT part, entry, pos, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (
+          SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM a{i})
+        GROUP BY part, entry, pos)) GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry)"""
+    steps = [assigned.format(i=0)]
+    for i in range(rounds):
+        steps += [moved.format(i=i, j=i + 1), assigned.format(i=i + 1)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS k,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT k, vec_id, CAST(part AS BIGINT) AS part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x
+  FROM v, range({parts}) t(part)),
+b0 AS MATERIALIZED (SELECT part, k - 1 AS entry, x FROM p WHERE k <= {entries}),
+{', '.join(steps)}
+SELECT v.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN (
+  SELECT k, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY k) c ON v.k = c.k
+"""
+
+
+# Reads pages whose main text is one article of headings and paragraphs.
+OP13 = r"""
+WITH a AS (
+  SELECT page_id, url, row_number() OVER () AS k,
+         string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>') AS parts
+  FROM pages),
+b AS (SELECT k, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM a),
+c AS (
+  SELECT k, pos, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(part, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+    '&quot;?', '"', 'g'), '&#x27;', chr(39), 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS block FROM b),
+t AS (SELECT k, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS text FROM c WHERE block <> '' GROUP BY k)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars
+FROM a LEFT JOIN t ON a.k = t.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
+    from riskloom.llm import vector_codes
     from riskloom.llm.queries import URL_RULES
     from riskloom.llm.url_filter import BLOCKED_WORDS
 
@@ -67,4 +142,8 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_digests": op5_sql(URL_RULES, BLOCKED_WORDS),
         "op6_minhash_dedup": OP6,
         "op10_exact_topk": OP10,
+        "op11_packed_negatives": OP11,
+        "op12_dual_tree_codes": op12_sql(
+            vector_codes.ROUNDS, vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.SCALE),
+        "op13_page_wrappers": OP13,
     }

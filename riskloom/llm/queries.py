@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import attention, language, minhash, packing, pieces, quality, rules, secret_scan, topk, url_filter
+from riskloom.llm import (
+    attention, language, minhash, negatives, packing, page_wrappers, pieces, quality, rules, secret_scan, topk,
+    url_filter, vector_codes,
+)
 from riskloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,9 +73,24 @@ def op10_exact_topk(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_packed_negatives(spark, sf):
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return negatives.hard_negatives(
+        table(spark, sf, "embeddings"), vec_id % 50 == 0, F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op12_dual_tree_codes(spark, sf):
+    return vector_codes.compress(table(spark, sf, "embeddings"))
+
+
+def op13_page_wrappers(spark, sf):
+    return page_wrappers.extract(table(spark, sf, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_mixture_packing, op2_pairwise_quality, op3_secret_novelty, op4_weak_rules, op5_url_digests,
         op6_minhash_dedup, op7_sentencepiece, op8_language_kernel, op9_attention_scores, op10_exact_topk,
+        op11_packed_negatives, op12_dual_tree_codes, op13_page_wrappers,
     )
 }
