@@ -336,8 +336,9 @@ def compress(vectors: DataFrame, entries: int = ENTRIES, rounds: int = ROUNDS, s
         others = rows.where(F.size("v") != size).select(
             "vec_id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("bigint").alias("error"))
         codes = stored(_codes(blocks, books, label_type).unionByName(others), "codes")
+    whole = F.sum(F.col("error").cast("decimal(38,0)"))
     by_label = codes.groupBy("label").agg(
-        F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(LARGEST).cast("decimal(38,0)")).cast("bigint").alias("label_error"))
+        F.when(whole > LARGEST, F.lit(LARGEST)).otherwise(whole.cast("bigint")).alias("label_error"))
     return many_to_one(codes, by_label, ["label"], null_safe=True).select(
         "vec_id", "code", "error", "label_error",
         F.lit(hashlib.sha256(digest.encode()).hexdigest()).alias("codebooks_sha256"))
