@@ -2,9 +2,15 @@
 
 Each rule looks at one figure of a text and votes good (1), bad (-1) or abstains
 (0). How often a rule votes good on good texts, and bad on bad ones, is estimated
-by expectation-maximisation over all documents, starting from the belief that
-rules are mostly right. A document stays if the posterior probability that it is
-good reaches ``BAR`` and the two hard limits hold.
+by expectation-maximisation over all documents. Every kind of fault is seen by
+several rules, none of which has to be right: the estimate starts from rules that are
+mostly right, with little weight, and the data say which of them are. A document stays
+if the posterior probability that it is good reaches ``BAR`` and the two hard limits
+hold, so a bad vote of a rule that is often wrong is outvoted, and a few votes that
+hardly ever come on good documents are enough to reject one.
+
+A vote never counts for the opposite of what it says: a rule that the estimate finds
+to be no better than chance counts nothing.
 
 Documents with the same votes count as one, so the estimate works on a table of
 vote patterns (at most three to the number of rules) and each step brings one row
@@ -28,31 +34,33 @@ from riskloom.llm.common import stored, unused, whole_text
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+# What a line of prose ends with.
+ENDS = ".!?:;\"'”’»)…。！？"
 MIN_WORDS = 50
 BAR = 0.5
-STEPS = 12
+STEPS = 20
 
 # Figure, the side on which a vote is bad, and the limits of a bad and a good
 # vote; between the limits a rule abstains.
 RULES = {
     "n_words": ("below", 50, 80),
-    "word_length": ("above", 16, 10),
-    "short_words": ("below", 2, 3),
+    "long_words": ("above", 6.8, 6.2),
+    "short_words": ("below", 4.2, 4.45),
     "symbols": ("above", 0.25, 0.05),
+    "symbol_words": ("above", 0.2, 0.05),
+    "bare_symbols": ("above", 0.15, 0.03),
+    "line_ends": ("below", 0.9, 0.97),
     "shouting": ("above", 0.4, 0.05),
-    "capitals": ("above", 0.5, 0.15),
-    "repeated_lines": ("above", 0.5, 0.1),
+    "capitals": ("above", 0.3, 0.1),
+    "repeated_lines": ("above", 0.3, 0.1),
     "repeated_words": ("above", 0.4, 0.2),
-    "distinct_words": ("below", 0.15, 0.3),
+    "distinct_words": ("below", 0.4, 0.55),
 }
 # What is believed before the data speak: the share of good documents, how often a
 # rule that votes is right on good and on bad ones, and how many documents (as a
-# share of all) that belief weighs. Each rule knows one fault among many, so it
-# votes good on most bad documents; but on a good one it hardly ever votes bad.
-PRIOR_GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD, PRIOR_WEIGHT = 0.85, 0.9995, 0.25, 0.02
-# The limits keep a vote's meaning: rules are written so that good documents pass,
-# and a bad vote never speaks for a document.
-LEAST_ON_GOOD, LEAST_ON_BAD = 0.997, 0.1
+# share of all) that belief weighs. A rule knows one fault among many, so on bad
+# documents it is as often right as not.
+PRIOR_GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD, PRIOR_WEIGHT = 0.85, 0.9, 0.5, 0.005
 
 
 def _count_of(text: Column, characters: str) -> Column:
@@ -139,16 +147,25 @@ def with_figures(docs: DataFrame, name: str) -> DataFrame:
         F.lit(0), lambda a, x: a + x,
     )
     dense, lines = F.col(f"{name}_dense"), F.col(f"{name}_lines")
+    symbols = _count_of(dense, SYMBOLS)
+
+    def symbol_words(is_one):
+        # Most texts have no symbol, and their words are not looked at.
+        return F.when(symbols > 0, F.size(F.filter(w, is_one))).otherwise(0).cast("bigint")
+
     return df.select(
         *own,
         F.struct(
             F.size(w).cast("bigint").alias("n_words"),
             F.length(dense).cast("bigint").alias("word_chars"),
-            _count_of(dense, SYMBOLS).cast("bigint").alias("n_symbols"),
+            symbols.cast("bigint").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
             covered.cast("bigint").alias("n_repeat_words"),
             F.size(lines).cast("bigint").alias("n_lines"),
             F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"),
+            symbol_words(lambda x: F.translate(x, SYMBOLS, "") != x).alias("n_symbol_words"),
+            symbol_words(lambda x: F.translate(x, SYMBOLS, "") == "").alias("n_bare_symbols"),
+            F.size(F.filter(lines, lambda x: F.right(F.rtrim(x, F.lit(SPACE)), F.lit(1)).isin(*ENDS))).cast("bigint").alias("n_ended"),
             _count_of(dense, "!").cast("bigint").alias("n_shouts"),
             _count_of(dense, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("bigint").alias("n_capitals"),
         ).alias(name),
@@ -159,9 +176,12 @@ def rule_figures(f: Column) -> dict[str, Column]:
     words, chars = f["n_words"], f["word_chars"]
     return {
         "n_words": words,
-        "word_length": _ratio(chars, words),
+        "long_words": _ratio(chars, words),
         "short_words": _ratio(chars, words),
         "symbols": _ratio(f["n_symbols"], words),
+        "symbol_words": _ratio(f["n_symbol_words"], words),
+        "bare_symbols": _ratio(f["n_bare_symbols"], words),
+        "line_ends": _ratio(f["n_ended"], f["n_lines"]),
         "shouting": _ratio(f["n_shouts"], words),
         "capitals": _ratio(f["n_capitals"], chars),
         "repeated_lines": _ratio(f["n_dup_lines"], f["n_lines"]),
@@ -188,18 +208,28 @@ class Accuracies:
     on_good: dict[str, float]
     on_bad: dict[str, float]
 
+    def weights(self, rule: str) -> tuple[float, float]:
+        """What a good and a bad vote of a rule add to the log-odds of good."""
+        a, b = self.on_good[rule], self.on_bad[rule]
+        return max(math.log(a / (1 - b)), 0.0), min(math.log((1 - a) / b), 0.0)
+
     def posterior(self, vote: dict[str, Column]) -> Column:
         terms = [F.lit(math.log(self.good / (1 - self.good)))]
         for rule, v in vote.items():
-            a, b = self.on_good[rule], self.on_bad[rule]
-            terms.append(F.when(v > 0, math.log(a / (1 - b))).when(v < 0, math.log((1 - a) / b)).otherwise(0.0))
+            for_good, for_bad = self.weights(rule)
+            terms.append(F.when(v > 0, for_good).when(v < 0, for_bad).otherwise(0.0))
         return 1 / (1 + F.exp(-reduce(lambda x, y: x + y, terms)))
 
 
+def prior(names: list[str]) -> Accuracies:
+    """What is believed before the data speak."""
+    return Accuracies(PRIOR_GOOD, dict.fromkeys(names, RIGHT_ON_GOOD), dict.fromkeys(names, RIGHT_ON_BAD))
+
+
 def estimate(patterns: DataFrame, steps: int = STEPS) -> Accuracies:
     """EM over a table of vote patterns (a column per rule and ``n``)."""
     names = [c for c in patterns.columns if c != "n"]
-    now = Accuracies(PRIOR_GOOD, dict.fromkeys(names, RIGHT_ON_GOOD), dict.fromkeys(names, RIGHT_ON_BAD))
+    now = prior(names)
     for _ in range(steps):
         p = now.posterior({r: F.col(r) for r in names})
         weighed = patterns.select(*names, "n", (F.col("n") * p).alias("g"))
@@ -214,13 +244,11 @@ def estimate(patterns: DataFrame, steps: int = STEPS) -> Accuracies:
             return now
         w = PRIOR_WEIGHT * s["n"]
 
-        def rate(right, voted, prior, least, w=w):
-            return min(max((right + w * prior) / (voted + w), least), 0.9999)
-
+        # The belief counts as so many votes, so no rate is 0 or 1.
         new = Accuracies(
-            min(max((s["g"] + w * PRIOR_GOOD) / (s["n"] + w), 0.05), 0.99),
-            {r: rate(s[f"gr_{r}"], s[f"gv_{r}"], RIGHT_ON_GOOD, LEAST_ON_GOOD) for r in names},
-            {r: rate(s[f"br_{r}"], s[f"bv_{r}"], RIGHT_ON_BAD, LEAST_ON_BAD) for r in names},
+            (s["g"] + w * PRIOR_GOOD) / (s["n"] + w),
+            {r: (s[f"gr_{r}"] + w * RIGHT_ON_GOOD) / (s[f"gv_{r}"] + w) for r in names},
+            {r: (s[f"br_{r}"] + w * RIGHT_ON_BAD) / (s[f"bv_{r}"] + w) for r in names},
         )
         moved = max(abs(new.on_good[r] - now.on_good[r]) + abs(new.on_bad[r] - now.on_bad[r]) for r in names)
         now = new

@@ -85,6 +85,60 @@ def test_estimates_follow_the_data(spark):
     assert rules.estimate(patterns.limit(0)).good == rules.PRIOR_GOOD
 
 
+def posteriors(spark, accuracies, names, rows):
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    return [r["p"] for r in df.select(accuracies.posterior({n: F.col(n) for n in names}).alias("p")).collect()]
+
+
+def test_a_rule_that_is_often_wrong_is_outvoted(spark):
+    # d votes bad on a third of the good documents; on bad ones three rules agree.
+    names = ["a", "b", "c", "d"]
+    patterns = spark.createDataFrame(
+        [(1, 1, 1, 1, 6000), (1, 1, 1, -1, 3000), (-1, -1, 1, -1, 400), (-1, -1, -1, 1, 300), (1, -1, -1, -1, 300)],
+        "a int, b int, c int, d int, n long")
+    got = rules.estimate(patterns)
+    assert got.on_good["d"] < 0.75 < 0.95 < min(got.on_good[n] for n in "abc")
+    rows = [(1, 1, 1, -1), (-1, -1, 1, 1), (1, 1, 0, -1), (-1, -1, 1, -1)]
+    learned = [p >= rules.BAR for p in posteriors(spark, got, names, rows)]
+    believed = [p >= rules.BAR for p in posteriors(spark, rules.prior(names), names, rows)]
+    # One bad vote of d alone rejects nothing; two of good rules reject, which the belief alone would not.
+    assert learned == [True, False, True, False] and believed != learned
+
+
+def test_a_rule_no_better_than_chance_counts_nothing():
+    wrong = rules.Accuracies(0.5, {"a": 0.2}, {"a": 0.3})
+    assert wrong.weights("a") == (0.0, 0.0)
+
+
+def test_the_estimate_decides_on_the_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = rules.with_figures(docs.select("doc_id", "text"), "f").select("doc_id", "f").cache()
+    vote = rules.votes(F.col("f"))
+    passed = (F.col("f.n_words") >= 50) & (100 * F.col("f.n_repeat_words") <= 50 * F.col("f.n_words"))
+    voted = rows.select("doc_id", passed.alias("passed"), *[v.alias(r) for r, v in vote.items()]).cache()
+    patterns = voted.groupBy(*vote).agg(F.count("*").alias("n")).cache()
+
+    def kept(accuracies, names):
+        good = accuracies.posterior({r: F.col(r) for r in names}) >= rules.BAR
+        return {r["doc_id"] for r in voted.where("passed").where(good).select("doc_id").collect()}
+
+    learned = kept(rules.estimate(patterns), list(vote))
+    everyone = {r["doc_id"]: r["bad"] for r in voted.where("passed").select(
+        "doc_id", sum((F.col(r) < 0).cast("int") for r in vote).alias("bad")).collect()}
+    # Documents with one bad vote stay, and several rules voted bad on what goes.
+    assert {d for d, bad in everyone.items() if bad == 1} <= learned and sum(b == 1 for b in everyone.values()) > 20
+    assert learned != kept(rules.prior(list(vote)), list(vote)) and len(learned) < len(everyone)
+    changed = []
+    for rule in vote:
+        others = [r for r in vote if r != rule]
+        without = patterns.groupBy(*others).agg(F.sum("n").alias("n"))
+        if kept(rules.estimate(without), others) != learned:
+            changed.append(rule)
+    assert len(changed) > 1, changed
+    labels = [r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r["doc_id"] in everyone]
+    assert len(labels) > 3000 and all((r["doc_id"] in learned) == bool(r["quality"]) for r in labels)
+
+
 def test_no_python_in_the_plan(spark, small_dir):
     plan = QUERIES["op4_weak_rules"](spark, small_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

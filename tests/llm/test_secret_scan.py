@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import base64
 import hashlib
+import random
 import re
+import string
 
 from odd import no_documents, odd_documents
 
@@ -132,3 +135,85 @@ def test_candidates_of_long_texts_take_linear_time():
     text = "auth=" * 100_000
     assert len(ss.candidates(text)) <= 1
     assert len(ss.candidates(f"auth={KEY}." * 20_000)) == 20_000
+
+
+WORDS = (
+    "access account address analysis archive article backup balance batch billing branch browser calendar catalog center "
+    "channel client cluster column commit common company component configuration connection contact content control country "
+    "customer dashboard database default delivery deployment design detail developer device directory document download "
+    "dynamic editor element engine environment error event example export feature filter folder format gateway general "
+    "getting guide handler health history image import index information input installation integration interface internal "
+    "invoice issue label language layout legacy library license limit listing location logging manager market member message "
+    "method migration mobile model module monitor network notes number object office order origin output package page partner "
+    "payment performance period platform plugin policy portal position process product profile program project provider public "
+    "quality quarterly query queue record reference region register release remote report request resource response result "
+    "review route sample schedule schema search section server service session setting shared signal source stage standard "
+    "started state status storage stream structure summary support system table target team template testing theme timeline "
+    "tracking training transfer trigger update upload user value version vendor view volume website widget window worker").split()
+
+
+def joined(rng, sign, least, most, change=str):
+    return sign.join(change(rng.choice(WORDS)) for _ in range(rng.randint(least, most)))
+
+
+NAMES = {
+    "slugs": lambda r: joined(r, "-", 3, 6),
+    "paths": lambda r: f"{joined(r, '/', 2, 4)}/{joined(r, '-', 1, 3)}{r.choice(['', '.html', '.py', '.json', '.md'])}",
+    "dated paths": lambda r: f"{r.choice(WORDS)}/{r.randint(2010, 2029)}/{joined(r, '-', 3, 5)}.html",
+    "urls": lambda r: f"www.{joined(r, '', 1, 2)}.com/{joined(r, '/', 2, 4)}",
+    "identifiers": lambda r: joined(r, "_", 3, 6),
+    "constants": lambda r: joined(r, "_", 3, 6).upper(),
+    "camel case": lambda r: joined(r, "", 3, 6, str.capitalize),
+    "prose": lambda r: joined(r, ".", 3, 6),
+}
+KEYS = {
+    "hex": "0123456789abcdef", "capital hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567",
+    "lower base32": string.ascii_lowercase + "234567", "base64": string.ascii_letters + string.digits + "+/",
+    "base62": string.ascii_letters + string.digits, "digits": string.digits,
+}
+SENTENCES = [
+    "the bearer value {} was sent to the server",
+    "see auth {} for what has changed since then",
+    "In our documents the token is described under {} and in the notes of the last release.",
+    "def load(self, name):\n    # the private_key {} is read once\n    return self.store.get(name)\n",
+]
+
+
+def share_reported(texts):
+    reported = 0
+    for text, a, b in texts:
+        spans = ss.scan(text, b"default_token_lifetime private_key_location user_session_store request handler")[1]
+        reported += any(s < b and e > a for s, e, _ in spans)
+    return reported / len(texts)
+
+
+def planted(rng, make, n=200):
+    out = []
+    while len(out) < n:
+        word, (before, after) = make(rng), rng.choice(SENTENCES).split("{}")
+        if 16 <= len(word) <= 64:
+            out.append((before + word + after, len(before), len(before) + len(word)))
+    return out
+
+
+def test_names_paths_urls_and_prose_are_not_reported():
+    rng = random.Random(7)
+    shares = {kind: share_reported(planted(rng, make)) for kind, make in NAMES.items()}
+    assert max(shares.values()) <= 0.05, shares
+
+
+def test_random_keys_of_all_alphabets_are_reported():
+    rng = random.Random(8)
+    shares = {
+        (kind, n): share_reported(planted(rng, lambda r: "".join(r.choice(alphabet) for _ in range(n))))
+        for kind, alphabet in KEYS.items() for n in (16, 20, 24, 32, 48, 64)}
+    assert min(shares.values()) >= 0.95, {k: v for k, v in shares.items() if v < 0.95}
+    encoded = planted(rng, lambda r: base64.b64encode(r.randbytes(r.randint(15, 40))).decode())
+    assert share_reported(encoded) >= 0.95
+
+
+def test_the_pipeline_masks_no_names(spark):
+    rng = random.Random(9)
+    texts = [t for make in NAMES.values() for t, _, _ in planted(rng, make, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert ss.mask_secrets(docs).where(f"text LIKE '%{ss.MASK}%'").count() <= 0.05 * len(texts)
