@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators import shapley
+from riskloom.operators.model import importances
 from riskloom.schemas import (
     FEATURE_MAXIMA, FEATURE_ORDER, FLAG_FEATURES, FLAG_WEIGHT, HIGH_AMOUNT, MEDIUM_RISK,
     SUSPICIOUS_AMOUNT,
@@ -21,7 +24,7 @@ LARGE_TOTAL, TOTAL_REASON = 5000, "Large total volume in window ($%.2f in 5 min)
 MODEL_REASON = "Model flagged transaction — pattern matches historical fraud"
 NO_REASON = "No strong fraud indicators in this transaction"
 UP, DOWN = "increases risk", "decreases risk"
-METHOD = "importance_fallback"
+METHOD, EXACT_METHOD = "importance_fallback", "shap"
 # --- end of fixed values ------------------------------------------------------
 
 
@@ -52,6 +55,11 @@ def contributions(importances: list[float] | None) -> dict[str, Column]:
     return columns
 
 
+def exact_contributions(values: str = "shapley") -> dict[str, Column]:
+    """One expression per feature out of an array of Shapley values in model input order."""
+    return {name: F.get(F.col(values), F.lit(i)) for i, name in enumerate(FEATURE_ORDER)}
+
+
 def top_contributors(parts: dict[str, Column], n: int = 3) -> Column:
     """The ``n`` largest contributions by absolute value, ties in feature order."""
     entries = F.array(*[
@@ -98,10 +106,16 @@ def reasons(
     return F.when(F.size(found) == 0, F.array(default)).otherwise(found)
 
 
-def explain(scored: DataFrame, importances: list[float] | None = None) -> DataFrame:
+def explain(
+    scored: DataFrame, importances: list[float] | None = None, values: str | None = None
+) -> DataFrame:
     """Add ``explanation``: contributions (as ``shap_values``), top contributors,
-    reasons and method."""
-    parts = contributions(importances)
+    reasons and method.
+
+    ``values`` names an array of exact Shapley values (``shapley.with_shapley``);
+    without it the contributions are estimated from importances.
+    """
+    parts = exact_contributions(values) if values else contributions(importances)
     by_name = F.map_from_arrays(
         F.array(*[F.lit(name) for name in parts]),
         F.array(*[F.round(part, 4) for part in parts.values()]),
@@ -110,5 +124,13 @@ def explain(scored: DataFrame, importances: list[float] | None = None) -> DataFr
         by_name.alias("shap_values"),
         top_contributors(parts).alias("top_contributors"),
         reasons().alias("reasons"),
-        F.lit(METHOD).alias("method"),
+        F.lit(EXACT_METHOD if values else METHOD).alias("method"),
     ))
+
+
+def explain_with_model(scored: DataFrame, model: PipelineModel) -> DataFrame:
+    """``explain`` by exact Shapley values where the model's trees can be read, else by its importances."""
+    known = shapley.of_model(model, scored.sparkSession)
+    if known is None:
+        return explain(scored, importances(model))
+    return explain(shapley.with_shapley(scored, known, "_shapley"), values="_shapley").drop("_shapley", "base_value")

@@ -176,21 +176,30 @@ def trailing_features(
     building the other windows: the newest intervals of a user are added up.
     ``last_event`` names a further column for the time of the user's last event.
     """
-    phase = F.pmod(F.col("pane"), F.lit(spec.panes))
-    kept = [last_event] if last_event else []
+    last = [last_event] if last_event else []
+    return trailing_of_panes(
+        _panes(transactions, spec, cents, *[F.max("event_time").alias(name) for name in last]), spec, last)
 
-    def last(time):
-        return [F.max(time).alias(name) for name in kept]
 
+def merged_panes(pieces: DataFrame, last: list[str]) -> DataFrame:
+    """One row per user and interval out of several pieces; of ``last`` columns the maximum."""
+    return pieces.groupBy("user_id", "pane").agg(*_merged(), *[F.max(name).alias(name) for name in last])
+
+
+def trailing_of_panes(panes: DataFrame, spec: SlidingSpec, last: list[str]) -> DataFrame:
+    """The trailing window of each user from one row per user and interval.
+
+    Of the columns ``last`` the window has the maximum.
+    """
     recent = (
-        _newest_by_phase(_panes(transactions, spec, cents, *last("event_time")), "pane", phase)
+        _newest_by_phase(panes, "pane", F.pmod(F.col("pane"), F.lit(spec.panes)))
         .withColumn("newest", F.max("pane").over(Window.partitionBy("user_id")))
         .where(F.col("pane") > F.col("newest") - spec.panes)
     )
     return (
         recent.groupBy("user_id", "newest")
-        .agg(*_merged(), *last(last_event))
-        .select(*_output(_pane_end(F.col("newest"), spec), spec), *kept)
+        .agg(*_merged(), *[F.max(name).alias(name) for name in last])
+        .select(*_output(_pane_end(F.col("newest"), spec), spec), *last)
     )
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
+from riskloom.plans.fixed import SHAPLEY_UNIT, TREES
+
 CTES = {
     "txns": r"""
         SELECT event_id,
@@ -163,7 +168,10 @@ ORDER = [
 
 
 def sql(select: str) -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({CTES[name]})" for name in ORDER) + "\n" + select
+    """The select with all relations before it; it may begin with relations of its own."""
+    own = select.strip()
+    more, select = (",\n" + own.removeprefix("WITH "), "") if own.startswith("WITH ") else ("", "\n" + select)
+    return "WITH " + ",\n".join(f"{name} AS ({CTES[name]})" for name in ORDER) + more + select
 
 
 def t(column: str) -> str:
@@ -297,6 +305,41 @@ _TEST_ROWS = """(SELECT transaction_id, fraud
                  count(*) OVER (PARTITION BY fraud) AS n FROM entities)
     WHERE rn <= floor(0.2 * n + 0.5))"""
 
+_FEATURES = [*NUMBERS.split(", "), "is_foreign", "is_high_amount", "is_suspicious"]
+
+
+def _tree_given(node, known: tuple) -> str:
+    """What a tree gives on average when only the features ``known`` are known."""
+    if len(node) == 2:
+        return f"{node[1]!r}::DOUBLE"
+    feature, threshold, cover, *children = node
+    left, right = (_tree_given(c, known) for c in children)
+    if feature in known:
+        return f"CASE WHEN {_FEATURES[feature]} <= {threshold!r}::DOUBLE THEN {left} ELSE {right} END"
+    shares = [(c[0] if len(c) == 2 else c[2]) / cover for c in children]
+    return f"({shares[0]!r}::DOUBLE * {left} + {shares[1]!r}::DOUBLE * {right})"
+
+
+def _tree_features(node) -> set[int]:
+    return set() if len(node) == 2 else {node[0]}.union(*(_tree_features(c) for c in node[3:]))
+
+
+def _shapley(feature: int) -> str:
+    """A feature's Shapley value by its definition, over all subsets of the other features of each tree."""
+    terms = []
+    for weight, root in TREES:
+        used = _tree_features(root)
+        if feature not in used:
+            continue
+        others, m = sorted(used - {feature}), len(used)
+        for k in range(m):
+            share = weight * factorial(k) * factorial(m - k - 1) / factorial(m)
+            terms += [
+                f"{share!r}::DOUBLE * ({_tree_given(root, (*s, feature))} - {_tree_given(root, s)})"
+                for s in combinations(others, k)]
+    return " + ".join(terms)
+
+
 _VALID_WINDOWS = f"SELECT {WINDOW} FROM windows"
 
 SELECTS = {
@@ -325,6 +368,7 @@ SELECTS = {
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY windows.window_start DESC) = 1)""",
     "flags_stream": f"SELECT transaction_id, user_id, amount, {FLAGS} FROM txns WHERE amount > 0",
     "trailing_update_multibatch": f"SELECT {WINDOW} FROM trailing_rows",
+    "keyed_state_multibatch": f"SELECT {WINDOW} FROM trailing_rows",
     "flags_multibatch": f"""SELECT transaction_id, user_id, amount, {FLAGS}
         FROM (SELECT * REPLACE (CASE WHEN event_id % 20 = 0 THEN 1000.0::DOUBLE ELSE amount END AS amount) FROM txns)
         WHERE amount > 0""",
@@ -409,6 +453,10 @@ SELECTS = {
         FROM (SELECT * FROM windows, (SELECT max(event_time) - INTERVAL 10 MINUTE AS stop FROM txns)
               WHERE window_end <= stop AND window_end > stop - INTERVAL 10 MINUTE
               QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY windows.window_start DESC) = 1)""",
+    "materialize_incremental": f"""SELECT {WINDOW}, {t('window_end')[:-len('window_end')]}updated_at,
+        strftime(window_end + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S.%f') AS expires_at
+        FROM (SELECT * FROM closed
+              QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY closed.window_start DESC) = 1)""",
     "score_features": f"""SELECT event_id, user_id, features_found, {NUMBERS}, is_foreign, is_high_amount,
         is_suspicious, probability, risk_level FROM scored_requests""",
     "risk_bands": "SELECT transaction_id, probability, risk_level FROM scored",
@@ -442,6 +490,30 @@ SELECTS = {
     "prediction_rate_5m": f"""SELECT {t('interval_start')}, risk_level, n, n / 300.0::DOUBLE AS per_second
         FROM (SELECT time_bucket(INTERVAL 5 MINUTE, event_timestamp) AS interval_start, risk_level,
                      count(*) AS n FROM scored GROUP BY 1, 2)""",
+    "counter_rate_5m": f"""
+        WITH minutes AS (
+          SELECT risk_level, (epoch_us(event_timestamp) // 60000000) * 60 + 60 AS time, count(*) AS n FROM scored GROUP BY 1, 2),
+        samples AS (
+          SELECT risk_level, time, CAST(sum(n) OVER (PARTITION BY risk_level, (time - 1) // 2100 ORDER BY time) AS DOUBLE) AS v FROM minutes),
+        seen AS (
+          SELECT risk_level, moment, time, v, lag(v) OVER w AS before FROM samples, (SELECT DISTINCT unnest(range(time, time + 300, 60)) AS moment FROM samples)
+          WHERE time > moment - 300 AND time <= moment WINDOW w AS (PARTITION BY risk_level, moment ORDER BY time)),
+        sums AS (
+          SELECT risk_level, moment, count(*) AS n, sum(CASE WHEN before IS NULL THEN 0.0::DOUBLE WHEN v < before THEN v ELSE v - before END) AS increase,
+                 arg_min(v, time) AS shown, CAST(max(time) - min(time) AS DOUBLE) AS covered,
+                 CAST(min(time) - (moment - 300) AS DOUBLE) AS before, CAST(moment - max(time) AS DOUBLE) AS after
+          FROM seen GROUP BY 1, 2 HAVING count(*) > 1),
+        limited AS (
+          SELECT *, covered / (n - 1) AS mean,
+                 CASE WHEN increase > 0 AND shown >= 0 AND covered * (shown / increase) < before
+                      THEN covered * (shown / increase) ELSE before END AS ahead FROM sums)
+        SELECT strftime(make_timestamp(moment * 1000000), '%Y-%m-%d %H:%M:%S.%f') AS evaluated_at, risk_level, n AS n_samples, increase,
+          increase * ((covered + CASE WHEN ahead < mean * 1.1::DOUBLE THEN ahead ELSE mean / 2 END
+            + CASE WHEN after < mean * 1.1::DOUBLE THEN after ELSE mean / 2 END) / covered) / 300 AS per_second
+        FROM limited""",
+    "sketched_quantiles": f"""SELECT {t('interval_start')}, name, n, TRUE AS all_counted, TRUE AS within
+        FROM (SELECT time_bucket(INTERVAL 5 MINUTE, event_time) AS interval_start, count(*) AS n FROM txns GROUP BY 1),
+             (SELECT unnest(['p50', 'p95', 'p99']) AS name)""",
     "last_probability": """SELECT probability FROM scored
         ORDER BY event_timestamp DESC, transaction_id DESC LIMIT 1""",
     "score_with_model": f"""SELECT event_id, user_id, features_found, {NUMBERS}, is_foreign, is_high_amount,
@@ -449,6 +521,13 @@ SELECTS = {
     "gbt_test_rows": f"SELECT transaction_id, fraud, TRUE AS band_agrees, TRUE AS class_agrees FROM {_TEST_ROWS}",
     "gbt_metrics_agree": """SELECT unnest(['accuracy', 'precision', 'recall', 'f1_score', 'importances']) AS metric,
         TRUE AS agrees""",
+    "model_scores_stream": f"""SELECT event_id, user_id, features_found, {NUMBERS}, is_foreign, is_high_amount,
+        is_suspicious, TRUE AS band_agrees FROM request_vectors_any""",
+    "shapley_adds_up": f"""SELECT transaction_id, fraud, 7 AS n_values, TRUE AS adds_up, TRUE AS gives_probability
+        FROM {_TEST_ROWS}""",
+    "shapley_fixed_trees": "SELECT transaction_id, " + ", ".join(
+        f"CAST(round(({_shapley(i)}) * {SHAPLEY_UNIT}) AS BIGINT) AS {name}" for i, name in enumerate(_FEATURES)
+    ) + " FROM vectors",
     "velocity_60s": _velocity(60, 2),
     "velocity_of_dirty": f"""SELECT event_id, user_id, n_trailing, n_trailing > 2 AS over_limit
         FROM (SELECT event_id, user_id, CASE WHEN event_time IS NULL THEN 0 ELSE count(*) OVER (

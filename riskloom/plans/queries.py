@@ -9,7 +9,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,7 @@ from riskloom.operators import explain as ex
 from riskloom.operators import model as ml
 from riskloom.operators import monitoring as mon
 from riskloom.operators import online as on
+from riskloom.operators import shapley
 from riskloom.operators import training as tr
 from riskloom.operators import validation as val
 from riskloom.operators.asof import pit_join
@@ -29,10 +31,13 @@ from riskloom.operators.windows import (
     closed_windows, latest_window, select_trailing_window, trailing_features, windowed_features,
 )
 from riskloom.schemas import FEATURE_ORDER, SLIDING, USER_VIEW, WINDOW_FEATURES, FeatureView
+from riskloom.plans.fixed import SHAPLEY_UNIT, TREES
 from riskloom.session import configure, work_dir
 from riskloom.sources import offline, tables
 from riskloom.sources.messages import parse_transactions
+from riskloom.streaming.keyed import keyed_feature_table
 from riskloom.streaming.layers import Layers, wait_for_all
+from riskloom.streaming.materialize import materialized_table
 from riskloom.streaming.online import flag_table, user_feature_table
 from riskloom.streaming.quarantine import quarantine_counts as count_quarantined
 from riskloom.streaming.quarantine import read_quarantine, write_quarantine
@@ -229,6 +234,7 @@ def flags_stream(spark, sf):
 
 # Micro-batches, and how late every tenth event is in them.
 BATCHES, LATE_SECONDS = 16, 240
+KEYED_BATCHES = 6
 
 
 def trailing_update_multibatch(spark, sf, compact_every=4):
@@ -245,15 +251,27 @@ def flags_multibatch(spark, sf):
     """Flags of transactions some of which come again, with another amount, in the last batch."""
     root = work_dir(configure(spark), "flags-multibatch")
     layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True, compact_every=2)
-    tables.batched_events(spark, sf, f"{root}/events", 4, LATE_SECONDS)
+    files = tables.write_batches(spark, sf, f"{root}/events", 4, LATE_SECONDS)
     again = tables.read_events(spark, sf).where("event_id % 20 = 0").withColumn("value", F.lit(100.0))
-    again.coalesce(1).write.mode("append").parquet(f"{root}/events")
-    stream = spark.readStream.schema(tables.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    again.repartition(files).write.mode("append").parquet(f"{root}/events")
+    stream = tables.batch_stream(spark, f"{root}/events", files)
     wait_for_all({"q": layers.start_flags(tables.with_time_text(tables.transactions(stream)))})
     table = flag_table(f"{layers.online}/transaction_flags")
     return table.merged(spark).drop("updated_at", "expires_at")
 
 
+def keyed_state_multibatch(spark, sf, compact_every=2):
+    """The online table out of keyed state: late and repeated events, and a stop half-way."""
+    root = work_dir(configure(spark), "keyed")
+    layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True, compact_every=compact_every)
+    for part in (range(KEYED_BATCHES // 2), range(KEYED_BATCHES // 2, KEYED_BATCHES)):
+        files = tables.write_batches(spark, sf, f"{root}/events", KEYED_BATCHES, LATE_SECONDS, again=3, which=part)
+        stream = tables.batch_stream(spark, f"{root}/events", files)
+        wait_for_all({"q": layers.start_keyed_features(tables.with_time_text(tables.transactions(stream)))})
+    table = keyed_feature_table(f"{layers.online}/keyed_features")
+    return table.merged(spark).drop("updated_at", "expires_at")
+
+
 def bronze_exact(spark, sf):
     layers = _layers(spark, "bronze_exact")
     wait_for_all({"q": layers.start_bronze(txn_stream(spark, sf))})
@@ -314,6 +332,18 @@ def scores_stream(spark, sf):
     )
 
 
+def model_scores_stream(spark, sf):
+    """Requests scored on a stream by a trained model against the online table another stream filled."""
+    model, _ = _fitted(spark, sf)
+    layers = _layers(spark, "model-scores")
+    wait_for_all({"q": layers.start_user_features(txn_stream(spark, sf))})
+    table = user_feature_table(f"{layers.online}/user_features")
+    requests = tables.requests(txn_stream(spark, sf))
+    wait_for_all({"q": layers.start_scores(requests, lambda users: table.merged(spark, users), ml.scorer(model))})
+    return spark.read.parquet(layers.scores).select(
+        "event_id", "user_id", "features_found", *FEATURE_ORDER, _agrees())
+
+
 # Validation -----------------------------------------------------------------------------
 
 
@@ -514,6 +544,32 @@ def materialize_latest(spark, sf):
     return on.materialize(windows(spark, sf), end - F.expr("interval 10 minutes"), end)
 
 
+def _closed_stream(spark, sf, name):
+    """Closed windows as a stream stored them."""
+    layers = _layers(spark, name)
+    wait_for_all({"silver": layers.start_silver(txn_stream(spark, sf))})
+    return offline.read_silver(spark, layers.silver).drop("event_date")
+
+
+def materialize_incremental(spark, sf):
+    """Several runs over stored windows, one of which dies before its commit, then a merge."""
+    closed = _closed_stream(spark, sf, "materialize")
+    table = materialized_table(f"{work_dir(spark, 'materialized')}/rows")
+    last = newest_time(spark, sf)
+
+    def upto(minutes):
+        return F.date_trunc("minute", last) - F.expr(f"interval {minutes} minutes")
+
+    table.advance(closed, upto(60))
+    # Rows without a mark, which go further than the next run.
+    table.write_rows(closed, 1, upto(60), upto(15))
+    table.advance(closed, upto(30))
+    table.advance(closed, upto(30))
+    table.compact(spark, 1)
+    table.advance(closed)
+    return table.merged(spark)
+
+
 # Scoring, metrics, explanations --------------------------------------------------------------
 
 
@@ -597,6 +653,40 @@ def prediction_rate_5m(spark, sf):
     return mon.rate(scored_history(spark, sf), "risk_level", time="event_timestamp")
 
 
+# Seconds between samples, and after which the sampled counters start anew.
+SAMPLED, RESTARTED = 60, 2100
+
+
+def _counters(spark, sf):
+    """What a counter of each risk level shows every minute; it starts at zero again now and then."""
+    rows = scored_history(spark, sf).where(F.col("event_timestamp").isNotNull())
+    second = F.unix_seconds("event_timestamp")
+    minutes = rows.groupBy("risk_level", (F.floor(second / SAMPLED) * SAMPLED + SAMPLED).alias("time")).agg(F.count("*").alias("n"))
+    since = Window.partitionBy("risk_level", F.floor((F.col("time") - 1) / RESTARTED)).orderBy("time")
+    return minutes.select("risk_level", "time", F.sum("n").over(since).alias("value"))
+
+
+def counter_rate_5m(spark, sf):
+    """Sliding rates of counters with restarts, and with gaps where nothing was counted."""
+    return mon.counter_rate(_counters(spark, sf), "risk_level")
+
+
+def sketched_quantiles(spark, sf):
+    """Whether quantiles from merged sketches lie within the stated error of the exact ranks."""
+    t = txns(spark, sf)
+    merged = mon.merged_quantiles(mon.quantile_sketches(t), QUANTILES)
+    names = F.stack(F.lit(len(QUANTILES)), *[
+        x for name, q in QUANTILES.items() for x in (F.lit(name), F.lit(q), F.col(name))]).alias("name", "q", "found")
+    found = merged.select("interval_start", "n", names)
+    amounts = t.where(F.col("amount").isNotNull()).select(
+        F.window("event_time", "5 minutes")["start"].alias("interval_start"), "amount")
+    ranks = amounts.join(F.broadcast(found), "interval_start").groupBy("interval_start", "n", "name", "q").agg(
+        F.count("*").alias("counted"), F.count_if(F.col("amount") < F.col("found")).alias("below"),
+        F.count_if(F.col("amount") <= F.col("found")).alias("upto"))
+    error = F.greatest(F.col("below") / F.col("counted") - F.col("q"), F.col("q") - F.col("upto") / F.col("counted"))
+    return ranks.select("interval_start", "name", "n", (F.col("n") == F.col("counted")).alias("all_counted"), (error <= mon.RANK_ERROR).alias("within"))
+
+
 def last_probability(spark, sf):
     return mon.last_value(scored_history(spark, sf), "probability", time="event_timestamp")
 
@@ -654,7 +744,7 @@ def explanations(spark, sf):
     scored = ml.predict(model, rows)
     facts = txns(spark, sf).select("transaction_id", "amount", "merchant_country")
     scored = scored.join(facts, "transaction_id")
-    return ex.explain(scored, ml.importances(model)).select(
+    return ex.explain_with_model(scored, model).select(
         "transaction_id", "probability",
         F.to_json("explanation.shap_values").alias("shap_values"),
         F.to_json("explanation.top_contributors").alias("top_contributors"),
@@ -663,6 +753,39 @@ def explanations(spark, sf):
     )
 
 
+def shapley_adds_up(spark, sf):
+    """Base value and Shapley values of a trained model against its log-odds, row by row."""
+    model, rows = _fitted(spark, sf)
+    known = shapley.of_model(model, spark)
+    margin = vector_to_array("rawPrediction")[1] * 2
+    scored = model.transform(rows.where("is_test")).select(
+        "transaction_id", "fraud", *FEATURE_ORDER, margin.alias("log_odds"), vector_to_array("probability")[1].alias("probability"))
+    explained = shapley.with_shapley(scored, known)
+    added = F.col("base_value") + F.aggregate("shapley", F.lit(0.0), lambda a, v: a + v)
+    logistic = 1 / (1 + F.exp(-added))
+    return explained.select(
+        "transaction_id", "fraud", F.size("shapley").alias("n_values"),
+        (F.abs(added - F.col("log_odds")) < 1e-9).alias("adds_up"),
+        (F.abs(logistic - F.col("probability")) < 1e-9).alias("gives_probability"))
+
+
+def _fixed_tree(node) -> shapley.Node:
+    if len(node) == 2:
+        return shapley.Node(*map(float, node))
+    feature, threshold, cover, left, right = node
+    return shapley.Node(float(cover), 0.0, feature, threshold, _fixed_tree(left), _fixed_tree(right))
+
+
+def shapley_fixed_trees(spark, sf):
+    """Shapley values of fixed trees, as whole numbers of ``SHAPLEY_UNIT``."""
+    known = shapley.explainer([(w, _fixed_tree(root)) for w, root in TREES], len(FEATURE_ORDER))
+    rows = with_feature_vector(training(spark, sf))
+    explained = shapley.with_shapley(rows, known)
+    return explained.select("transaction_id", *[
+        F.round(part * SHAPLEY_UNIT).cast("bigint").alias(name)
+        for name, part in ex.exact_contributions().items()])
+
+
 def gbt_importances(spark, sf):
     model, _ = _fitted(spark, sf)
     return ml.importance_table(spark, model)
@@ -726,12 +849,14 @@ QUERIES: dict[str, Query] = {
     "flags_stream": flags_stream,
     "trailing_update_multibatch": trailing_update_multibatch,
     "flags_multibatch": flags_multibatch,
+    "keyed_state_multibatch": keyed_state_multibatch,
     "bronze_replay": bronze_replay,
     "bronze_exact": bronze_exact,
     "training_set_from_layers": training_set_from_layers,
     "labels_stream": labels_stream,
     "rejected_stream": rejected_stream,
     "scores_stream": scores_stream,
+    "model_scores_stream": model_scores_stream,
     "validate_transactions": validate_transactions,
     "validate_user_features": validate_user_features,
     "validate_flags": validate_flags,
@@ -761,6 +886,7 @@ QUERIES: dict[str, Query] = {
     "store_rounded": store_rounded,
     "flag_keys": flag_keys,
     "materialize_latest": materialize_latest,
+    "materialize_incremental": materialize_incremental,
     "score_features": score_features,
     "risk_bands": risk_bands,
     "confusion_metrics": confusion,
@@ -774,6 +900,8 @@ QUERIES: dict[str, Query] = {
     "amount_histogram": amount_histogram,
     "histogram_quantile": histogram_quantile,
     "prediction_rate_5m": prediction_rate_5m,
+    "counter_rate_5m": counter_rate_5m,
+    "sketched_quantiles": sketched_quantiles,
     "last_probability": last_probability,
     "velocity_60s": velocity_60s,
     "velocity_of_dirty": velocity_of_dirty,
@@ -785,6 +913,8 @@ QUERIES: dict[str, Query] = {
     "score_with_model": score_with_model,
     "gbt_test_rows": gbt_test_rows,
     "gbt_metrics_agree": gbt_metrics_agree,
+    "shapley_adds_up": shapley_adds_up,
+    "shapley_fixed_trees": shapley_fixed_trees,
 }
 
 # These depend on a trained model and have no SQL counterpart.

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
 import os
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,9 +35,81 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+# Applications whose Python workers have been sent the package.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the application's Python workers, once.
+
+    Workers import the functions they run, and neither the driver's folder nor its
+    search path reaches them. The archive lies in the shared folder; without one
+    (an error on a cluster as soon as something has to be stored) nothing is sent.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    try:
+        root = shared_dir(spark)
+    except RuntimeError:
+        return
+    archive = _archive()
+    path = os.path.join(root, "riskloom", f"riskloom-{hashlib.md5(archive).hexdigest()}.zip")
+    if read_file(spark, path) is None:
+        write_file(spark, path, archive)
+    context.addPyFile(path)
+
+
+def _place(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file anywhere Spark can write. It is there as a whole or not at all."""
+    target, files = _place(spark, path)
+    part, _ = _place(spark, os.path.join(os.path.dirname(path), f".{uuid.uuid4().hex}"))
+    out = files.create(part)
+    out.write(content)
+    out.close()
+    files.delete(target, False)
+    if not files.rename(part, target):
+        files.delete(part, False)
+
+
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """The content of a small file, None if there is none."""
+    target, files = _place(spark, path)
+    if not files.exists(target):
+        return None
+    held = files.open(target)
+    try:
+        return bytes(held.readAllBytes())
+    finally:
+        held.close()
+
+
+def _archive() -> bytes:
+    """The package's modules, alike for equal contents."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, folders, names in os.walk(package):
+            folders.sort()
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    inside = os.path.join(os.path.basename(package), os.path.relpath(full, package))
+                    with open(full, "rb") as source:
+                        archive.writestr(zipfile.ZipInfo(inside), source.read())
+    return held.getvalue()
+
+
 def build_session(
     app: str = "riskloom",
     master: str | None = None,

@@ -40,22 +40,46 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.parquet(sf_dir)
 
 
-def batched_events(spark: SparkSession, sf_dir: str, folder: str, batches: int, late_seconds: int) -> DataFrame:
-    """The table as a stream of ``batches`` files, one a micro-batch, written to ``folder``.
+# Events of one file of a batch.
+ROWS_PER_FILE = 500_000
+
+
+def write_batches(
+    spark: SparkSession, sf_dir: str, folder: str, batches: int, late_seconds: int,
+    again: int = 0, which: range | None = None,
+) -> int:
+    """Write the table as ``batches`` batches of files to ``folder``; how many files a batch has.
 
     Every tenth event arrives ``late_seconds`` of transaction time after its own
-    time, so windows are touched again by later batches.
+    time, so windows are touched again by later batches. With ``again`` every event
+    whose number it divides is delivered once more, a batch later. ``which`` names the
+    batches to write, for a stream that is to be stopped in between.
     """
     events = read_events(spark, sf_dir)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     late = F.when(F.col("event_id") % 10 == 0, late_seconds * 1_000_000 * SPEED).otherwise(0)
-    span = events.agg(F.min(micros).alias("first"), F.max(micros).alias("last")).first()
-    step = max(1, -(-(span["last"] - span["first"] + 1) // batches))
-    place = F.least(F.floor((micros + late - F.lit(span["first"])) / step), F.lit(batches - 1))
-    for i in range(batches):
-        # The file source goes by age, so files are written one after the other.
-        events.where(place == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    span = events.agg(F.min(micros).alias("first"), F.max(micros).alias("last"), F.count("*").alias("n")).first()
+    first = span["first"] or 0
+    step = max(1, -(-((span["last"] or 0) - first + 1) // batches))
+    place = F.least(F.floor((micros + late - F.lit(first)) / step), F.lit(batches - 1))
+    files = max(1, -(-span["n"] // (batches * ROWS_PER_FILE)))
+    for i in which or range(batches):
+        rows = events.where(place == i)
+        if again:
+            rows = rows.unionByName(events.where((F.col("event_id") % again == 0) & (F.least(place + 1, F.lit(batches - 1)) == i)))
+        # The file source goes by age, so batches are written one after the other.
+        rows.repartition(files).write.mode("append").parquet(folder)
+    return files
+
+
+def batch_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """What ``write_batches`` wrote, a batch of files to a micro-batch."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def batched_events(spark: SparkSession, sf_dir: str, folder: str, batches: int, late_seconds: int) -> DataFrame:
+    """The table as a stream of ``batches`` micro-batches, written to ``folder``."""
+    return batch_stream(spark, folder, write_batches(spark, sf_dir, folder, batches, late_seconds))
 
 
 def _uuid(number: Column) -> Column:

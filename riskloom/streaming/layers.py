@@ -17,6 +17,7 @@ from riskloom.operators.validation import clean_requests, invalid_rows, is_valid
 from riskloom.operators.windows import select_trailing_window, watermarked, windowed_features
 from riskloom.schemas import BRONZE, SLIDING, SlidingSpec
 from riskloom.sources.offline import BRONZE_TIME
+from riskloom.streaming.keyed import SPLITS, keyed_feature_table, trailing_of_parts, user_panes
 from riskloom.streaming.online import OnlineTable, flag_table, user_feature_table
 from riskloom.streaming.quarantine import QuarantineCounter, write_quarantine
 
@@ -24,7 +25,7 @@ logger = logging.getLogger(__name__)
 
 # Seconds between micro-batches.
 TRIGGERS = {"bronze": 30, "user_features": 30, "flags": 10, "silver": 30, "labels": 30,
-            "rejected": 30, "scores": 10}
+            "rejected": 30, "scores": 10, "keyed_features": 30}
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,25 @@ class Layers:
             "user_features",
         )
 
+    def start_keyed_features(self, transactions: DataFrame, splits: int = SPLITS) -> StreamingQuery:
+        """As ``start_user_features``, but out of keyed state: a row for each part of a
+        user that a batch touched, and events delivered again count once."""
+        table = keyed_feature_table(f"{self.online}/keyed_features", self.spec)
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            def store(rows):
+                table.write_batch(rows, batch_id)
+                chosen = trailing_of_parts(rows.withColumn("updated_at", F.current_timestamp()), self.spec)
+                self._quarantine(invalid_rows(chosen, "user_features"), "user_features", batch_id)
+                self._maintain(table, rows.sparkSession, batch_id)
+
+            _with_batch(batch, store)
+
+        return self._start(
+            user_panes(transactions, self.spec, splits).writeStream.outputMode("update").foreachBatch(write),
+            "keyed_features",
+        )
+
     # Transaction flags ----------------------------------------------------------
 
     def start_flags(self, transactions: DataFrame) -> StreamingQuery:
@@ -194,7 +214,7 @@ class Layers:
         """Transactions that break a rule, with their errors."""
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            self._quarantine(batch, "transaction", batch_id)
+            _with_batch(batch, lambda rows: self._quarantine(rows, "transaction", batch_id))
 
         bad = invalid_rows(transactions, "transaction")
         return self._start(bad.writeStream.outputMode("append").foreachBatch(write), "rejected")

@@ -28,68 +28,96 @@ FLAG_ROWS = T.StructType([
 ])
 
 
+# So many keys are named to the scan; all are joined.
+FEW_KEYS = 200
+
+
 @dataclass(frozen=True)
 class OnlineTable:
     """Parquet folders, one per micro-batch, plus merged bases.
 
     A replayed batch replaces its own folder, so writing twice changes nothing.
-    Readers take the newest finished base and the batches after it.
+    Readers take the newest finished base and the batches after it. Rows lie in
+    ``buckets`` by a hash of their first key, sorted by it and with a Bloom filter, so a
+    lookup reads the buckets of its keys only, and of those the row groups that may hold them.
     """
 
     path: str
     schema: T.StructType
     ttl: int
     keys: tuple[str, ...]
+    buckets: int = 8
 
     def write_batch(self, rows: DataFrame, batch_id: int, now: Column | None = None) -> None:
         stamped = rows.withColumn("updated_at", F.current_timestamp() if now is None else now)
-        stamped.select(*self.schema.names).write.mode("overwrite").parquet(
-            f"{self.path}/deltas/batch_id={batch_id}"
+        self._write(stamped, f"deltas/batch_id={batch_id}")
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        key = self.keys[0]
+        (
+            rows.select(*self.schema.names, self._bucket(F.col(key)).alias("bucket"))
+            .repartition(self.buckets, "bucket").sortWithinPartitions("bucket", key)
+            .write.mode("overwrite").partitionBy("bucket")
+            .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{self.path}/{folder}")
         )
 
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
     def stored(self, spark: SparkSession) -> DataFrame:
-        """All stored rows that can still matter, with the batch they came from."""
+        """All stored rows that can still matter, with the batch they came from and their bucket."""
         base = self._newest_base(spark)
-        rows = self._read(spark, "deltas").where(F.col("batch_id") > (-1 if base is None else base))
+        rows = self._read(spark, "deltas", "batch_id bigint, bucket int")
+        rows = rows.where(F.col("batch_id") > (-1 if base is None else base))
         if base is not None:
             rows = rows.unionByName(
-                spark.read.schema(self.schema).parquet(f"{self.path}/base/batch_id={base}")
-                .withColumn("batch_id", F.lit(base).cast("bigint"))
-            )
+                self._read(spark, f"base/batch_id={base}", "bucket int").withColumn("batch_id", F.lit(base).cast("bigint")))
         return rows
 
-    def merged(self, spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
-        """One current row per key, expired or not; with ``keys`` (a frame of them) of those only."""
+    def merged(self, spark: SparkSession, keys: DataFrame | str | None = None) -> DataFrame:
+        """One current row per key, expired or not; with ``keys`` (a frame of them, or one) of those only."""
         return with_expiry(
             newest_per_key(self._of(spark, keys), list(self.keys)).drop("batch_id"), self.ttl
         )
 
-    def _of(self, spark: SparkSession, keys: DataFrame | None) -> DataFrame:
+    def _of(self, spark: SparkSession, keys: DataFrame | str | None) -> DataFrame:
         """The stored rows of some keys, before anything is merged."""
-        rows = self.stored(spark)
-        return rows if keys is None else rows.join(keys, list(self.keys), "left_semi")
+        rows, key = self.stored(spark), F.col(self.keys[0])
+        if keys is None:
+            return rows.drop("bucket")
+        if isinstance(keys, str):
+            return rows.where((F.col("bucket") == self._bucket(F.lit(keys))) & (key == keys)).drop("bucket")
+        # At most as many numbers as there are buckets.
+        found = keys.agg(F.collect_set(self._bucket(key)).alias("buckets"), F.count(key).alias("n")).first()
+        rows = rows.where(F.col("bucket").isin(found["buckets"])).drop("bucket")
+        if found["n"] <= FEW_KEYS:
+            # Named keys reach the scan.
+            rows = rows.where(key.isin([r[0] for r in keys.where(key.isNotNull()).select(key).collect()]))
+        return rows.join(keys, list(self.keys), "left_semi")
 
     def read(self, spark: SparkSession, as_of: Column | None = None) -> DataFrame:
         """The rows that are live at ``as_of`` (default: now)."""
-        return live(self.merged(spark), F.current_timestamp() if as_of is None else as_of)
+        return self._live(self.merged(spark), as_of)
 
     def get(self, spark: SparkSession, key: str, as_of: Column | None = None) -> DataFrame:
-        """The live row of one key; the filter reaches the Parquet scan."""
-        return self.read(spark, as_of).where(F.col(self.keys[0]) == key)
+        """The live row of one key; key and bucket reach the Parquet scan."""
+        return self._live(self.merged(spark, key), as_of)
+
+    @staticmethod
+    def _live(rows: DataFrame, as_of: Column | None) -> DataFrame:
+        return live(rows, F.current_timestamp() if as_of is None else as_of)
 
     def compact(self, spark: SparkSession, batch_id: int, as_of: Column | None = None) -> None:
         """Merge all batches up to ``batch_id`` into a base. Called by the one writer."""
         rows = self.stored(spark).where(F.col("batch_id") <= batch_id)
         kept = self._still_needed(rows, F.current_timestamp() if as_of is None else as_of)
-        kept.select(*self.schema.names).write.mode("overwrite").parquet(
-            f"{self.path}/base/batch_id={batch_id}"
-        )
+        self._write(kept, f"base/batch_id={batch_id}")
 
     def _still_needed(self, rows: DataFrame, as_of: Column) -> DataFrame:
         return live(with_expiry(newest_per_key(rows, list(self.keys)), self.ttl), as_of)
 
-    def _read(self, spark: SparkSession, part: str) -> DataFrame:
-        schema = T.StructType(self.schema.fields + [T.StructField("batch_id", T.LongType())])
+    def _read(self, spark: SparkSession, part: str, folders: str) -> DataFrame:
+        schema = T.StructType(self.schema.fields + T.StructType.fromDDL(folders).fields)
         try:
             return spark.read.schema(schema).parquet(f"{self.path}/{part}")
         except AnalysisException as exc:
@@ -131,7 +159,7 @@ class UserFeatureTable(OnlineTable):
 
     spec: SlidingSpec = SLIDING
 
-    def merged(self, spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
+    def merged(self, spark: SparkSession, keys: DataFrame | str | None = None) -> DataFrame:
         chosen = merge_user_windows(self._of(spark, keys), self.spec)
         return with_expiry(valid_rows(chosen, "user_features"), self.ttl)
 
@@ -153,7 +181,7 @@ class UserFeatureTable(OnlineTable):
 
 
 def user_feature_table(path: str, spec: SlidingSpec = SLIDING) -> UserFeatureTable:
-    return UserFeatureTable(path, USER_ROWS, USER_FEATURES_TTL, ("user_id",), spec)
+    return UserFeatureTable(path, USER_ROWS, USER_FEATURES_TTL, ("user_id",), spec=spec)
 
 
 def flag_table(path: str) -> OnlineTable:

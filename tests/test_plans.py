@@ -20,8 +20,10 @@ from riskloom.schemas import FeatureView
 from riskloom.streaming.online import user_feature_table
 
 STREAMS = {n for n in queries.QUERIES if n.endswith(("_stream", "_multibatch", "_layers"))} | {
-    "bronze_replay", "bronze_exact"}
+    "bronze_replay", "bronze_exact", "materialize_incremental"}
 MODELS = queries.MODEL_QUERIES | {"score_with_model", "gbt_test_rows", "gbt_metrics_agree"}
+# Exact Shapley values are numpy batches.
+MODELS |= {"shapley_adds_up", "shapley_fixed_trees"}
 
 
 def plan(df):

@@ -1,0 +1,123 @@
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.operators import explain, model, shapley
+from riskloom.operators.shapley import Node
+from riskloom.schemas import FEATURE_ORDER
+
+N = len(FEATURE_ORDER)
+
+
+def tree(rng, depth, cover=64.0):
+    if depth == 0 or rng.random() < 0.15:
+        return Node(cover, rng.uniform(-2, 2))
+    left = cover * rng.choice([0.0, 0.25, 0.5, 0.8])
+    return Node(
+        cover, 0.0, rng.randrange(N), rng.choice([0.0, 0.5, 1.0, 2.0]),
+        tree(rng, depth - 1, left), tree(rng, depth - 1, cover - left))
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 7])
+def test_equals_the_definition_over_all_subsets(depth):
+    rng = random.Random(depth)
+    trees = [(rng.uniform(0.1, 1), tree(rng, depth)) for _ in range(4)]
+    known = shapley.explainer(trees, N)
+    rows = [[rng.choice([-1.0, 0.0, 0.5, 0.7, 1.0, 3.0]) for _ in range(N)] for _ in range(4)]
+    got = known.values(np.array(rows))
+    for row, values in zip(rows, got):
+        if all(n.cover > 0 for _, root in trees for n in nodes(root) if n.left):
+            assert np.allclose(values, shapley.brute_force(trees, row, N), atol=1e-12)
+            assert math.isclose(known.base + values.sum(), sum(w * result(root, row) for w, root in trees), abs_tol=1e-12)
+
+
+def nodes(node):
+    yield node
+    if node.left:
+        yield from nodes(node.left)
+        yield from nodes(node.right)
+
+
+def result(node, row):
+    while node.left:
+        node = node.left if row[node.feature] <= node.threshold else node.right
+    return node.value
+
+
+def test_nan_and_infinities_go_where_the_trees_send_them():
+    root = Node(4, 0, 0, 1.0, Node(1, -1.0), Node(3, 0, 0, 5.0, Node(2, 2.0), Node(1, 7.0)))
+    known = shapley.explainer([(1.0, root)], 2)
+    rows = np.array([[float("nan"), 0], [float("inf"), 0], [float("-inf"), 0], [1.0, 0], [5.0, 0]])
+    assert (known.base + known.values(rows).sum(1)).tolist() == [7.0, 7.0, -1.0, -1.0, 2.0]
+
+
+def test_too_many_features_on_a_path_are_refused():
+    root = Node(1, 1.0)
+    for f in range(shapley.MAX_PATH + 1):
+        root = Node(2, 0, f, 0.5, Node(1, 0.0), root)
+    with pytest.raises(ValueError, match="path"):
+        shapley.explainer([(1.0, root)], shapley.MAX_PATH + 1)
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        x = [rng.randrange(1, 8), rng.uniform(0, 900), rng.uniform(0, 300), rng.uniform(0, 600), *[float(rng.random() < 0.4) for _ in range(3)]]
+        rows.append((i, *map(float, x), int(x[1] > 400 and x[4] > 0 or x[6] > 0 and rng.random() < 0.8)))
+    df = spark.createDataFrame(rows, ", ".join(["transaction_id int", *[f"{c} double" for c in FEATURE_ORDER], "fraud int"])).cache()
+    return model.train(df, trees=8), df
+
+
+def test_trained_trees(spark, fitted):
+    trained, df = fitted
+    path = shapley.work_dir(spark, "test-model")
+    trained.stages[-1].write().overwrite().save(path)
+    trees = [(2 * w, root) for w, root in shapley.saved_trees(spark, path)]
+    assert len(trees) == 8
+    known = shapley.of_model(trained, spark)
+    rows = shapley.with_shapley(df, known).limit(12).collect()
+    for r in rows:
+        assert np.allclose(r["shapley"], shapley.brute_force(trees, [r[c] for c in FEATURE_ORDER], N), atol=1e-12)
+
+
+def test_explanations_are_exact_and_keep_their_form(spark, fitted):
+    trained, df = fitted
+    scored = model.predict(trained, df).withColumns({"merchant_country": F.lit("NG"), "amount": F.lit(700.0)})
+    base = shapley.of_model(trained, spark).base
+    exact, rough = (explain.explain_with_model(scored, trained), explain.explain(scored, model.importances(trained)))
+    assert exact.schema["explanation"].dataType.simpleString() == rough.schema["explanation"].dataType.simpleString()
+    assert exact.columns == rough.columns
+    for r in exact.limit(50).collect():
+        e, p = r["explanation"], r["probability"]
+        assert e["method"] == "shap" and set(e["shap_values"]) == set(FEATURE_ORDER)
+        top = sorted(e["shap_values"].values(), key=abs, reverse=True)[:3]
+        assert [abs(c["contribution"]) for c in e["top_contributors"]] == [abs(v) for v in top]
+        assert all(c["direction"] == ("increases risk" if c["contribution"] > 0 else "decreases risk")
+                   for c in e["top_contributors"] if c["contribution"])
+        # Values are rounded to four digits each.
+        assert abs(math.log(p / (1 - p)) - sum(e["shap_values"].values()) - base) < 1e-3
+
+
+def test_a_model_without_trees_falls_back(spark, fitted):
+    _, df = fitted
+
+    class Other:
+        stages = [object()]
+
+    assert shapley.of_model(Other(), spark) is None
+
+
+def test_null_features_count_as_zero(spark, fitted):
+    trained, df = fitted
+    known = shapley.of_model(trained, spark)
+    row = df.limit(1).withColumn("avg_amount_5min", F.lit(None).cast("double"))
+    zero = df.limit(1).withColumn("avg_amount_5min", F.lit(0.0))
+    assert shapley.with_shapley(row, known).first()["shapley"] == shapley.with_shapley(zero, known).first()["shapley"]
+    assert shapley.with_shapley(df.limit(0), known).collect() == []
