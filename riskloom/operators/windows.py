@@ -32,7 +32,8 @@ def _total(cents: bool) -> list[Column]:
     return [F.try_sum(exact).alias("total"), F.count_if(amount.isNotNull() & exact.isNull()).alias("lost")]
 
 
-def _output(end: Column, spec: SlidingSpec) -> list[Column]:
+def window_columns(end: Column, spec: SlidingSpec) -> list[Column]:
+    """The columns of a window from its measures."""
     size = F.expr(f"interval {spec.size} seconds")
     total = F.when(F.col("lost") == 0, F.col("total").cast("double"))
     return [
@@ -108,7 +109,7 @@ def windowed_features(
             .groupBy(F.window("event_time", _seconds(spec.size), _seconds(spec.slide)), "user_id")
             .agg(*_measures(cents))
         )
-        return windows.select(*_output(F.col("window.end"), spec))
+        return windows.select(*window_columns(F.col("window.end"), spec))
     # An interval belongs to the windows that end with it or up to size - slide
     # later. Distribution by user is kept by explode, so it also serves the
     # aggregation and whatever is grouped by user next.
@@ -119,7 +120,7 @@ def windowed_features(
         .withColumn("last_pane", F.explode(last_panes))
         .groupBy("user_id", "last_pane")
         .agg(*_merged())
-        .select(*_output(_pane_end(F.col("last_pane"), spec), spec))
+        .select(*window_columns(_pane_end(F.col("last_pane"), spec), spec))
     )
 
 
@@ -199,7 +200,7 @@ def trailing_of_panes(panes: DataFrame, spec: SlidingSpec, last: list[str]) -> D
     return (
         recent.groupBy("user_id", "newest")
         .agg(*_merged(), *[F.max(name).alias(name) for name in last])
-        .select(*_output(_pane_end(F.col("newest"), spec), spec), *last)
+        .select(*window_columns(_pane_end(F.col("newest"), spec), spec), *last)
     )
 
 

@@ -368,6 +368,14 @@ SELECTS = {
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY windows.window_start DESC) = 1)""",
     "flags_stream": f"SELECT transaction_id, user_id, amount, {FLAGS} FROM txns WHERE amount > 0",
     "trailing_update_multibatch": f"SELECT {WINDOW} FROM trailing_rows",
+    "windows_with_state": _VALID_WINDOWS,
+    "late_drops": """SELECT count(*) AS n_dropped FROM (
+        SELECT DISTINCT user_id, date_trunc('minute', event_time) - o * INTERVAL 1 MINUTE
+        FROM txns, range(0, 5) r(o)
+        WHERE event_id IN (SELECT event_id FROM events
+                           WHERE ts < (SELECT max(ts) FROM events) - 40 * 360 * INTERVAL 1 MINUTE))""",
+    "quarantine_observed": f"""SELECT 'transaction' AS kind, count(*) AS n, count(*) AS n_met, 0::BIGINT AS n_lost
+        FROM (SELECT {_TXN_ERRORS} AS errors FROM dirty) WHERE errors <> ''""",
     "keyed_state_multibatch": f"SELECT {WINDOW} FROM trailing_rows",
     "flags_multibatch": f"""SELECT transaction_id, user_id, amount, {FLAGS}
         FROM (SELECT * REPLACE (CASE WHEN event_id % 20 = 0 THEN 1000.0::DOUBLE ELSE amount END AS amount) FROM txns)

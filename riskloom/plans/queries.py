@@ -39,8 +39,9 @@ from riskloom.streaming.keyed import keyed_feature_table
 from riskloom.streaming.layers import Layers, wait_for_all
 from riskloom.streaming.materialize import materialized_table
 from riskloom.streaming.online import flag_table, user_feature_table
+from riskloom.streaming.quarantine import QuarantineCounter, read_quarantine, write_quarantine
 from riskloom.streaming.quarantine import quarantine_counts as count_quarantined
-from riskloom.streaming.quarantine import read_quarantine, write_quarantine
+from riskloom.streaming.state import dropped_by_watermark, open_windows
 
 # Importances used where a query must not depend on a trained model.
 FIXED_IMPORTANCES = [0.22, 0.16, 0.12, 0.14, 0.10, 0.08, 0.18]
@@ -272,6 +273,59 @@ def keyed_state_multibatch(spark, sf, compact_every=2):
     return table.merged(spark).drop("updated_at", "expires_at")
 
 
+# Minutes behind the newest event of what is delivered again when its windows are closed.
+LONG_LATE = 40
+
+
+def _stopped_twice(spark, sf):
+    """Closed windows of a stream that stops half-way, goes on, and then meets events long behind."""
+    root = work_dir(configure(spark), "stopped")
+    layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True)
+    half, queries = KEYED_BATCHES // 2, []
+    for part in (range(half), range(half, KEYED_BATCHES), None):
+        if part:
+            files = tables.write_batches(spark, sf, f"{root}/events", KEYED_BATCHES, LATE_SECONDS, which=part)
+        else:
+            events = tables.read_events(spark, sf)
+            last = events.agg(F.max("ts")).scalar()
+            long_late = events.where(F.col("ts") < last - F.expr(f"interval {LONG_LATE * tables.SPEED} minutes"))
+            long_late.repartition(files).write.mode("append").parquet(f"{root}/events")
+        stream = tables.batch_stream(spark, f"{root}/events", files)
+        queries.append(layers.start_silver(tables.with_time_text(tables.transactions(stream))))
+        wait_for_all({"silver": queries[-1]})
+    return layers, queries
+
+
+def windows_with_state(spark, sf):
+    """Closed windows of the layer and open ones from the state: all windows, after two stops."""
+    layers, _ = _stopped_twice(spark, sf)
+    closed = offline.read_silver(spark, layers.silver).drop("event_date")
+    return closed.unionByName(open_windows(spark, f"{layers.checkpoints}/silver"))
+
+
+def late_drops(spark, sf):
+    """What the watermark left out, as the stream itself counted it."""
+    layers, queries = _stopped_twice(spark, sf)
+    return spark.createDataFrame([(dropped_by_watermark(*queries),)], "n_dropped bigint")
+
+
+def quarantine_observed(spark, sf):
+    """Rejected transactions as the writing jobs counted them, over a restart, beside what was stored."""
+    root = work_dir(configure(spark), "observed")
+    half = KEYED_BATCHES // 2
+    for part in (range(half), range(half, KEYED_BATCHES)):
+        # A new process each time: only the stored counts go on.
+        layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True,
+                        rejected=QuarantineCounter(f"{root}/counts"))
+        files = tables.write_batches(spark, sf, f"{root}/events", KEYED_BATCHES, 0, which=part)
+        stream = tables.transactions(tables.batch_stream(spark, f"{root}/events", files))
+        wait_for_all({"q": layers.start_rejected(tables.dirty_transactions(stream))})
+    kept = QuarantineCounter(f"{root}/counts")
+    return count_quarantined(read_quarantine(spark, layers.quarantine)).select(
+        "kind", "n", F.lit(kept.met("transaction", spark)).cast("bigint").alias("n_met"),
+        F.lit(kept.lost("transaction", spark)).cast("bigint").alias("n_lost"))
+
+
 def bronze_exact(spark, sf):
     layers = _layers(spark, "bronze_exact")
     wait_for_all({"q": layers.start_bronze(txn_stream(spark, sf))})
@@ -850,6 +904,9 @@ QUERIES: dict[str, Query] = {
     "trailing_update_multibatch": trailing_update_multibatch,
     "flags_multibatch": flags_multibatch,
     "keyed_state_multibatch": keyed_state_multibatch,
+    "windows_with_state": windows_with_state,
+    "late_drops": late_drops,
+    "quarantine_observed": quarantine_observed,
     "bronze_replay": bronze_replay,
     "bronze_exact": bronze_exact,
     "training_set_from_layers": training_set_from_layers,
