@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ ARROW_CONF = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
+# Values of a hash that is to choose rows evenly.
+_EVENLY = 1 << 30
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -79,6 +83,36 @@ def look_up(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner"
     return many_to_one(many, one, keys, how)
 
 
+def row_key(*columns: str) -> Column:
+    """A 64-bit key of a row's contents: equal rows have equal keys."""
+    return F.xxhash64(*[F.col(c) for c in columns], F.lit(29))
+
+
+def chosen(key: Column, rate: Column) -> Column:
+    """Whether a key belongs to an even share of all keys; the same on every run."""
+    return F.pmod(F.xxhash64(key, F.lit(31)), F.lit(_EVENLY)) / F.lit(float(_EVENLY)) < rate
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One of the rows of each value of ``key``, of which there are few.
+
+    A task passes a key on once, so however many copies a key has, no more rows than keys
+    leave a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            new = []
+            for i, k in enumerate(batch[key].to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            yield batch.take(pa.array(new, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema).dropDuplicates([key])
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` starts with it in any letter case."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

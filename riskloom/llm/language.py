@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import held_out, whole_text
+from riskloom.llm.common import chosen, held_out, once, row_key, whole_text
 
 BITS = 14
 DIMENSIONS = 1 << BITS
 LANDMARKS = 192
 RIDGE = 0.05
-# The model is fitted on at most about this many texts, evenly by language.
+# The model is fitted on about this many texts, if there are more, evenly by language.
 SAMPLE = 4_000
 HOLD_OUT = 5
 CHUNK = 128
@@ -108,19 +108,22 @@ def fit_languages(x: np.ndarray, language: list[str], landmarks: int = LANDMARKS
 def training_sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """lang and packed n-gram bits of a sample, the same on every run.
 
-    Its size is bounded by ``size`` and a little, so it may be collected.
+    Equal rows (of id, language and text) count as one. About ``size`` rows, taken by a
+    hash of all three, are collected, however many documents or copies an id has.
     """
     known = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(HOLD_OUT))
+    known = known.withColumn("key", row_key("doc_id", "lang", "text"))
     # A list of languages is short; beyond the size of the sample the rest are not learned.
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(size).collect()
+    counts = (
+        known.select("lang", "key").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+        .orderBy(F.desc("n"), "lang").limit(size).collect())
     if not counts:
         return known.select("lang", F.lit(b"").alias("bits")).limit(0)
     each = size / len(counts)
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["n"]))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     @F.arrow_udf("binary")
     def bits(texts: pa.Array) -> pa.Array:
@@ -129,7 +132,8 @@ def training_sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
             rows += [r.tobytes() for r in np.packbits(presence(parts[i:i + CHUNK]).astype(bool), axis=1)]
         return pa.array(rows, pa.binary())
 
-    return known.where(place < F.element_at(rate, F.col("lang"))).select("lang", bits("text").alias("bits"))
+    taken = known.where(chosen(F.col("key"), F.element_at(rate, F.col("lang")))).select("key", "lang", "text")
+    return once(taken, "key").select("lang", bits("text").alias("bits"))
 
 
 def _unpack(bits: np.ndarray) -> np.ndarray:

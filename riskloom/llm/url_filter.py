@@ -62,9 +62,16 @@ class DigestIndex:
         self.keys = raw[8:8 + 8 * n].view("<u8")
         self.ends = raw[8 + 8 * n:8 + 16 * n].view("<u8")
         self.data = raw[8 + 16 * n:]
-        # Only the lengths of path prefixes are held outside the file.
-        texts = [self._entry(i).partition(b"\t")[0].decode() for i in range(n)]
-        self.path_lengths = sorted({len(t) - t.index("/") for t in texts if not t.startswith(_WORD_KEY)})
+        # Only the lengths of path prefixes and the longest host and word are held outside the file.
+        lengths, self.longest_host, self.longest_word = set(), 0, 0
+        for i in range(n):
+            text = self._entry(i).partition(b"\t")[0].decode()
+            if text.startswith(_WORD_KEY):
+                self.longest_word = max(self.longest_word, len(text) - len(_WORD_KEY))
+            else:
+                self.longest_host = max(self.longest_host, text.index("/"))
+                lengths.add(len(text) - text.index("/"))
+        self.path_lengths = sorted(lengths)
 
     def _entry(self, i: int) -> bytes:
         start = int(self.ends[i - 1]) if i else 0
@@ -95,12 +102,14 @@ def judge_batch(index: DigestIndex, hosts: list[str], paths: list[str]) -> tuple
     for i, (host, path) in enumerate(zip(hosts, paths)):
         if not host and not path:
             continue
-        suffixes = [host] + [host[m.end():] for m in re.finditer(r"\.", host)]
+        # A host that is longer than every rule's can end with one, no more.
+        end = host[-index.longest_host - 1:] if index.longest_host else ""
+        suffixes = [host] * (len(host) <= index.longest_host) + [end[m.end():] for m in re.finditer(r"\.", end)]
         prefixes = [path[:n] for n in index.path_lengths if n <= len(path)]
         for suffix in suffixes:
             probes += [suffix + p for p in prefixes]
         owner += [i] * (len(suffixes) * len(prefixes))
-        found = _WORD.findall(host)
+        found = {w for w in _WORD.findall(host) if len(w) <= index.longest_word}
         words += [_WORD_KEY + w for w in found]
         word_owner += [i] * len(found)
     rules: list[str | None] = [None] * len(hosts)

@@ -58,3 +58,29 @@ def test_odd_rows(spark):
 def test_one_language(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language.identify(docs).collect()} == {"en"}
+
+
+def test_an_id_with_a_third_of_all_rows_is_bounded(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", "lang")
+    hot = next(r["doc_id"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"])
+    copies = docs.where(F.col("doc_id") == hot).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(4000)))).drop("again")
+    plain = sorted(map(str, language.training_sample(docs).collect()))
+    assert sorted(map(str, language.training_sample(docs.unionByName(copies).repartition(7)).collect())) == plain
+    others = spark.range(4000).select(
+        F.lit(hot).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert language.training_sample(docs.unionByName(others).repartition(7), 100).count() < 160
+
+
+def test_predictions_equal_the_model_applied_by_hand(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    rows = {r["doc_id"]: (r["text"], r["lang"]) for r in docs.collect()}
+    learned = sorted(
+        (lang, np.packbits(language.presence([text])[0].astype(bool)).tobytes()) for d, (text, lang) in rows.items()
+        if lang is not None and text is not None and zlib.crc32(str(d).encode()) % 5)
+    x = np.unpackbits(np.frombuffer(b"".join(b for _, b in learned), np.uint8).reshape(len(learned), -1), axis=1).astype(np.float32)
+    model = language.fit_languages(x, [lang for lang, _ in learned])
+    names, scores = model.judge([t or "" for t, _ in rows.values()], language._unpack(model.landmarks))
+    want = dict(zip(rows, zip(names, scores)))
+    for r in language.identify(docs).collect():
+        name, score = want[r["doc_id"]]
+        assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-5

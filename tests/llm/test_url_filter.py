@@ -79,3 +79,19 @@ def test_wrong_rules_and_empty_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(uf, "MAX_BYTES", 10)
     with pytest.raises(ValueError):
         uf.pack_index({"org/": "allow"})
+
+
+def test_long_urls_take_little_memory(spark):
+    import tracemalloc
+
+    dots, labels = "a." * 500_000 + "example.org", "x" * 1_000_000 + ".org"
+    urls = [f"http://{dots}/en/1", f"http://{labels}/es/", "http://example.org/en/1" + "y" * 1_000_000, f"http://{'casino.' * 100_000}net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in uf.filter_urls(pages, URL_RULES).collect():
+        assert tuple(r)[1:] == brute(urls[r["page_id"]])
+    index = uf.DigestIndex.__new__(uf.DigestIndex)
+    index.longest_host, index.longest_word, index.path_lengths, index.keys = 11, 7, [1, 4, 5], np.empty(0, np.uint64)
+    tracemalloc.start()
+    uf.judge_batch(index, [dots], ["/en/1"])
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
