@@ -22,23 +22,24 @@ table gives an empty result, and other columns are not looked at.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import stored, whole_text
+from riskloom.llm.common import look_up, stored, whole_text
 
 WINDOW = 1024
 GRAIN = 128
 # Shares are whole numbers out of this, which keeps all products within 64 bits.
 RESOLUTION = 1 << 20
-# More sources than this share queues by hash: the schedule goes to every task.
-MAX_QUEUES = 256
+# More sources than this share queues by hash, and so do their targets: the schedule, a
+# number for each queue and phase, goes to every task.
+MAX_QUEUES = 2_000
 END_ID = 0
 
 # Texts of these characters alone split the same way in both tokenizer libraries
@@ -53,12 +54,45 @@ Fork = tuple[int, int, bool]
 
 @dataclass(frozen=True)
 class Phase:
-    """Windows in which the same queues take part, by queue number."""
+    """Windows in which the same queues take part, by queue number.
+
+    The queues, in order, are the leaves of a tree: each range of them is halved.
+    """
 
     first_window: int
     windows: int
-    forks: dict[int, list[Fork]]
-    taken: dict[int, int]  # slots of a queue that earlier phases used
+    active: np.ndarray
+    reach: np.ndarray  # sums of the shares of the first 0, 1, 2, .. active queues
+    taken: np.ndarray  # slots of an active queue that earlier phases used
+
+    def place(self, queue: int) -> int:
+        """The queue's place among the active ones, -1 if it is none."""
+        at = int(np.searchsorted(self.active, queue))
+        return at if at < len(self.active) and self.active[at] == queue else -1
+
+    def forks(self, place: int) -> list[Fork]:
+        low, high, out = 0, len(self.active), []
+        while high - low > 1:
+            middle = low + (high - low) // 2
+            right = place >= middle
+            out.append((int(self.reach[middle] - self.reach[low]), int(self.reach[high] - self.reach[low]), right))
+            low, high = (middle, high) if right else (low, middle)
+        return out
+
+    def shared(self, n: int) -> np.ndarray:
+        """Of the first n slots of the phase, those of each active queue."""
+        low, high, slots = np.array([0]), np.array([len(self.active)]), np.array([n])
+        while (high - low > 1).any():
+            middle = low + (high - low) // 2
+            whole = high - low <= 1
+            a, t = self.reach[middle] - self.reach[low], self.reach[high] - self.reach[low]
+            left = np.where(whole, 0, _left(slots, a, np.maximum(t, 1)))
+            # A single queue stays as the right side of nothing.
+            low, high, slots = (
+                np.stack([x, y], axis=1).ravel() for x, y in ((low, middle), (middle, high), (left, slots - left)))
+            kept = high > low
+            low, high, slots = low[kept], high[kept], slots[kept]
+        return slots
 
 
 @dataclass(frozen=True)
@@ -73,30 +107,11 @@ class Schedule:
     grain: int
 
 
-def _forks(queues: list[int], share: dict[int, int]) -> dict[int, list[Fork]]:
-    """A tree of two sides each over the queues."""
-    if len(queues) == 1:
-        return {queues[0]: []}
-    left, right = queues[:len(queues) // 2], queues[len(queues) // 2:]
-    a, b = sum(share[i] for i in left), sum(share[i] for i in right)
-    return {
-        **{i: [(a, a + b, False), *rest] for i, rest in _forks(left, share).items()},
-        **{i: [(a, a + b, True), *rest] for i, rest in _forks(right, share).items()},
-    }
-
-
 def _left(n, a, t):
     """Of n slots of a fork, those of its left side: n * a / t, rounded."""
     return (2 * n * a + t) // (2 * t)
 
 
-def _taken(n, forks: list[Fork]):
-    """Of the first n slots of a phase, those of a queue."""
-    for a, t, right in forks:
-        n = n - _left(n, a, t) if right else _left(n, a, t)
-    return n
-
-
 def plan_schedule(tokens: dict[str, int], targets: dict[str, float] | None = None,
                   window: int = WINDOW, grain: int = GRAIN) -> Schedule:
     """The rounds for queues of so many tokens.
@@ -107,26 +122,31 @@ def plan_schedule(tokens: dict[str, int], targets: dict[str, float] | None = Non
     if window % grain:
         raise ValueError("a window must be a whole number of slots")
     slots, names = window // grain, sorted(tokens)
-    left = {i: tokens[n] // grain for i, n in enumerate(names)}
+    left = np.array([tokens[n] // grain for n in names], np.int64)
     wanted = [float((targets or tokens).get(n, 0)) for n in names]
     whole = sum(wanted) or 1.0
-    share = {i: max(1, round(RESOLUTION * x / whole)) for i, x in enumerate(wanted)}
-    taken, phases, windows = dict.fromkeys(left, 0), [], 0
-    active = [i for i in left if left[i]]
-    while active:
-        total, forks = sum(share[i] for i in active), _forks(active, share)
+    share = np.array([max(1, round(RESOLUTION * x / whole)) for x in wanted], np.int64)
+    taken, phases, windows = np.zeros(len(names), np.int64), [], 0
+    active = np.flatnonzero(left)
+    while len(active):
+        reach = np.concatenate([[0], np.cumsum(share[active])])
         # Each fork may round a queue up by part of a slot; none may be overdrawn.
         spare = 1 + len(active).bit_length()
-        count = max(0, min((left[i] - spare) * total // (share[i] * slots) for i in active))
+
+        def lasting(reach=reach, spare=spare):
+            return (left[active] - spare) * reach[-1] // (share[active] * slots)
+
+        count = max(0, int(lasting().min()))
         if count:
-            phases.append(Phase(windows, count, forks, {i: taken[i] for i in active}))
-            for i in active:
-                used = _taken(count * slots, forks[i])
-                taken[i] += used
-                left[i] -= used
+            phase = Phase(windows, count, active, reach, taken[active])
+            phases.append(phase)
+            used = phase.shared(count * slots)
+            taken[active] += used
+            left[active] -= used
             windows += count
         # What stops the phase is a queue with about a window's slots left.
-        active = [i for i in active if (left[i] - spare) * total // (share[i] * slots) >= 1]
+        active = active[lasting() >= 1]
+    taken = taken.tolist()
     body = [taken[i] * grain for i in range(len(names))]
     rests = [tokens[n] - b for n, b in zip(names, body)]
     tail = np.concatenate([[0], np.cumsum(rests, dtype=np.int64)]).tolist()
@@ -138,11 +158,13 @@ def slot_places(s: Schedule, queue: int, slots: np.ndarray) -> tuple[np.ndarray,
     """Sequence and slot in it, for slots of one queue."""
     per = s.window // s.grain
     sequence, place = np.empty_like(slots), np.empty_like(slots)
-    for phase in s.phases:
-        if queue not in phase.forks:
-            continue
-        forks, first = phase.forks[queue], phase.taken[queue]
-        here = (slots >= first) & (slots < first + _taken(phase.windows * per, forks))
+    # A queue is in the first phases and, once it has left, in no further one.
+    places = [p for p in (phase.place(queue) for phase in s.phases) if p >= 0]
+    firsts = np.array([int(phase.taken[at]) for phase, at in zip(s.phases, places)])
+    phase_of = np.searchsorted(firsts, slots, "right") - 1
+    for number in np.unique(phase_of):
+        phase, first = s.phases[number], firsts[number]
+        forks, here = phase.forks(places[number]), phase_of == number
         k = slots[here] - first
         # From the queue's own count of slots up to the phase's.
         n = k
@@ -292,19 +314,32 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def _queues(docs: DataFrame) -> DataFrame:
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    many = docs.select(name.alias("q")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    if many:
-        name = F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string"))
+    if docs.select(name.alias("q")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
+        name = _shared_queue(name)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), name.alias("queue"))
 
 
+def _shared_queue(name: Column) -> Column:
+    return F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string"))
+
+
+def _wanted(spark: SparkSession, targets: dict[str, float], queues: Iterable[str]) -> dict[str, float]:
+    """Targets by queue: of queues that sources share, the sum of their sources' targets."""
+    named = {f"={source}": float(share) for source, share in targets.items()}
+    if not any(q.startswith("#") for q in queues):
+        return named
+    rows = spark.createDataFrame(list(named.items()), "name string, share double")
+    return {r["queue"]: r["share"] for r in rows.groupBy(_shared_queue(F.col("name")).alias("queue")).agg(F.sum("share").alias("share")).collect()}
+
+
 def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None,
          window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
     """Pieces of all documents: where each lies, and its ids (32-bit, little-endian).
 
     Columns: doc_id, queue, start, length, doc_tokens, sequence_id, offset, ids.
     ``targets`` gives wanted proportions by source. Two stages read the texts'
-    ids; what the driver sees is one total per queue (at most ``MAX_QUEUES``).
+    ids; what the driver sees is one total per queue (at most ``MAX_QUEUES``). Ids stay
+    where they are while the places of tasks' queues are few enough to be sent to them.
     """
     tokens = stored(tokenize(_queues(docs), tokenizer), "packing-tokens")
     parts = tokens.groupBy("part", "queue").agg(F.sum("size").alias("size"))
@@ -315,9 +350,9 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
         "packing-parts",
     )
     totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("size").alias("n")).collect()}
-    wanted = {f"={k}": v for k, v in targets.items()} if targets else None
+    wanted = _wanted(docs.sparkSession, targets, totals) if targets else None
     schedule = plan_schedule(totals, wanted, window, grain)
-    placed = tokens.join(bases.select("part", "queue", "base"), ["part", "queue"])
+    placed = look_up(tokens, bases.select("part", "queue", "base"), ["part", "queue"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

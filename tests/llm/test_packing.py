@@ -145,3 +145,48 @@ def test_many_sources_share_queues(spark, monkeypatch):
     rows = packing.pack(docs, FILE).withColumn("ids_crc32", F.crc32("ids")).collect()
     assert len({r["queue"] for r in rows}) <= 3
     check_table(rows, [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_a_thousand_sources_keep_their_targets():
+    random = np.random.default_rng(3)
+    names = [f"s{i:04d}" for i in range(1000)]
+    tokens = {n: int(random.integers(50_000, 5_000_000)) for n in names}
+    targets = {n: float(random.integers(1, 50)) for n in names}
+    s = packing.plan_schedule(tokens, targets)
+    share = np.array([targets[n] for n in sorted(names)]) / sum(targets.values())
+    phase = s.phases[0]
+    assert phase.windows > 1000 and len(phase.active) == 1000
+    for windows in (1, 2, 17, 333, phase.windows):
+        taken = phase.shared(windows * 8)
+        assert taken.sum() == windows * 8
+        # Shares are whole numbers, which over many windows adds a little.
+        assert np.abs(taken - windows * 8 * share).max() <= 2 + windows * 8 * 1000 / packing.RESOLUTION
+    # Every slot of a queue has a place of its own.
+    seen = set()
+    for name in random.choice(names, 25, replace=False):
+        q = s.queues[name]
+        slots = np.arange(min(s.body[q] // packing.GRAIN, 2000))
+        sequence, place = packing.slot_places(s, q, slots)
+        new = set(zip(sequence.tolist(), place.tolist()))
+        assert len(new) == len(slots) and not new & seen and (place < 8).all() and (np.diff(sequence) >= 0).all()
+        seen |= new
+    assert sum(s.body) + s.tail_tokens == sum(tokens.values()) and s.tail_tokens < 1000 * 60 * packing.GRAIN
+
+
+def test_shared_queues_share_targets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 2)
+    targets = {f"s{i}": float(i + 1) for i in range(6)}
+    got = packing._wanted(spark, targets, ["#0", "#1"])
+    assert set(got) <= {"#0", "#1"} and sum(got.values()) == sum(targets.values())
+    assert packing._wanted(spark, targets, ["=s0"]) == {f"={k}": v for k, v in targets.items()}
+
+
+def test_large_tables_of_places_are_joined_by_shuffle(spark, monkeypatch, small_dir):
+    from riskloom.llm import common
+
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", "source").limit(60).repartition(3)
+    order = ["doc_id", "start", "length"]
+    want = sorted(map(tuple, packing.pack(docs.orderBy("doc_id").coalesce(1), FILE).select(*order).collect()))
+    monkeypatch.setattr(common, "FEW", -1)
+    got = sorted(map(tuple, packing.pack(docs.orderBy("doc_id").coalesce(1), FILE).select(*order).collect()))
+    assert got == want
