@@ -411,6 +411,10 @@ SELECTS = {
         {t('w.window_end')}, {NUMBERS}
         FROM entities e ASOF LEFT JOIN windows w
           ON e.user_id = w.user_id AND e.event_timestamp >= w.window_end""",
+    "pit_join_by_period": f"""SELECT transaction_id, e.user_id, {t('e.event_timestamp')}, fraud,
+        {t('w.window_end')}, {NUMBERS}
+        FROM entities e ASOF LEFT JOIN windows w
+          ON e.user_id = w.user_id AND e.event_timestamp >= w.window_end""",
     "pit_coverage": """SELECT count(*) AS n_rows, count(txn_count_5min) AS n_matched,
         count(txn_count_5min) / CAST(count(*) AS DOUBLE) AS coverage FROM pit""",
     "training_set": f"""SELECT transaction_id, fraud, {NUMBERS}, is_foreign, is_high_amount, is_suspicious

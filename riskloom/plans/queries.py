@@ -25,6 +25,7 @@ from riskloom.operators import training as tr
 from riskloom.operators import validation as val
 from riskloom.operators.asof import pit_join
 from riskloom.operators.evaluate import confusion_metrics, roc_auc
+from riskloom.operators.snapshots import PeriodicJoin
 from riskloom.operators.scoring import lookup, rule_probability, score
 from riskloom.operators.velocity import flag_over_limit
 from riskloom.operators.windows import (
@@ -492,6 +493,21 @@ def pit_any_age(spark, sf):
     return joined.drop("amount", "merchant_country")
 
 
+# Seconds of a period, so that the given tables hold several.
+PERIOD = 1800
+
+
+def pit_by_period(spark, sf):
+    """The join without age limit, run period by period over new rows and one snapshot."""
+    runs = PeriodicJoin(work_dir(configure(spark), "periods"), NO_LIMIT_VIEW, seconds=PERIOD)
+    asked, known = stored(entities(spark, sf), "entities"), stored(windows(spark, sf), "windows")
+    times = asked.select(runs.number(F.col("event_timestamp")).alias("p")).union(known.select(runs.number(F.col("window_end"))))
+    span = times.agg(F.min("p").alias("first"), F.max("p").alias("last")).first()
+    for number in range(span["first"], span["last"] + 1):
+        runs.run(asked, known, number)
+    return runs.joined(spark).drop("amount", "merchant_country", "period")
+
+
 def pit_coverage(spark, sf):
     return tr.coverage(training(spark, sf)).withColumn(
         "coverage", F.try_divide("n_matched", "n_rows")
@@ -927,6 +943,7 @@ QUERIES: dict[str, Query] = {
     "known_user_entities": known_user_entities,
     "pit_join": pit,
     "pit_join_any_age": pit_any_age,
+    "pit_join_by_period": pit_by_period,
     "pit_coverage": pit_coverage,
     "training_set": training_set,
     "feature_matrix": feature_matrix_of_all,

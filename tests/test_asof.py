@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import random
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.functions.vector import feature_matrix
 from riskloom.operators.asof import pit_join
@@ -136,3 +137,35 @@ def test_label_join_drops_unlabelled(spark):
     labels = spark.createDataFrame([("t1", False, at(9)), ("t2", True, at(9))], LABEL)
     got = {r.transaction_id: r.fraud for r in labeled_transactions(txns, labels).collect()}
     assert got == {"t1": 0, "t2": 1}
+
+
+def test_runs_by_period_read_one_period_and_one_snapshot(spark, tmp_path):
+    from riskloom.operators.snapshots import PeriodicJoin
+    from riskloom.schemas import FeatureView
+
+    rng = random.Random(2)
+    day = datetime(2024, 1, 1)
+    fields = {"x": "bigint"}
+    features = spark.createDataFrame(
+        [(f"u{rng.randrange(6)}", day + timedelta(minutes=n * 7), n) for n in range(1000)] + [(None, day, 1), ("u1", None, 2)],
+        "user_id string, window_end timestamp, x bigint").withColumn("event_date", F.to_date("window_end"))
+    entities = spark.createDataFrame(
+        [(f"u{rng.randrange(8)}", day + timedelta(minutes=rng.randrange(7200)), n) for n in range(500)],
+        "user_id string, event_timestamp timestamp, id int").withColumn("event_date", F.to_date("event_timestamp"))
+    features.write.partitionBy("event_date").parquet(str(tmp_path / "f"))
+    entities.write.partitionBy("event_date").parquet(str(tmp_path / "e"))
+    features, entities = (spark.read.parquet(str(tmp_path / x)) for x in "fe")
+    for ttl in (0, 3600):
+        view = FeatureView("v", "user_id", "window_end", fields, ttl=ttl)
+        runs = PeriodicJoin(str(tmp_path / f"p{ttl}"), view)
+        first = int(day.replace(tzinfo=timezone.utc).timestamp()) // 86_400
+        for number in [first, first, *range(first + 1, first + 6)]:  # the first one twice
+            runs.run(entities, features, number)
+        whole = pit_join(entities, features, view, keep_timestamp=True)
+        columns = [c for c in whole.columns if c != "event_date"]
+        assert sorted(map(str, runs.joined(spark).select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+    assert spark.read.parquet(f"{runs.path}/snapshots/period={first + 3}").count() == 6
+    plan = runs._inside(features, "window_end", first + 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    read = runs._inside(features, "window_end", first + 2).select(F.input_file_name()).distinct().collect()
+    assert {r[0].split("event_date=")[1][:10] for r in read} == {"2024-01-03"}
