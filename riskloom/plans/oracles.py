@@ -340,6 +340,34 @@ def _shapley(feature: int) -> str:
     return " + ".join(terms)
 
 
+def _node_rows(tree: int, node, path: str) -> list[str]:
+    """Sums of gradients and hessians of every split of a tree, signed as its gain adds them."""
+    if len(node) == 2:
+        return []
+    feature, threshold, _, left, right = node
+    side = f"{_FEATURES[feature]} <= {threshold!r}::DOUBLE"
+    sides = (f"{path} AND {side}", f"{path} AND NOT ({side})")
+    rows = [
+        f"SELECT '{_FEATURES[feature]}' AS feature, {sign} AS sign, sum(p{tree} - fraud) AS g, sum(p{tree} * (1 - p{tree})) AS h "
+        f"FROM margins WHERE {where}" for sign, where in ((-1, path), (1, sides[0]), (1, sides[1]))]
+    return rows + _node_rows(tree, left, sides[0]) + _node_rows(tree, right, sides[1])
+
+
+def _gains() -> str:
+    margins, sums = ["0.0::DOUBLE"], []
+    for weight, root in TREES:
+        margins.append(f"{margins[-1]} + {weight!r}::DOUBLE * ({_tree_given(root, tuple(range(len(_FEATURES))))})")
+    chances = ", ".join(f"1 / (1 + exp(-({m}))) AS p{i}" for i, m in enumerate(margins[:-1]))
+    for i, (_, root) in enumerate(TREES):
+        sums += _node_rows(i, root, "TRUE")
+    return f"""WITH margins AS MATERIALIZED (SELECT *, {chances} FROM vectors),
+        sums AS ({' UNION ALL '.join(sums)}),
+        found AS (SELECT feature, sum(CASE WHEN h > 0 THEN sign * g * g / h / 2 ELSE 0 END) AS gain,
+                         count(*) FILTER (sign < 0) AS n_splits FROM sums GROUP BY feature)
+        SELECT name AS feature, coalesce(n_splits, 0) AS n_splits, CAST(round(coalesce(gain, 0) * 1e6) AS BIGINT) AS gain
+        FROM (SELECT unnest({_FEATURES!r}) AS name) LEFT JOIN found ON name = feature"""
+
+
 _VALID_WINDOWS = f"SELECT {WINDOW} FROM windows"
 
 SELECTS = {
@@ -400,6 +428,21 @@ SELECTS = {
     "error_counts": f"""SELECT split_part(message, ':', 1) AS error_type, count(*) AS n
         FROM (SELECT unnest(string_split({_TXN_ERRORS}, '; ')) AS message FROM dirty)
         WHERE message <> '' GROUP BY 1""",
+    "fail_fast_errors": f"""SELECT split_part(message, ':', 1) || ': ' || count(*) || ' rows' AS error
+        FROM (SELECT unnest(string_split({_TXN_ERRORS}, '; ')) AS message FROM dirty)
+        WHERE message <> '' GROUP BY split_part(message, ':', 1)""",
+    "quarantine_fallback": f"SELECT 'transaction_flags' AS kind, transaction_id, errors FROM ({_BAD_FLAGS}) WHERE errors <> ''",
+    "layer_counts": f"""WITH valid AS (SELECT * FROM (SELECT *, {_TXN_ERRORS} AS errors FROM dirty) WHERE errors = ''),
+        timed AS (SELECT * FROM valid WHERE event_time IS NOT NULL),
+        mark AS (SELECT max(event_time) - INTERVAL 10 MINUTE AS upto FROM valid)
+        SELECT 'bronze' AS layer, count(*) AS n FROM dirty
+        UNION ALL SELECT 'silver', count(*) FROM (
+          SELECT DISTINCT user_id, date_trunc('minute', event_time) + (5 - o) * INTERVAL 1 MINUTE AS window_end
+          FROM timed, range(0, 5) r(o)), mark WHERE window_end <= upto
+        UNION ALL SELECT 'labels', count(*) FROM labels
+        UNION ALL SELECT 'user_features', count(DISTINCT user_id) FROM timed
+        UNION ALL SELECT 'flags', count(*) FROM valid
+        UNION ALL SELECT 'rejected', count(*) FROM (SELECT {_TXN_ERRORS} AS errors FROM dirty) WHERE errors <> ''""",
     "labels_first_seen": f"SELECT transaction_id, is_fraud, {t('label_time')} FROM first_labels",
     "labeled_transactions": f"""SELECT transaction_id, user_id, amount, merchant_country,
         {t('event_timestamp')}, fraud FROM entities""",
@@ -535,6 +578,7 @@ SELECTS = {
         TRUE AS agrees""",
     "model_scores_stream": f"""SELECT event_id, user_id, features_found, {NUMBERS}, is_foreign, is_high_amount,
         is_suspicious, TRUE AS band_agrees FROM request_vectors_any""",
+    "gain_importances_fixed": _gains(),
     "shapley_adds_up": f"""SELECT transaction_id, fraud, 7 AS n_values, TRUE AS adds_up, TRUE AS gives_probability
         FROM {_TEST_ROWS}""",
     "shapley_fixed_trees": "SELECT transaction_id, " + ", ".join(

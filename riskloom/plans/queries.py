@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +21,7 @@ from riskloom.operators import explain as ex
 from riskloom.operators import model as ml
 from riskloom.operators import monitoring as mon
 from riskloom.operators import online as on
-from riskloom.operators import shapley
+from riskloom.operators import gains, shapley
 from riskloom.operators import training as tr
 from riskloom.operators import validation as val
 from riskloom.operators.asof import pit_join
@@ -33,7 +34,7 @@ from riskloom.operators.windows import (
 )
 from riskloom.schemas import FEATURE_ORDER, SLIDING, USER_VIEW, WINDOW_FEATURES, FeatureView
 from riskloom.plans.fixed import SHAPLEY_UNIT, TREES
-from riskloom.session import configure, work_dir
+from riskloom.session import configure, work_dir, write_file
 from riskloom.sources import offline, tables
 from riskloom.sources.messages import parse_transactions
 from riskloom.streaming.keyed import keyed_feature_table
@@ -355,6 +356,23 @@ def bronze_replay(spark, sf):
     return windowed_features(offline.read_bronze(spark, layers.bronze), cents=True)
 
 
+def layer_counts(spark, sf):
+    """Rows of every layer after all queries ran over a faulty feed and its labels, to the end."""
+    layers = _layers(spark, "all-layers")
+    feed, good = tables.dirty_transactions(txn_stream(spark, sf)), txn_stream(spark, sf)
+    wait_for_all(layers.start_all(feed, tables.labels(good).withColumn(
+        "label_timestamp", tables.iso_text(F.col("label_time")))))
+    held = {
+        "bronze": offline.read_bronze(spark, layers.bronze), "silver": offline.read_silver(spark, layers.silver),
+        "labels": offline.read_labels(spark, layers.labels),
+        "user_features": user_feature_table(f"{layers.online}/user_features").merged(spark),
+        "flags": flag_table(f"{layers.online}/transaction_flags").merged(spark),
+        "rejected": read_quarantine(spark, layers.quarantine).where("kind = 'transaction'"),
+    }
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n") for name, rows in held.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def labels_stream(spark, sf):
     layers = _layers(spark, "labels")
     stream = tables.labels(txn_stream(spark, sf)).withColumn(
@@ -449,6 +467,28 @@ def quarantine_counts(spark, sf):
     return count_quarantined(_quarantined(spark, sf))
 
 
+def fail_fast_errors(spark, sf):
+    """What the fail-fast mode raises on faulty transactions; valid ones pass."""
+    rows = dirty(spark, sf)
+    val.require_valid(val.valid_rows(rows, "transaction"), "transaction")
+    try:
+        val.require_valid(rows, "transaction")
+    except val.ValidationError as raised:
+        return spark.createDataFrame([(e,) for e in raised.errors], "error string")
+    raise AssertionError("faulty rows passed")
+
+
+def quarantine_fallback(spark, sf):
+    """Invalid rows where the first place can't be written: a file lies there."""
+    root = work_dir(configure(spark), "fallback")
+    write_file(spark, f"{root}/first", b"in the way")
+    bad = val.invalid_rows(flag_rows(dirty(spark, sf)), "transaction_flags")
+    if not write_quarantine(bad, f"{root}/first", "transaction_flags", 0, f"{root}/second"):
+        raise RuntimeError("quarantine could not be written")
+    return read_quarantine(spark, f"{root}/second").select(
+        "kind", F.get_json_object("record", "$.transaction_id").alias("transaction_id"), F.array_join("errors", "; ").alias("errors"))
+
+
 def error_counts(spark, sf):
     return val.error_counts(val.with_errors(dirty(spark, sf), "transaction"))
 
@@ -856,6 +896,14 @@ def shapley_fixed_trees(spark, sf):
         for name, part in ex.exact_contributions().items()])
 
 
+def gain_importances_fixed(spark, sf):
+    """Second-order gains of the splits of fixed trees over the training set, in millionths."""
+    trees = [(w, _fixed_tree(root)) for w, root in TREES]
+    rows = stored(with_feature_vector(training(spark, sf)).select(*FEATURE_ORDER, "fraud"), "training")
+    return gains.gain_importances(rows, trees).select(
+        "feature", "n_splits", F.round(F.col("gain") * 1e6).cast("bigint").alias("gain"))
+
+
 def gbt_importances(spark, sf):
     model, _ = _fitted(spark, sf)
     return ml.importance_table(spark, model)
@@ -927,6 +975,7 @@ QUERIES: dict[str, Query] = {
     "bronze_exact": bronze_exact,
     "training_set_from_layers": training_set_from_layers,
     "labels_stream": labels_stream,
+    "layer_counts": layer_counts,
     "rejected_stream": rejected_stream,
     "scores_stream": scores_stream,
     "model_scores_stream": model_scores_stream,
@@ -937,6 +986,8 @@ QUERIES: dict[str, Query] = {
     "quarantine_rows": quarantine_rows,
     "quarantine_counts": quarantine_counts,
     "error_counts": error_counts,
+    "fail_fast_errors": fail_fast_errors,
+    "quarantine_fallback": quarantine_fallback,
     "labels_first_seen": labels_first_seen,
     "labeled_transactions": entities,
     "cold_start_users": cold_start_users,
@@ -987,6 +1038,7 @@ QUERIES: dict[str, Query] = {
     "score_with_model": score_with_model,
     "gbt_test_rows": gbt_test_rows,
     "gbt_metrics_agree": gbt_metrics_agree,
+    "gain_importances_fixed": gain_importances_fixed,
     "shapley_adds_up": shapley_adds_up,
     "shapley_fixed_trees": shapley_fixed_trees,
 }

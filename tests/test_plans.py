@@ -20,11 +20,12 @@ from riskloom.schemas import FeatureView
 from riskloom.streaming.online import user_feature_table
 
 STREAMS = {n for n in queries.QUERIES if n.endswith(("_stream", "_multibatch", "_layers"))} | {
-    "bronze_replay", "bronze_exact", "materialize_incremental", "pit_join_by_period", "windows_with_state", "late_drops",
+    "bronze_replay", "bronze_exact", "materialize_incremental", "pit_join_by_period", "layer_counts",
+    "quarantine_fallback", "fail_fast_errors", "windows_with_state", "late_drops",
     "quarantine_observed"}
 MODELS = queries.MODEL_QUERIES | {"score_with_model", "gbt_test_rows", "gbt_metrics_agree"}
 # Exact Shapley values are numpy batches.
-MODELS |= {"shapley_adds_up", "shapley_fixed_trees"}
+MODELS |= {"shapley_adds_up", "shapley_fixed_trees", "gain_importances_fixed"}
 
 
 def plan(df):
