@@ -8,7 +8,8 @@ occurrences. These are the edges of the lattice; sorted by position they are
 relaxed: of all neighbouring symbols whose union is an edge, the one with the best
 score is joined, leftmost first, until none is left. This is what the byte-pair
 models of the library do (their result isn't the path of the greatest sum), so the
-ids equal the library's. Characters without a piece become byte pieces.
+ids equal the library's. Models of another kind are refused. Characters without a
+piece become byte pieces.
 
 Null and empty texts have no ids and decode to an empty text. U+2581 stands for a
 space in these models, so a text that contains it decodes to a space there. Rows
@@ -42,12 +43,50 @@ LONG = 200
 _NONE = np.int64(1) << 30
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a message's fields, in the wire format of protocol buffers."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        tag = varint()
+        number, kind = tag >> 3, tag & 7
+        if kind == 0:
+            yield number, varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            yield number, message[at:at + size]
+            at += size
+
+
+def model_kind(content: bytes) -> str:
+    """How a SentencePiece model encodes, as its file says."""
+    # Fixed values of the format: field 2 is the trainer's settings, whose field 3 is the kind.
+    kinds = {1: "unigram", 2: "bpe", 3: "word", 4: "char"}
+    spec = b"".join(v for n, v in _fields(content) if n == 2 and isinstance(v, bytes))
+    return kinds.get(next((v for n, v in _fields(spec) if n == 3), 1), "unknown")
+
+
 class Model:
     """Pieces, scores and kinds of a SentencePiece byte-pair model."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        with open(path, "rb") as file:
+            kind = model_kind(file.read())
+        if kind != "bpe":
+            raise ValueError(f"only byte-pair models are supported, not {kind}: {path}")
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         texts = [sp.id_to_piece(i) for i in range(n)]
@@ -129,7 +168,9 @@ class _Edges:
         count = np.maximum(high - low, 0)
         at = np.arange(count.sum())
         at -= np.repeat(np.cumsum(count) - count - low, count)
-        key = order[at] * 64
+        # Places and lengths in one number, whatever the longest piece is.
+        self.width = model.width + 1
+        key = order[at] * self.width
         del at
         key += np.repeat(model.lengths, count)
         by_place = np.argsort(key)
@@ -142,7 +183,7 @@ class _Edges:
         size = end - start
         if not len(self.keys):
             return np.full(len(start), -1, np.int64)
-        key = np.where(size < 64, start * 64 + size, -1)
+        key = np.where(size < self.width, start * self.width + size, -1)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.piece_ids[at], -1)
 

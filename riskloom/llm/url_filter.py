@@ -7,8 +7,11 @@ maps the file into memory, hashes every host suffix with every path prefix of a
 length that some rule has, finds the keys by one binary search over the array for
 a whole batch, and compares the stored string so that a collision can't match.
 
-Rules are few against urls; the file may have at most ``MAX_BYTES`` and Spark
-brings it to each executor once (``addFile``).
+Rules given as a mapping make one file of at most ``MAX_BYTES``. A list of any size is a
+table: Spark hashes its rows, deals them by the leading bits of their digests and sorts
+them, which gives files of bounded size; the driver passes them on one at a time. Spark
+brings files to each executor once (``addFile``); a batch asks each file for the digests
+that lie in it.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and
 is allowed. Rows that repeat are judged once each. Of fitting rules of equal
@@ -17,9 +20,10 @@ length the one with the longer host decides. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import stored
 from riskloom.session import work_dir
 
 ALLOW, BLOCK = "allow", "block"
@@ -96,7 +101,7 @@ class DigestIndex:
         return out
 
 
-def judge_batch(index: DigestIndex, hosts: list[str], paths: list[str]) -> tuple[list, list]:
+def judge_batch(index: DigestIndex | ShardedIndex, hosts: list[str], paths: list[str]) -> tuple[list, list]:
     """The deciding rule (or None) and the verdict of each url."""
     owner, probes, word_owner, words = [], [], [], []
     for i, (host, path) in enumerate(zip(hosts, paths)):
@@ -124,19 +129,80 @@ def judge_batch(index: DigestIndex, hosts: list[str], paths: list[str]) -> tuple
     return rules, verdicts
 
 
-_INDEXES: dict[str, DigestIndex] = {}
+class ShardedIndex:
+    """Files of a list by the leading bits of digests, asked as one."""
 
+    def __init__(self, shards: Mapping[int, DigestIndex], bits: int):
+        self.shards, self.bits = shards, bits
+        self.path_lengths = sorted(set().union(*(s.path_lengths for s in shards.values())))
+        self.longest_host = max((s.longest_host for s in shards.values()), default=0)
+        self.longest_word = max((s.longest_word for s in shards.values()), default=0)
 
-def _index(name: str) -> DigestIndex:
-    """The file of this name, mapped once in each worker."""
-    if name not in _INDEXES:
-        _INDEXES[name] = DigestIndex(SparkFiles.get(name))
-    return _INDEXES[name]
+    def find(self, strings: list[str]) -> list[str | None]:
+        out: list[str | None] = [None] * len(strings)
+        places: dict[int, list[int]] = {}
+        for i, text in enumerate(strings):
+            places.setdefault(shard_of(text, self.bits), []).append(i)
+        for number, own in places.items():
+            if number in self.shards:
+                for i, value in zip(own, self.shards[number].find([strings[i] for i in own])):
+                    out[i] = value
+        return out
+
+
+def shard_of(text: str, bits: int) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> (64 - bits) if bits else 0
+
+
+_INDEXES: dict[tuple, ShardedIndex] = {}
 
 
-def publish(spark: SparkSession, entries: Mapping[str, str]) -> str:
-    """Write the index to the shared folder and have executors fetch it; its file name."""
-    data = pack_index(entries)
+def _index(names: tuple[tuple[int, str], ...], bits: int) -> ShardedIndex:
+    """The files of these names, mapped once in each worker."""
+    if names not in _INDEXES:
+        _INDEXES[names] = ShardedIndex({n: DigestIndex(SparkFiles.get(name)) for n, name in names}, bits)
+    return _INDEXES[names]
+
+
+def check_rules(rules: DataFrame) -> None:
+    """Raise if a row of the table is no rule."""
+    host, key = F.substring_index("rule", "/", 1), F.col("rule")
+    good = (
+        key.contains("/") & (F.length(host) > 0) & ~host.contains("=") & ~key.contains("\t") & F.col("verdict").isin(ALLOW, BLOCK))
+    wrong = rules.where(~F.coalesce(good, F.lit(False))).select("rule", "verdict").limit(1).collect()
+    if wrong:
+        raise ValueError(f"not a rule: {wrong[0]['rule']!r}: {wrong[0]['verdict']!r}")
+
+
+def publish_table(rules: DataFrame) -> tuple[tuple[tuple[int, str], ...], int]:
+    """Shards (number, file name) of a table of rules and verdicts, and the bits that deal them.
+
+    Of rules that repeat the greatest verdict counts.
+    """
+    spark = rules.sparkSession
+    rows = stored(rules.groupBy("rule").agg(F.max("verdict").alias("verdict")), "url-rule-table")
+    size = rows.agg(F.sum(F.octet_length("rule") + F.octet_length("verdict") + 17)).first()[0] or 0
+    # Half full on average, so that no shard outgrows its limit.
+    bits = max(0, math.ceil(math.log2(max(1, 2 * size / MAX_BYTES))))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [shard_of(t, bits) for t in batch["rule"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch["rule"], batch["verdict"], pa.array(numbers, pa.int64())], ["rule", "verdict", "shard"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        data = pack_index(dict(zip(table["rule"].to_pylist(), table["verdict"].to_pylist())))
+        return pa.table({"shard": table["shard"][:1], "data": pa.array([data], pa.binary())})
+
+    shards = rows.mapInArrow(place, "rule string, verdict string, shard bigint").groupBy("shard").applyInArrow(
+        pack, "shard bigint, data binary")
+    # One file at a time is with the driver.
+    return tuple((r["shard"], publish_file(spark, bytes(r["data"]))) for r in stored(shards, "url-shards").toLocalIterator()), bits
+
+
+def publish_file(spark: SparkSession, data: bytes) -> str:
+    """Write an index to the shared folder and have executors fetch it; its file name."""
     name = f"url-rules-{xxhash.xxh3_128_hexdigest(data)}.idx"
     path = f"{work_dir(spark, 'url-rules')}/{name}"
     jvm = spark.sparkContext._jvm
@@ -151,16 +217,27 @@ def publish(spark: SparkSession, entries: Mapping[str, str]) -> str:
     return name
 
 
-def filter_urls(pages: DataFrame, rules: Mapping[str, str], blocked_words: tuple[str, ...] = BLOCKED_WORDS) -> DataFrame:
+def filter_urls(
+    pages: DataFrame, rules: Mapping[str, str] | DataFrame, blocked_words: tuple[str, ...] = BLOCKED_WORDS
+) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
-    ``rules`` maps host and path, such as ``example.org/en/``, to a verdict.
+    ``rules`` maps host and path, such as ``example.org/en/``, to a verdict, or is a table of
+    rule and verdict for lists of any size.
     """
-    for rule, verdict in rules.items():
-        host, slash, _ = rule.partition("/")
-        if not slash or not host or "=" in host or "\t" in rule or verdict not in (ALLOW, BLOCK):
-            raise ValueError(f"not a rule: {rule!r}: {verdict!r}")
-    name = publish(pages.sparkSession, {**rules, **{_WORD_KEY + w: BLOCK for w in blocked_words}})
+    words = {_WORD_KEY + w: BLOCK for w in blocked_words}
+    if isinstance(rules, DataFrame):
+        check_rules(rules)
+        table = rules.select(F.col("rule").cast("string"), F.col("verdict").cast("string"))
+        if words:
+            table = table.unionByName(pages.sparkSession.createDataFrame(list(words.items()), "rule string, verdict string"))
+        names, bits = publish_table(table)
+    else:
+        for rule, verdict in rules.items():
+            host, slash, _ = rule.partition("/")
+            if not slash or not host or "=" in host or "\t" in rule or verdict not in (ALLOW, BLOCK):
+                raise ValueError(f"not a rule: {rule!r}: {verdict!r}")
+        names, bits = ((0, publish_file(pages.sparkSession, pack_index({**rules, **words}))),), 0
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     split = pages.select(
@@ -171,7 +248,7 @@ def filter_urls(pages: DataFrame, rules: Mapping[str, str], blocked_words: tuple
 
     @F.arrow_udf("rule string, verdict string")
     def run(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        rules, verdicts = judge_batch(_index(name), hosts.to_pylist(), paths.to_pylist())
+        rules, verdicts = judge_batch(_index(names, bits), hosts.to_pylist(), paths.to_pylist())
         return pa.StructArray.from_arrays([pa.array(rules, pa.string()), pa.array(verdicts, pa.string())],
                                           ["rule", "verdict"])
 

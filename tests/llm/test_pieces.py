@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,3 +83,30 @@ def test_remembered_parts_give_the_same(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 2)
     check(["one two three", "three two one four"])
     check(["four four one"])
+
+
+def test_pieces_of_any_length_are_found():
+    words = ["a" * 63, "a" * 64, "a" * 65, "b" * 130, "ab"]
+    model = pieces.Model.__new__(pieces.Model)
+    model.ids, model.lengths = np.arange(len(words)), np.array([len(w) for w in words])
+    model.width = 130
+    model.codes = np.zeros((len(words), model.width), np.int64)
+    for row, word in enumerate(words):
+        model.codes[row, :len(word)] = [ord(c) + 1 for c in word]
+    text = "a" * 70 + "b" * 140
+    edges = pieces._Edges(model, np.array([ord(c) + 1 for c in text], np.int64))
+    for size in (2, 63, 64, 65, 66, 129, 130, 131):
+        start = np.arange(len(text) - size + 1)
+        want = [words.index(text[i:i + size]) if text[i:i + size] in words else -1 for i in start]
+        assert edges.find(start, start + size).tolist() == want
+
+
+def test_other_kinds_of_models_are_refused(tmp_path):
+    content = open(FILE, "rb").read()
+    assert pieces.model_kind(content) == "bpe"
+    # A file whose settings name another kind, or none (the format's default).
+    for spec, kind in ((b"\x18\x01", "unigram"), (b"", "unigram"), (b"\x18\x04", "char"), (b"\x0a\x01x\x18\x03", "word")):
+        path = tmp_path / f"{kind}{len(spec)}.model"
+        path.write_bytes(b"\x12" + bytes([len(spec)]) + spec)
+        with pytest.raises(ValueError, match=kind):
+            pieces.Model(str(path))

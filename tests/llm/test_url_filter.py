@@ -95,3 +95,23 @@ def test_long_urls_take_little_memory(spark):
     uf.judge_batch(index, [dots], ["/en/1"])
     assert tracemalloc.get_traced_memory()[1] < 20 << 20
     tracemalloc.stop()
+
+
+def test_lists_of_any_size_are_tables(spark, monkeypatch):
+    rules = {f"h{i}.org/p{i % 7}": "allow" if i % 3 else "block" for i in range(2000)}
+    table = spark.createDataFrame([*rules.items(), ("h5.org/p5", "allow")], "rule string, verdict string").repartition(4)
+    pages = spark.createDataFrame(
+        [(i, f"http://www.h{i}.org/p{i % 5}/x") for i in range(0, 2100, 3)] + [(9000 + i, u) for i, u in enumerate(URLS)],
+        "page_id long, url string").repartition(3)
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    one = sorted(map(tuple, uf.filter_urls(pages, table).collect()))
+    # A list far beyond the size of one file.
+    monkeypatch.setattr(uf, "MAX_BYTES", 6_000)
+    names, bits = uf.publish_table(table)
+    assert bits >= 4 and len(names) > 8
+    assert sorted(map(tuple, uf.filter_urls(pages, table).collect())) == one
+    assert all(row[1:] == brute(urls[row[0]], rules) for row in one)
+    for bad in (("org", "allow"), ("/x", "block"), ("org/", "maybe"), (None, "allow"), ("a=b/", "block")):
+        with pytest.raises(ValueError):
+            uf.filter_urls(pages, spark.createDataFrame([bad], "rule string, verdict string"))
+    assert uf.filter_urls(pages, table.limit(0), ()).where("rule IS NOT NULL OR verdict <> 'allow'").count() == 0
