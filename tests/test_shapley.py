@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import explain, model, shapley
+from riskloom.operators import explain, gains, model, shapley
 from riskloom.operators.shapley import Node
 from riskloom.schemas import FEATURE_ORDER
 
@@ -121,3 +121,58 @@ def test_null_features_count_as_zero(spark, fitted):
     zero = df.limit(1).withColumn("avg_amount_5min", F.lit(0.0))
     assert shapley.with_shapley(row, known).first()["shapley"] == shapley.with_shapley(zero, known).first()["shapley"]
     assert shapley.with_shapley(df.limit(0), known).collect() == []
+
+
+# Gains ---------------------------------------------------------------------------------
+
+
+def brute_gains(trees, rows, labels):
+    """Gains by their definition, node by node over lists of rows."""
+    out = {f: [0, 0.0] for f in FEATURE_ORDER}
+    margins = [0.0] * len(rows)
+    for weight, root in trees:
+        chance = [1 / (1 + math.exp(-m)) for m in margins]
+
+        def fit(own):
+            g, h = sum(chance[i] - labels[i] for i in own), sum(chance[i] * (1 - chance[i]) for i in own)
+            return g * g / h / 2 if h else 0.0
+
+        def walk(node, own):
+            if node.left is None:
+                return
+            left = [i for i in own if rows[i][node.feature] <= node.threshold]
+            right = [i for i in own if not rows[i][node.feature] <= node.threshold]
+            found = out[FEATURE_ORDER[node.feature]]
+            found[0] += 1
+            found[1] += fit(left) + fit(right) - fit(own)
+            walk(node.left, left)
+            walk(node.right, right)
+
+        walk(root, range(len(rows)))
+        margins = [m + weight * result(root, r) for m, r in zip(margins, rows)]
+    return out
+
+
+def test_gains_equal_their_definition(spark):
+    rng = random.Random(11)
+    trees = [(rng.uniform(0.2, 1), tree(rng, 4)) for _ in range(5)]
+    rows = [[rng.choice([0.0, 0.4, 1.0, 1.7, 2.5, float("nan")]) for _ in range(N)] for _ in range(300)]
+    labels = [rng.randrange(2) for _ in rows]
+    df = spark.createDataFrame(
+        [(*r, y) for r, y in zip(rows, labels)] + [(*[0.0] * N, None)], ", ".join([*[f"{c} double" for c in FEATURE_ORDER], "fraud int"])).repartition(6)
+    want = brute_gains(trees, rows, labels)
+    got = gains.gain_importances(df, trees).collect()
+    assert [r["feature"] for r in got] == [f for f, _ in sorted(((r["feature"], r["gain"]) for r in got), key=lambda x: (x[1], x[0]))]
+    assert {r["feature"]: r["n_splits"] for r in got} == {f: n for f, (n, _) in want.items()}
+    assert all(abs(r["gain"] - want[r["feature"]][1]) < 1e-9 for r in got)
+    assert {r["gain"] for r in gains.gain_importances(df.limit(0), trees).collect()} == {0.0}
+    assert {r["n_splits"] for r in gains.gain_importances(df, []).collect()} == {0}
+
+
+def test_gains_of_a_trained_model_name_its_features(spark, fitted):
+    trained, df = fitted
+    path = shapley.work_dir(spark, "gain-model")
+    trained.stages[-1].write().overwrite().save(path)
+    trees = [(2 * w, root) for w, root in shapley.saved_trees(spark, path)]
+    best = gains.gain_importances(df, trees).collect()[-3:]
+    assert {"total_amount_5min", "is_foreign", "is_suspicious"} == {r["feature"] for r in best}
