@@ -49,17 +49,19 @@ MASK = "[secret]"
 DICTIONARY = 16_384
 AROUND = 512
 # A candidate is novel if it adds at least this many bytes a character.
-NOVELTY = 0.66
+NOVELTY = 0.65
 # --- fixed values: letters and signs of names, by how often they come -----------------
 LETTERS = {
     "e": 120, "t": 90, "a": 80, "o": 75, "i": 73, "n": 70, "s": 63, "r": 60, "h": 55, "l": 40, "d": 40, "c": 32,
     "u": 28, "m": 26, "f": 23, "p": 21, "g": 20, "w": 20, "y": 18, "b": 15, "v": 10, "k": 8, "x": 3, "j": 2, "q": 2, "z": 1,
-    "0": 4, "1": 4, "2": 4, "3": 4, "4": 4, "5": 4, "6": 4, "7": 4, "8": 4, "9": 4,
-    " ": 20, "-": 20, "_": 20, "/": 20, ".": 20, "=": 2, "+": 1,
+    "0": 6, "1": 6, "2": 6, "3": 6, "4": 6, "5": 6, "6": 6, "7": 6, "8": 6, "9": 6,
+    " ": 20, "-": 30, "_": 30, "/": 30, ".": 30, "=": 2, "+": 1,
 }
 # --- end of fixed values ---------------------------------------------------------------
 # Letters that lead a block, and how many shuffles of them are averaged over.
-LEAD, SHUFFLES = 20_000, 3
+LEAD, SHUFFLES = 20_000, 5
+# Letters between two marks.
+BETWEEN, MARK = 200, "\n" * 12
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -144,13 +146,18 @@ def without(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> st
 
 @lru_cache(1)
 def _leads() -> list[bytes]:
-    """Shuffles of letters in the proportions of names."""
+    """Shuffles of letters in the proportions of names.
+
+    The compressor looks for repetitions in ever larger steps while it finds none, and
+    would run past those behind the letters; a mark that repeats brings it back.
+    """
     total = sum(LETTERS.values())
     pool = [c for c, n in LETTERS.items() for _ in range(max(1, round(LEAD * n / total)))]
     out = []
     for seed in range(SHUFFLES):
         random.Random(seed).shuffle(pool)
-        out.append("".join(pool).encode())
+        text = "".join(pool)
+        out.append("".join(text[i:i + BETWEEN] + MARK for i in range(0, len(text), BETWEEN)).encode())
     return out
 
 

@@ -98,11 +98,12 @@ def test_a_rule_that_is_often_wrong_is_outvoted(spark):
         "a int, b int, c int, d int, n long")
     got = rules.estimate(patterns)
     assert got.on_good["d"] < 0.75 < 0.95 < min(got.on_good[n] for n in "abc")
-    rows = [(1, 1, 1, -1), (-1, -1, 1, 1), (1, 1, 0, -1), (-1, -1, 1, -1)]
+    rows = [(1, 1, 1, -1), (-1, -1, 1, 1), (1, 1, 0, -1), (-1, -1, 1, -1), (1, -1, 1, 1)]
     learned = [p >= rules.BAR for p in posteriors(spark, got, names, rows)]
     believed = [p >= rules.BAR for p in posteriors(spark, rules.prior(names), names, rows)]
-    # One bad vote of d alone rejects nothing; two of good rules reject, which the belief alone would not.
-    assert learned == [True, False, True, False] and believed != learned
+    # A bad vote of d alone rejects nothing, one of a rule that is hardly ever wrong does;
+    # by the belief alone it would not.
+    assert learned == [True, False, True, False, False] and believed == [True, False, True, False, True]
 
 
 def test_a_rule_no_better_than_chance_counts_nothing():
