@@ -25,7 +25,8 @@ HEADLINE = [
     "top3_contributors", "reasons", "amount_histogram", "histogram_quantile", "prediction_rate_5m",
     "velocity_60s", "windowed_append_stream", "trailing_update_stream",
     "pit_join_any_age", "exact_trailing_5m", "bronze_replay", "flags_stream", "scores_stream",
-    "training_set_from_layers",
+    "training_set_from_layers", "shapley_fixed_trees", "gain_importances_fixed", "counter_rate_5m",
+    "sketched_quantiles",
 ]
 RUNS = 3
 
