@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import minhash, packing, quality, rules, secret_scan
-from riskloom.llm.common import prepare, stored, table, whole_text
+from riskloom.llm.common import prepare, scratch, stored, table, whole_text
 from riskloom.llm.queries import tokenizer
 
 
@@ -64,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written and read again."""
+    """All stages over ``documents``; what a stage returns is written and read again.
+
+    What a stage itself has stored on the way goes when its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", leave=True)
     return STAGES[-1][1](spark, docs, sf_dir)
