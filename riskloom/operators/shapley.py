@@ -168,7 +168,7 @@ def saved_trees(spark: SparkSession, path: str) -> list[tuple[float, Node]]:
     weights = {r[0]: r[2] for r in spark.read.parquet(f"{path}/treesMetadata").collect()}
     nodes: dict[int, dict[int, object]] = defaultdict(dict)
     table = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild", "nodeData.rightChild",
+        "treeID", "nodeData.id", "nodeData.prediction", F.col("nodeData.impurityStats")[0].alias("weight"), "nodeData.leftChild", "nodeData.rightChild",
         "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories")
     for r in table.collect():
         nodes[r["treeID"]][r["id"]] = r
@@ -176,11 +176,11 @@ def saved_trees(spark: SparkSession, path: str) -> list[tuple[float, Node]]:
     def node(of: dict, number: int) -> Node:
         r = of[number]
         if r["leftChild"] < 0:
-            return Node(float(r["rawCount"]), r["prediction"])
+            return Node(float(r["weight"]), r["prediction"])
         if r["numCategories"] != -1:
             raise ValueError("a split by categories")
         return Node(
-            float(r["rawCount"]), 0.0, r["featureIndex"], r["leftCategoriesOrThreshold"][0],
+            float(r["weight"]), 0.0, r["featureIndex"], r["leftCategoriesOrThreshold"][0],
             node(of, r["leftChild"]), node(of, r["rightChild"]))
 
     return [(weights[t], node(nodes[t], 0)) for t in sorted(nodes)]
