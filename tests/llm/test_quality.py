@@ -84,3 +84,19 @@ def test_scores_equal_the_model_applied_by_hand(spark, small_dir):
     want = dict(zip(texts, model.score(quality.features_of(list(texts.values())))))
     got = {r["doc_id"]: r["score"] for r in quality.classify(docs, spark.read.parquet(f"{small_dir}/labels.parquet")).collect()}
     assert set(got) == set(want) and max(abs(got[d] - want[d]) for d in want) < 1e-6
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_PER_CLASS", 5, raising=False)
+    monkeypatch.setattr(quality, "FEW_ROWS", 20)
+    texts = [(i, f"a fairly good text number {i} with words" if i % 3 else f"bad {i} !!! $$$ {i % 11} ##" + " x" * (i % 7)) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0) if i % 10 else i % 2) for i, _ in texts], "doc_id long, quality int")
+    learned = [(t, int(i % 3 > 0) if i % 10 else i % 2) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, *a: seen.append((rows.n_up, rows.n_down)) or fit(rows, 700))
+    model = quality.train(docs, labels)
+    good = np.array([g for _, g in learned], bool)
+    assert seen == [(good.sum(), (~good).sum())]
+    want = fit(quality.LocalRows(quality.features_of([t for t, _ in learned]), good, np.ones(len(good))), 700)
+    assert np.array_equal(model.weights, want.weights) and abs(model.bar - want.bar) < 1e-8 and abs(model.slope - want.slope) < 1e-8
