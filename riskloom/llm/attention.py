@@ -1,7 +1,7 @@
 """Language-model scores: word counts, and a causal self-attention model.
 
 Base score: every word's count over all training texts, smoothed. Words are held
-as 64-bit hashes. Frequent words (at most ``HEAD``) go to every task; the rest of
+as 64-bit hashes, made once. Frequent words (at most ``HEAD``) go to every task; the rest of
 a document's words meet their counts in a join, so nothing of the vocabulary's
 size passes through the driver or one task.
 
@@ -9,7 +9,9 @@ Model: one layer of causal self-attention over subwords. It predicts a class of
 subwords; within a class the counts over all training texts decide. Classes come
 from what stands before each type, and the output starts from how often each class
 follows each type, both counted over all training tokens. What attention adds to
-that is trained in numpy on a bounded sample of windows. A text is cut into windows of ``CONTEXT`` subwords and the ``STEP`` after
+that is trained on every window of every training text: in each of a few rounds a task
+goes step by step through its share of the round's windows, and the rounds go on from the
+mean of what the tasks found, weighted by windows. A text is cut into windows of ``CONTEXT`` subwords and the ``STEP`` after
 them: the context is only looked back on, so each subword is scored once, with at
 least ``CONTEXT`` before it where the text has them. Windows go through in batches
 with one mask.
@@ -48,17 +50,28 @@ WIDTH = 16
 CLASSES = 64
 TYPES = 4096
 RARE = 64
-# The model is trained on windows of about this many texts, so many of each.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 3_000, 3
-CHUNK = 256
+# Windows of a step of the training, and rounds after which tasks share what they learned.
+BATCH, ROUNDS = 96, 8
+# A corpus of fewer windows than this product is gone over several times, in one round.
+SAMPLE_TEXTS, SAMPLE_WINDOWS = 3_000, 8
+# Windows a task holds at once while it learns.
+HELD = 20_000
+CHUNK = 64
 BUCKETS = 128
 # Weight of a class's own share beside the counts after a type.
 PRIOR = 16.0
 # Subwords whose pairs are counted at once.
 PAIRS = 500_000
+RATE = 0.01
+SHAPES = {"E": (TYPES + 3, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH),
+          "r": (WIDTH, WIDTH), "U": (WIDTH, CLASSES), "b": (CLASSES,), "rel": (SPAN,)}
+# Sums of parameters over tasks are whole numbers, so that their order doesn't show.
+UNIT = 1 << 20
 _FAR = np.float32(-1e9)
 
 
+# Parameters after training, from those at the start, types of subwords, classes of types and the prior.
+Learn = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray | None], dict[str, np.ndarray]]
 # From types, columns, their number and whether to look back to counts of types by columns.
 Gather = Callable[[np.ndarray, np.ndarray, int, bool], np.ndarray]
 
@@ -163,12 +176,14 @@ def _classes(inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, seed:
     return out
 
 
-def train_attention(counts: np.ndarray, samples: list[np.ndarray], steps: int = 250, batch: int = 96,
-                    rate: float = 0.01, seed: int = 5, gather: Gather | None = None) -> Attention:
+def train_attention(counts: np.ndarray, samples: list[np.ndarray], steps: int = 250, batch: int = BATCH,
+                    rate: float = RATE, seed: int = 5, gather: Gather | None = None,
+                    learn: Learn | None = None) -> Attention:
     """Fit the model; ``counts`` by subword with the end last, ``samples`` rows of SPAN + 1 subwords.
 
     A sample is a window's inputs and the subword after them. ``gather`` counts pairs of
-    neighbours over all training tokens; without it only the samples tell of context.
+    neighbours over all training tokens; without it only the samples tell of context. ``learn``
+    trains on windows that are elsewhere; without it ``steps`` batches of samples are drawn.
     """
     end = len(counts) - 1
     # Frequent subwords are types of their own, the rest share some.
@@ -189,9 +204,7 @@ def train_attention(counts: np.ndarray, samples: list[np.ndarray], steps: int =
     within = np.log10(smooth / np.bincount(class_of, smooth, CLASSES)[class_of])
 
     random = np.random.default_rng(seed)
-    shapes = {"E": (TYPES + 3, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH),
-              "r": (WIDTH, WIDTH), "U": (WIDTH, CLASSES)}
-    p = {name: random.normal(0, 0.3, shape) for name, shape in shapes.items()}
+    p = {name: random.normal(0, 0.3, shape) for name, shape in SHAPES.items() if name not in ("b", "rel")}
     totals = np.bincount(class_of, counts, CLASSES) + 1
     p["b"] = np.log(totals / totals.sum())
     p["rel"] = np.zeros(SPAN)
@@ -199,16 +212,14 @@ def train_attention(counts: np.ndarray, samples: list[np.ndarray], steps: int =
     if gather:
         after, share = gather(type_of, class_of_type[type_of], CLASSES, False), totals / totals.sum()
         prior = np.log((after + PRIOR * share) / (after.sum(1, keepdims=True) + PRIOR)) - p["b"]
-    m, s = {n: np.zeros_like(a) for n, a in p.items()}, {n: np.zeros_like(a) for n, a in p.items()}
     back, hidden = _mask()
-    for step in range(1, steps + 1 if len(inputs) else 1):
-        pick = random.integers(0, len(inputs), batch)
-        xi, yi = inputs[pick], targets[pick]
-        g = _gradients(p, xi, yi, class_of_type, back, hidden, prior)
-        for name, value in g.items():
-            m[name] = 0.9 * m[name] + 0.1 * value
-            s[name] = 0.98 * s[name] + 0.02 * value**2
-            p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.98**step)) + 1e-8)
+    if learn:
+        p = learn(p, type_of, class_of_type, prior)
+    elif len(inputs):
+        adam = Adam(p, rate)
+        for _ in range(steps):
+            pick = random.integers(0, len(inputs), batch)
+            adam.step(_gradients(p, inputs[pick], targets[pick], class_of_type, back, hidden, prior))
     scale = 1 / math.sqrt(WIDTH)
     tables = {
         "Q": p["E"] @ p["q"] * scale, "K": p["E"] @ p["k"], "V": p["E"] @ p["v"], "R": p["E"] @ p["r"],
@@ -219,38 +230,92 @@ def train_attention(counts: np.ndarray, samples: list[np.ndarray], steps: int =
     return Attention(type_of, class_of, within, {n: a.astype(np.float32) for n, a in tables.items()})
 
 
+class Adam:
+    """Steps of gradient descent by the running moments of the gradients, in place."""
+
+    def __init__(self, p: dict[str, np.ndarray], rate: float) -> None:
+        self.p, self.rate, self.steps = p, rate, 0
+        self.m, self.s = ({n: np.zeros_like(a) for n, a in p.items()} for _ in range(2))
+
+    def step(self, gradients: dict[str, np.ndarray]) -> None:
+        self.steps += 1
+        first, second = 1 - 0.9**self.steps, 1 - 0.98**self.steps
+        for name, g in gradients.items():
+            m, s = self.m[name], self.s[name]
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.98
+            g = g * g
+            g *= 0.02
+            s += g
+            change = np.sqrt(s / second)
+            change += 1e-8
+            np.divide(m, change, out=change)
+            change *= self.rate / first
+            self.p[name] -= change
+
+
 def _gradients(p, x, y, class_of_type, back, hidden, prior=None) -> dict[str, np.ndarray]:
-    """Gradients of the mean log loss of a batch of windows; ``prior`` by type is fixed."""
-    scale = 1 / math.sqrt(WIDTH)
-    e = p["E"][x]
-    own = e[:, CONTEXT:]
-    q, k, v = own @ p["q"], e @ p["k"], e @ p["v"]
-    score = q @ k.transpose(0, 2, 1) * scale + p["rel"][back] + hidden
-    score += np.where(x == TYPES + 2, _FAR, 0)[:, None, :]
-    a = _softmax(score)
-    z = own @ p["r"] + a @ v
-    chance = _softmax(z @ p["U"] + p["b"] + (0 if prior is None else prior[x[:, CONTEXT:]]))
-    real = (y != TYPES + 2)[..., None]
-    wrong = chance.copy()
-    i, j = np.indices(y.shape)
-    wrong[i, j, class_of_type[y]] -= 1
-    wrong = wrong * real / max(1, real.sum())
-    dz = wrong @ p["U"].T
-    da = dz @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dz
-    de = dk @ p["k"].T + dv @ p["v"].T
-    de[:, CONTEXT:] += dq @ p["q"].T + dz @ p["r"].T
-    table = np.zeros_like(p["E"])
-    np.add.at(table, x, de)
-
-    def outer(left, right):
-        return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
+    """Gradients of the mean log loss of a batch of windows; ``prior`` by type is fixed.
 
+    Numbers have the kind of ``p``. Attention and chances stay unnormalised; their sums
+    are divided by where there are few columns.
+    """
+    kind, size = p["E"].dtype.type, len(x)
+    scale = kind(1 / math.sqrt(WIDTH))
+    e = p["E"].take(x, axis=0)
+    flat, own = e.reshape(-1, WIDTH), e[:, CONTEXT:].reshape(-1, WIDTH)
+
+    def rows(table):
+        return table.reshape(size, -1, WIDTH)
+
+    q, k, v, r = rows(own @ p["q"] * scale), rows(flat @ p["k"]), rows(flat @ p["v"]), own @ p["r"]
+    bias = p["rel"].take(back) + hidden.astype(kind)
+    a = q @ k.transpose(0, 2, 1)
+    a += bias
+    # Where exponents could grow too large their maximum is taken off first.
+    if np.abs(q).max() * np.abs(k).max() * WIDTH + np.abs(p["rel"]).max() >= 80:
+        a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    # Before a text's first window there is nothing; behind its end no target is real.
+    a[x[:, 0] == TYPES + 2, :, :CONTEXT] = 0
+    total = a.sum(axis=2).reshape(-1, 1)
+    seen = (a @ v).reshape(-1, WIDTH)
+    seen /= total
+    z = seen + r
+    chance = z @ p["U"]
+    chance += p["b"]
+    if prior is not None:
+        chance += prior.take(x[:, CONTEXT:].ravel(), axis=0)
+    if max(-chance.min(), chance.max()) >= 80:
+        chance -= chance.max(axis=1, keepdims=True)
+    np.exp(chance, out=chance)
+    sums = chance.sum(axis=1)
+    y = y.ravel()
+    real = y != TYPES + 2
+    chance[np.arange(len(y)), class_of_type.take(y)] -= sums
+    wrong = (real / (sums * max(1, real.sum()))).astype(kind)[:, None]
+    dz = chance @ p["U"].T
+    dz *= wrong
+    du, db = (z * wrong).T @ chance, wrong[:, 0] @ chance
+    # What the softmax of attention takes off.
+    mean = (dz * seen).sum(axis=1).reshape(size, -1, 1)
+    dz_seen = rows(dz / total)
+    ds = rows(dz) @ v.transpose(0, 2, 1)
+    ds -= mean
+    ds *= a
+    ds /= total.reshape(size, -1, 1)
+    dq, dk = (ds @ k).reshape(-1, WIDTH) * scale, (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+    dv = (a.transpose(0, 2, 1) @ dz_seen).reshape(-1, WIDTH)
+    de = dk @ p["k"].T
+    de += dv @ p["v"].T
+    rows(de)[:, CONTEXT:] += rows(dq @ p["q"].T + dz @ p["r"].T)
+    table, x = np.empty_like(p["E"]), x.ravel()
+    for j in range(WIDTH):
+        table[:, j] = np.bincount(x, de[:, j], len(table))
     return {
-        "E": table, "q": outer(own, dq), "k": outer(e, dk), "v": outer(e, dv), "r": outer(own, dz),
-        "U": outer(z, wrong), "b": wrong.sum((0, 1)),
-        "rel": np.bincount(back.ravel(), (ds * (hidden == 0)).sum(0).ravel(), SPAN),
+        "E": table, "q": own.T @ dq, "k": flat.T @ dk, "v": flat.T @ dv, "r": own.T @ dz, "U": du, "b": db,
+        "rel": np.bincount(back.ravel(), (ds.sum(0) * (hidden == 0)).ravel(), SPAN).astype(kind),
     }
 
 
@@ -264,8 +329,9 @@ def attention_scores(model: Attention, texts: list[np.ndarray]) -> np.ndarray:
     first = x[:, 0] == TYPES + 2
     # Where exponents could grow too large their maximum is taken off first.
     span = np.abs(t["Q"]).sum(1).max() * np.abs(t["K"]).max() + np.abs(t["bias"][t["bias"] > _FAR / 2]).max()
-    reach = max(np.abs(t["R"] @ t["U"]).max(0) + np.abs(t["V"] @ t["U"]).max(0) + np.abs(t["b"])
-                + (np.abs(t["P"]).max(0) if "P" in t else 0))
+    # What a type says of the next class by itself.
+    alone = t["R"] @ t["U"] + t["b"] + t.get("P", np.float32(0))
+    reach = max(np.abs(alone).max(0) + np.abs(t["V"] @ t["U"]).max(0))
     ones, classes = np.ones(SPAN, np.float32), np.ones(CLASSES, np.float32)
     out = np.zeros(len(texts))
     for a in range(0, len(x), CHUNK):
@@ -279,11 +345,8 @@ def attention_scores(model: Attention, texts: list[np.ndarray]) -> np.ndarray:
         np.exp(s, out=s)
         z = s @ t["V"].take(xi, axis=0)
         z /= (s @ ones)[:, :, None]
-        z += t["R"].take(own, axis=0)
         level = z.reshape(-1, WIDTH) @ t["U"]
-        level += t["b"]
-        if "P" in t:
-            level += t["P"].take(own.ravel(), axis=0)
+        level += alone.take(own.ravel(), axis=0)
         if reach >= 80:
             level -= level.max(axis=1, keepdims=True)
         yi = yi.ravel()
@@ -309,7 +372,7 @@ def _hashes(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """h (hash) and c (count) of every word of a column ``text``."""
+    """h (hash) and c (count) of every word; a column ``words`` holds a text's hashes."""
 
     def counted(parts):
         h, c = np.unique(np.concatenate(parts), return_counts=True)
@@ -318,7 +381,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            h, _ = _hashes(batch["text"].to_pylist())
+            h = np.frombuffer(b"".join(batch["words"].to_pylist()), "<u8")
             parts.append(h)
             size += len(h)
             if size >= COUNTED:
@@ -399,23 +462,84 @@ def pair_counts(tokens: DataFrame, end: int, type_of: np.ndarray, column_of: np.
     return out.reshape(TYPES + 3, width)
 
 
-def sample_windows(tokens: DataFrame, texts: int, end: int) -> list[np.ndarray]:
-    """Windows from anywhere in some training texts, chosen by hash; a bounded number."""
-    rate = min(1.0, SAMPLE_TEXTS / max(1, texts))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def window_count(tokens: DataFrame) -> int:
+    """How many windows the texts have."""
+    subwords = F.octet_length("ids") / 4
+    return tokens.agg(F.coalesce(F.sum(F.ceil((subwords + 1) / STEP)), F.lit(0)).alias("n")).first()["n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, blob in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
-                inputs, targets = windows_of(np.frombuffer(blob, "<u4"), end)
-                random = np.random.default_rng((doc or 0) & 0xFFFFFFFF)
-                for i in random.permutation(len(inputs))[:SAMPLE_WINDOWS]:
-                    rows.append(np.append(inputs[i], targets[i, -1]).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_pydict({"window": pa.array(rows, pa.binary())})
 
-    chosen = tokens.where(place < rate).select("doc_id", "ids").mapInArrow(run, "window binary")
-    return [np.frombuffer(w, "<u4") for w in sorted(bytes(r["window"]) for r in chosen.collect())]
+def _held_windows(batches: Iterator[pa.RecordBatch], end: int, type_of: np.ndarray):
+    """Types of inputs and targets of all windows, at most about ``HELD`` at once and never a part of a text."""
+    held, size = [], 0
+    for batch in batches:
+        for blob in batch["ids"].to_pylist():
+            inputs, targets = windows_of(np.frombuffer(blob, "<u4"), end)
+            held.append((type_of.take(inputs), type_of.take(targets)))
+            size += len(inputs)
+            if size >= HELD:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def learn_windows(tokens: DataFrame, end: int, p: dict[str, np.ndarray], type_of: np.ndarray,
+                  class_of_type: np.ndarray, prior: np.ndarray | None) -> dict[str, np.ndarray]:
+    """Parameters trained on every window of ``tokens``, each in one of the rounds.
+
+    A round deals out rows by number, so it has its share of every task's rows. The driver gets
+    one set of parameters a round, summed by Spark; what is shuffled follows the cores. How
+    rows are spread over tasks shows in the parameters, the order of the sums doesn't.
+    """
+    spark = tokens.sparkSession
+    windows, enough = window_count(tokens), SAMPLE_TEXTS * SAMPLE_WINDOWS
+    if not windows:
+        return p
+    rounds, again = max(1, min(ROUNDS, windows // max(1, enough))), max(1, -(-enough // windows))
+    fixed = spark.sparkContext.broadcast((
+        type_of.astype(np.int32), class_of_type, None if prior is None else prior.astype(np.float32)))
+    flat = np.concatenate([p[n].ravel() for n in SHAPES]).astype(np.float32)
+    columns = [f"v{j}" for j in range(WIDTH)]
+
+    for i in range(rounds):
+        start = spark.sparkContext.broadcast(flat)
+
+        def run(batches: Iterator[pa.RecordBatch], i=i, start=start) -> Iterator[pa.RecordBatch]:
+            types, classes, prior = fixed.value
+            mine = _unpacked(start.value.copy())
+            adam, done, (back, hidden) = Adam(mine, RATE), 0, _mask()
+            for inputs, targets in _held_windows(batches, end, types):
+                random = np.random.default_rng((i, done))
+                for _ in range(again):
+                    order = random.permutation(len(inputs))
+                    for a in range(0, len(order), BATCH):
+                        pick = order[a:a + BATCH]
+                        adam.step(_gradients(mine, inputs[pick], targets[pick], classes, back, hidden, prior))
+                done += len(inputs)
+            if done:
+                moved = np.concatenate([mine[n].ravel() for n in SHAPES]).astype(np.float64) - start.value
+                rows = np.rint(moved * done * UNIT).astype(np.int64).reshape(-1, WIDTH)
+                # The last row holds the number of windows.
+                rows = np.append(rows, np.full((1, WIDTH), done), axis=0)
+                yield pa.RecordBatch.from_pydict(
+                    {"part": np.arange(len(rows)), **{c: np.ascontiguousarray(rows[:, j]) for j, c in enumerate(columns)}})
+
+        dealt = tokens.where(F.pmod("node", F.lit(rounds)) == i).select("ids").coalesce(
+            2 * spark.sparkContext.defaultParallelism)
+        sums = dealt.mapInArrow(run, "part bigint, " + ", ".join(f"{c} bigint" for c in columns)).groupBy("part").agg(
+            *[F.sum(c).alias(c) for c in columns]).toArrow()
+        moved = np.zeros((len(flat) // WIDTH + 1, WIDTH))
+        moved[sums["part"].to_numpy()] = np.stack([sums[c].to_numpy() for c in columns], axis=1)
+        if done := moved[-1, 0]:
+            flat = (flat + moved[:-1].ravel() / (done * UNIT)).astype(np.float32)
+        start.unpersist()
+    return {n: a.astype(np.float64) for n, a in _unpacked(flat).items()}
+
+
+def _unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """Parameters by name, as parts of one row of numbers."""
+    sizes = np.cumsum([math.prod(shape) for shape in SHAPES.values()])
+    return {n: a.reshape(SHAPES[n]) for n, a in zip(SHAPES, np.split(flat, sizes[:-1]))}
 
 
 def _score_rows(texts: DataFrame, ranks: str) -> tuple[DataFrame, DataFrame, int, int, float]:
@@ -424,19 +548,26 @@ def _score_rows(texts: DataFrame, ranks: str) -> tuple[DataFrame, DataFrame, int
     spark = texts.sparkSession
     end = encoding(ranks).n_vocab
 
-    @F.arrow_udf("binary")
-    def subwords(column: pa.Array) -> pa.Array:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(ranks).encode_ordinary
-        return pa.array([np.array(encode(t), "<u4").tobytes() for t in column.to_pylist()], pa.binary())
+        for batch in batches:
+            column = batch["text"].to_pylist()
+            h, sizes = _hashes(column)
+            h = h.astype("<u8", copy=False)
+            last = np.cumsum(sizes)
+            yield pa.RecordBatch.from_pydict({
+                "node": batch["node"], "doc_id": batch["doc_id"], "held_out": batch["held_out"],
+                "ids": pa.array([np.array(encode(t), "<u4").tobytes() for t in column], pa.binary()),
+                "words": pa.array([h[a:b].tobytes() for a, b in zip(last - sizes, last)], pa.binary())})
 
-    # The bytes of a text can be read off its subwords, so the text itself is not kept.
+    # Subwords and hashes of words are all that is needed of a text.
     tokens = stored(
-        texts.select(F.monotonically_increasing_id().alias("node"), "doc_id", "held_out", subwords("text").alias("ids")),
-        "lm-subwords")
+        texts.select(F.monotonically_increasing_id().alias("node"), "doc_id", "held_out", "text").mapInArrow(
+            read, "node bigint, doc_id bigint, held_out boolean, ids binary, words binary"), "lm-subwords")
     learned = tokens.where("not held_out")
     n_texts = learned.count()
 
-    words = stored(word_counts(texts.where("not held_out").select("text")), "lm-words", leave=True)
+    words = stored(word_counts(learned.select("words")), "lm-words", leave=True)
     size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, distinct = size["n"] + n_texts, size["v"] + (n_texts > 0)
     below = n_all + SMOOTHING * (distinct + 1)
@@ -446,16 +577,16 @@ def _score_rows(texts: DataFrame, ranks: str) -> tuple[DataFrame, DataFrame, int
     head_h, head_c = head["h"].to_numpy().view(np.uint64)[order], head["c"].to_numpy()[order]
 
     counts = np.append(subword_counts(learned, end), n_texts)
-    model = train_attention(counts, sample_windows(learned, n_texts, end),
-                            gather=lambda *how: pair_counts(learned, end, *how))
+    model = train_attention(counts, [], gather=lambda *how: pair_counts(learned, end, *how),
+                            learn=lambda *how: learn_windows(learned, end, *how))
     shared = spark.sparkContext.broadcast((head_h, np.log10((head_c + SMOOTHING) / below), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoding(ranks).decode_bytes
         for batch in batches:
             head_h, head_points, model = shared.value
             ids = [np.frombuffer(b, "<u4") for b in batch["ids"].to_pylist()]
-            h, sizes = _hashes(decode(i.tolist()).decode("utf-8", "surrogatepass") for i in ids)
+            blobs = batch["words"].to_pylist()
+            h, sizes = np.frombuffer(b"".join(blobs), "<u8"), np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
             row = np.repeat(np.arange(len(ids)), sizes)
             # Words repeat within a batch, and a search in order is a quick one.
             words, which = np.unique(h, return_inverse=True)

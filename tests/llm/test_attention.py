@@ -190,3 +190,20 @@ def test_context_outside_the_sample_counts(spark, monkeypatch):
     rows = {r["doc_id"]: r for r in at.score_texts(docs, FILE).where("doc_id >= 1000").collect()}
     a, b = (rows[d] for d in sorted(rows))
     assert abs(a["base_score"] - b["base_score"]) < 1e-6 and a["score"] > b["score"] + 5
+
+
+def test_every_window_is_learned_from(spark, monkeypatch):
+    # Each window has a type of its own, whose parameters only that window can move.
+    monkeypatch.setattr(at, "SAMPLE_TEXTS", 10)
+    monkeypatch.setattr(at, "HELD", 20)
+    random, texts, end = np.random.default_rng(3), 100, 500
+    rows = [(i, bytearray(np.repeat(np.arange(5 * i, 5 * i + 5), at.STEP)[:-1].astype("<u4").tobytes())) for i in range(texts)]
+    tokens = spark.createDataFrame(rows, "node long, ids binary").repartition(3)
+    assert at.window_count(tokens) == end
+    start = {n: random.normal(0, 0.3, shape) for n, shape in at.SHAPES.items()}
+    type_of = np.append(np.arange(end), [at.TYPES, at.TYPES + 1, at.TYPES + 2])
+    classes = np.arange(at.TYPES + 3) % at.CLASSES
+    learned = at.learn_windows(tokens, end, start, type_of, classes, None)
+    assert (np.abs(learned["E"][:end] - start["E"][:end]).max(axis=1) > 1e-4).all()
+    assert (np.abs(learned["E"][end:at.TYPES] - start["E"][end:at.TYPES]) < 1e-6).all()
+    assert at.learn_windows(tokens.where("false"), end, start, type_of, classes, None) is start
