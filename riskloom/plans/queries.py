@@ -34,7 +34,7 @@ from riskloom.operators.windows import (
 )
 from riskloom.schemas import FEATURE_ORDER, SLIDING, USER_VIEW, WINDOW_FEATURES, FeatureView
 from riskloom.plans.fixed import SHAPLEY_UNIT, TREES
-from riskloom.session import configure, work_dir, write_file
+from riskloom.session import configure, stream_partitions, work_dir, write_file
 from riskloom.sources import offline, tables
 from riskloom.sources.messages import parse_transactions
 from riskloom.streaming.keyed import keyed_feature_table
@@ -211,8 +211,12 @@ def closed_window_batch(spark, sf):
 
 
 def _layers(spark, name):
-    root = work_dir(spark, name)
-    return Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True)
+    return _layers_below(spark, work_dir(spark, name))
+
+
+def _layers_below(spark, root, **more):
+    return Layers(
+        root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True, partitions=stream_partitions(spark), **more)
 
 
 def windowed_append_stream(spark, sf):
@@ -243,7 +247,7 @@ KEYED_BATCHES = 6
 def trailing_update_multibatch(spark, sf, compact_every=4):
     """The online table after many batches with late events, merged on the way."""
     root = work_dir(configure(spark), "multibatch")
-    layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True, compact_every=compact_every)
+    layers = _layers_below(spark, root, compact_every=compact_every)
     stream = tables.batched_events(spark, sf, f"{root}/events", BATCHES, LATE_SECONDS)
     wait_for_all({"q": layers.start_user_features(tables.with_time_text(tables.transactions(stream)))})
     table = user_feature_table(f"{layers.online}/user_features")
@@ -253,7 +257,7 @@ def trailing_update_multibatch(spark, sf, compact_every=4):
 def flags_multibatch(spark, sf):
     """Flags of transactions some of which come again, with another amount, in the last batch."""
     root = work_dir(configure(spark), "flags-multibatch")
-    layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True, compact_every=2)
+    layers = _layers_below(spark, root, compact_every=2)
     files = tables.write_batches(spark, sf, f"{root}/events", 4, LATE_SECONDS)
     again = tables.read_events(spark, sf).where("event_id % 20 = 0").withColumn("value", F.lit(100.0))
     again.repartition(files).write.mode("append").parquet(f"{root}/events")
@@ -266,7 +270,7 @@ def flags_multibatch(spark, sf):
 def keyed_state_multibatch(spark, sf, compact_every=2):
     """The online table out of keyed state: late and repeated events, and a stop half-way."""
     root = work_dir(configure(spark), "keyed")
-    layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True, compact_every=compact_every)
+    layers = _layers_below(spark, root, compact_every=compact_every)
     for part in (range(KEYED_BATCHES // 2), range(KEYED_BATCHES // 2, KEYED_BATCHES)):
         files = tables.write_batches(spark, sf, f"{root}/events", KEYED_BATCHES, LATE_SECONDS, again=3, which=part)
         stream = tables.batch_stream(spark, f"{root}/events", files)
@@ -282,7 +286,7 @@ LONG_LATE = 40
 def _stopped_twice(spark, sf):
     """Closed windows of a stream that stops half-way, goes on, and then meets events long behind."""
     root = work_dir(configure(spark), "stopped")
-    layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True)
+    layers = _layers_below(spark, root)
     half, queries = KEYED_BATCHES // 2, []
     for part in (range(half), range(half, KEYED_BATCHES), None):
         if part:
@@ -317,8 +321,7 @@ def quarantine_observed(spark, sf):
     half = KEYED_BATCHES // 2
     for part in (range(half), range(half, KEYED_BATCHES)):
         # A new process each time: only the stored counts go on.
-        layers = Layers(root=f"{root}/layers", checkpoints=f"{root}/checkpoints", once=True,
-                        rejected=QuarantineCounter(f"{root}/counts"))
+        layers = _layers_below(spark, root, rejected=QuarantineCounter(f"{root}/counts"))
         files = tables.write_batches(spark, sf, f"{root}/events", KEYED_BATCHES, 0, which=part)
         stream = tables.transactions(tables.batch_stream(spark, f"{root}/events", files))
         wait_for_all({"q": layers.start_rejected(tables.dirty_transactions(stream))})

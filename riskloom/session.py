@@ -11,6 +11,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -136,6 +138,29 @@ def build_session(
     return configure(builder.getOrCreate())
 
 
+def stream_partitions(spark: SparkSession) -> int:
+    """As many partitions as the session shuffles into, but at most two for each core.
+
+    A micro-batch opens and stores the state of every partition and starts a task for it in each
+    of its jobs, however few rows there are, and nothing merges small partitions of a stream.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def shuffled_into(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Within it the session shuffles into so many partitions; None changes nothing."""
+    if partitions is None:
+        yield
+        return
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 

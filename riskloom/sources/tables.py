@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.schemas import TRANSACTION
+from riskloom.session import stream_partitions
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -73,8 +74,12 @@ def write_batches(
 
 
 def batch_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
-    """What ``write_batches`` wrote, a batch of files to a micro-batch."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(folder)
+    """What ``write_batches`` wrote, a batch of files to a micro-batch.
+
+    A batch has few files; its rows are dealt out, so that all cores work on them.
+    """
+    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(folder)
+    return rows.repartition(stream_partitions(spark))
 
 
 def batched_events(spark: SparkSession, sf_dir: str, folder: str, batches: int, late_seconds: int) -> DataFrame:

@@ -16,6 +16,7 @@ from riskloom.operators.scoring import score
 from riskloom.operators.validation import clean_requests, invalid_rows, is_valid, valid_rows
 from riskloom.operators.windows import select_trailing_window, watermarked, windowed_features
 from riskloom.schemas import BRONZE, SLIDING, SlidingSpec
+from riskloom.session import shuffled_into
 from riskloom.sources.offline import BRONZE_TIME
 from riskloom.streaming.keyed import SPLITS, keyed_feature_table, trailing_of_parts, user_panes
 from riskloom.streaming.online import OnlineTable, flag_table, user_feature_table
@@ -41,6 +42,8 @@ class Layers:
     once: bool = False
     # Merge the online batches into a base every so many batches; 0 means never.
     compact_every: int = 100
+    # Partitions of the state and of the work on a batch; None means what the session shuffles into.
+    partitions: int | None = None
     # Invalid rows met by these streams, also where the quarantine can't be written.
     rejected: QuarantineCounter = field(default_factory=QuarantineCounter, hash=False, compare=False)
 
@@ -68,11 +71,15 @@ class Layers:
     def online(self) -> str:
         return f"{self.root}/online"
 
-    def _start(self, writer: DataStreamWriter, name: str) -> StreamingQuery:
+    def _start(self, spark: SparkSession, writer: DataStreamWriter, name: str) -> StreamingQuery:
         writer = writer.option("checkpointLocation", f"{self.checkpoints}/{name}").queryName(name)
         if self.once:
-            return writer.trigger(availableNow=True).start()
-        return writer.trigger(processingTime=f"{self.triggers[name]} seconds").start()
+            writer = writer.trigger(availableNow=True)
+        else:
+            writer = writer.trigger(processingTime=f"{self.triggers[name]} seconds")
+        # A query keeps the settings it was started with.
+        with shuffled_into(spark, self.partitions):
+            return writer.start()
 
     # Raw log ----------------------------------------------------------------
 
@@ -87,7 +94,7 @@ class Layers:
             "event_date", F.to_date("event_time")
         )
         return self._start(
-            rows.writeStream.outputMode("append").format("json")
+            transactions.sparkSession, rows.writeStream.outputMode("append").format("json")
             .option("timestampFormat", BRONZE_TIME).partitionBy("event_date").option("path", self.bronze),
             "bronze",
         )
@@ -106,7 +113,7 @@ class Layers:
             transactions, self.spec, cents, has_watermark=deduplicate
         ).withColumn("event_date", F.to_date("window_end"))
         return self._start(
-            rows.writeStream.outputMode("append").format("parquet")
+            transactions.sparkSession, rows.writeStream.outputMode("append").format("parquet")
             .partitionBy("event_date").option("path", self.silver),
             "silver",
         )
@@ -129,6 +136,7 @@ class Layers:
             _with_batch(batch, store)
 
         return self._start(
+            transactions.sparkSession,
             windowed_features(transactions, self.spec, cents)
             .writeStream.outputMode("update").foreachBatch(write),
             "user_features",
@@ -149,6 +157,7 @@ class Layers:
             _with_batch(batch, store)
 
         return self._start(
+            transactions.sparkSession,
             user_panes(transactions, self.spec, splits).writeStream.outputMode("update").foreachBatch(write),
             "keyed_features",
         )
@@ -169,6 +178,7 @@ class Layers:
             _with_batch(batch, store)
 
         return self._start(
+            transactions.sparkSession,
             flag_rows(transactions).writeStream.outputMode("append").foreachBatch(write), "flags"
         )
 
@@ -197,13 +207,14 @@ class Layers:
 
             _with_batch(batch, store)
 
-        return self._start(requests.writeStream.outputMode("append").foreachBatch(write), "scores")
+        return self._start(requests.sparkSession, requests.writeStream.outputMode("append").foreachBatch(write), "scores")
 
     # Labels -----------------------------------------------------------------------
 
     def start_labels(self, labels: DataFrame) -> StreamingQuery:
         rows = labels.select("transaction_id", "user_id", "is_fraud", "label_timestamp", "label_time")
         return self._start(
+            labels.sparkSession,
             rows.writeStream.outputMode("append").format("parquet").option("path", self.labels),
             "labels",
         )
@@ -217,7 +228,7 @@ class Layers:
             _with_batch(batch, lambda rows: self._quarantine(rows, "transaction", batch_id))
 
         bad = invalid_rows(transactions, "transaction")
-        return self._start(bad.writeStream.outputMode("append").foreachBatch(write), "rejected")
+        return self._start(transactions.sparkSession, bad.writeStream.outputMode("append").foreachBatch(write), "rejected")
 
     def _maintain(self, table: OnlineTable, spark: SparkSession, batch_id: int) -> None:
         if self.compact_every and batch_id and batch_id % self.compact_every == 0:
