@@ -30,35 +30,43 @@ class TrailingPanes(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
+        # The first pane that the watermark has not passed.
+        first = mark // (self.slide * 1000)
         before, text = self.held.get() or (None, "{}")
-        held = {int(p): [*own[:5], set(own[5])] for p, own in json.loads(text).items()}
-        for r in rows:
-            if self._end(r["pane"]) <= mark:
+        held = {int(p): [*own[:5], dict.fromkeys(own[5])] for p, own in json.loads(text).items()}
+        # As ``keyed.user_panes`` selects them.
+        for _, _, pane, transaction, amount, exact, _ in rows:
+            if pane < first:
                 continue
-            own = held.setdefault(r["pane"], [0, 0, None, 0, None, set()])
-            if r["transaction_id"] in own[5]:
+            own = held.get(pane)
+            if own is None:
+                own = held[pane] = [0, 0, None, 0, None, {}]
+            if transaction in own[5]:
                 continue
-            own[5].add(r["transaction_id"])
+            own[5][transaction] = None
             own[0] += 1
-            if r["amount"] is not None:
+            if amount is not None:
                 own[1] += 1
-                own[4] = r["amount"] if own[4] is None else larger(own[4], r["amount"])
-                if r["exact"] is None:
+                own[4] = amount if own[4] is None else larger(own[4], amount)
+                if exact is None:
                     own[3] += 1
                 else:
-                    own[2] = str(EXACT.add(Decimal(own[2] or 0), r["exact"]))
+                    # Text until the first amount of the batch comes.
+                    own[2] = EXACT.add(Decimal(own[2] or 0), exact)
         if not held:
             return
         newest = max(held)
         # Neither does the trailing window need the others, nor can their ids come again.
-        held = {p: own for p, own in held.items() if p > newest - self.kept or self._end(p) > mark}
-        self.held.update((newest, json.dumps({p: [*own[:5], sorted(own[5], key=str)] for p, own in held.items()})))
+        held = {
+            p: [own[0], own[1], None if own[2] is None else str(own[2]), own[3], own[4], list(own[5])]
+            for p, own in sorted(held.items()) if p > newest - self.kept or p >= first}
+        self.held.update((newest, json.dumps(held)))
         if newest != before:
             if before is not None:
                 self.handle.deleteTimer(self._end(before + self.kept))
             self.handle.registerTimer(self._end(newest + self.kept))
-        shown = [pane_row(p, own) for p, own in sorted(held.items()) if p > newest - self.kept]
-        yield Row(user_id=key[0], split=key[1], panes=shown)
+        shown = [pane_fields(p, own) for p, own in held.items() if p > newest - self.kept]
+        yield Row(user_id=key[0], split=key[1], panes=json.dumps(shown))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The watermark has passed all that could change or repeat what is held."""
@@ -73,11 +81,11 @@ class TrailingPanes(StatefulProcessor):
         return (pane + 1) * self.slide * 1000
 
 
-def pane_row(pane: int, own: list) -> Row:
-    total, lost = Decimal(own[2]) if own[2] else None, own[3]
-    if total is not None and abs(total) >= LIMIT:
+def pane_fields(pane: int, own: list) -> dict:
+    total, lost = own[2], own[3]
+    if total is not None and abs(Decimal(total)) >= LIMIT:
         total, lost = None, lost + 1
-    return Row(pane=pane, n=own[0], n_amounts=own[1], total=total, lost=lost, largest=own[4])
+    return {"pane": pane, "n": own[0], "n_amounts": own[1], "total": total, "lost": lost, "largest": own[4]}
 
 
 def larger(a: float, b: float) -> float:

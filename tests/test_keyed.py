@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,18 @@ def test_a_merge_keeps_what_is_needed(spark, feed, layers):  # noqa: F811
 def test_events_without_time_are_in_no_pane(spark, small_dir):
     stream = tables.with_time_text(tables.transactions(tables.stream_events(spark, small_dir)))
     assert user_panes(stream.withColumn("event_time", F.col("event_time"))).isStreaming
+
+
+def test_panes_leave_the_state_as_they_are_held(spark, feed, layers):  # noqa: F811
+    amounts = {"user_0001": [1e16, 0.1], "user_0002": [9e19, 9e19], "user_0003": [0.3], "user_0004": [1e-7, 5e18]}
+    n = iter(range(1, 100))
+    feed.add(*[message(next(n), user, amount=a) for user, own in amounts.items() for a in own])
+    feed.add(message(next(n), "user_0001", amount=2.5))
+    wait_for_all({"q": layers.start_keyed_features(feed.stream(), 1)})
+    panes = {r["user_id"]: r["panes"][0] for r in table_of(layers).stored(spark).orderBy("batch_id").collect()}
+    amounts["user_0001"].append(2.5)
+    for user, own in amounts.items():
+        total = sum(Decimal(repr(a)) for a in own)
+        want = (None, 1) if user == "user_0002" else (total, 0)
+        assert (panes[user]["total"], panes[user]["lost"]) == want
+        assert (panes[user]["n"], panes[user]["n_amounts"], panes[user]["largest"]) == (len(own), len(own), max(own))
