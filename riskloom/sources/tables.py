@@ -88,12 +88,11 @@ def batched_events(spark: SparkSession, sf_dir: str, folder: str, batches: int,
 
 
 def _uuid(number: Column) -> Column:
+    # The digest stands there once; where a filter uses the id nothing merges copies of it.
     digest = F.md5(number.cast("string"))
-    parts, start = [], 1
-    for length in (8, 4, 4, 4, 12):
-        parts.append(F.substring(digest, start, length))
-        start += length
-    return F.concat_ws("-", *parts)
+    for place in (21, 17, 13, 9):
+        digest = F.overlay(digest, F.lit("-"), F.lit(place), F.lit(0))
+    return F.coalesce(digest, F.lit(""))
 
 
 def _category(kind: Column) -> Column:

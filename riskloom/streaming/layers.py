@@ -293,9 +293,10 @@ def wait_for_any(spark: SparkSession, queries: dict[str, StreamingQuery], timeou
             raise query.exception()
 
 
-def wait_for_all(queries: dict[str, StreamingQuery], timeout: int = 600) -> None:
-    """Wait for queries started with ``once``; raise when one does not finish."""
+def wait_for_all(queries: dict[str, StreamingQuery], timeout: int | None = None) -> None:
+    """Wait for queries started with ``once``; with ``timeout`` raise when one does not finish in so many seconds."""
     for name, query in queries.items():
-        if not query.awaitTermination(timeout):
+        # Without a timeout there is no answer: it returns at the end or raises.
+        if query.awaitTermination(timeout) is False:
             query.stop()
             raise TimeoutError(f"streaming query {name} did not finish in {timeout} s")
