@@ -124,9 +124,10 @@ def stratified_split(
     Exact in size and the same on every run. The cut is found without sorting a
     class: rows are counted per hash prefix, then per longer prefix inside the
     one in which the cut falls, and only the hashes of that (one in 2^36 of a
-    class) are ranked. The rows themselves are never shuffled, and copies of a
-    key always land on the same side. The input is read four times, so pass a
-    written or persisted frame when it is costly.
+    class) are ranked. The rows themselves are never shuffled (a cut has one row
+    per class and goes to every task), and copies of a key always land on the same
+    side. The input is read four times, so pass a written or persisted frame when
+    it is costly.
     """
     hashed = rows.select(F.col(label), _split_hash(key, seed).alias("_hash"))
     sizes = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
@@ -144,12 +145,12 @@ def stratified_split(
         .groupBy(label)
         .agg(F.max("_next").alias("_last"))
     )
-    limits = cut.join(inside, label, "left").select(
+    limits = cut.join(F.broadcast(inside), label, "left").select(
         label, F.coalesce("_last", "_prefix").alias("_last")
     )
     return (
         rows.withColumn("_hash", _split_hash(key, seed))
-        .join(limits, label, "left")
+        .join(F.broadcast(limits), label, "left")
         .withColumn("is_test", F.coalesce(F.col("_hash") <= F.col("_last"), F.lit(False)))
         .drop("_hash", "_last")
     )
@@ -164,7 +165,7 @@ def _running_counts(hashed: DataFrame, cut: DataFrame, label: str, known: int, d
     by_class = Window.partitionBy(label).orderBy("_next")
     return (
         hashed.withColumn("_prefix", F.substring("_hash", 1, known))
-        .join(cut, [label, "_prefix"])
+        .join(F.broadcast(cut), [label, "_prefix"])
         .groupBy(label, "_below", "_wanted", F.substring("_hash", 1, digits).alias("_next"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_upto", F.col("_below") + F.sum("_n").over(by_class))

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import model as ml
 from riskloom.operators import training as tr
@@ -94,6 +95,19 @@ def test_auc_against_pairs(spark, digits, ranges):
     assert got.roc_auc == wins / (len(pos) * len(neg))
 
 
+def test_split_leaves_rows_where_they_are(spark):
+    # Rows of a class must not meet in one task: what is shuffled are counts, the cuts go to every task.
+    df = spark.range(400).select(F.col("id").cast("string").alias("transaction_id"), (F.col("id") % 9 == 0).cast("int").alias("fraud"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        split = tr.stratified_split(df)
+        plan = split._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+        assert [r["n"] for r in split.where("is_test").groupBy("fraud").agg(F.count("*").alias("n")).orderBy("fraud").collect()] == [71, 9]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_auc_needs_both_classes(spark):
     got = roc_auc(spark.createDataFrame([(1, 0.5), (1, 0.7)], "fraud int, probability double")).first()
     assert got.roc_auc is None
