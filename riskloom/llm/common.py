@@ -54,17 +54,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stored(df: DataFrame, name: str, leave: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, leave: bool = False, **options: str) -> DataFrame:
     """Write to the shared folder and go on from there: cuts the lineage.
 
     Any executor can read the files again, so losing one costs a re-read. With
-    ``leave`` the table outlives the innermost ``scratch``.
+    ``leave`` the table outlives the innermost ``scratch``. ``options`` go to the writer.
     """
     path = work_dir(df.sparkSession, name)
     outer = _open[:-1] if leave else _open
     if outer:
         outer[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
